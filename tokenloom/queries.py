@@ -1,11 +1,535 @@
-"""Registered queries of the tokenization engine and their SQL."""
+"""Registered queries of the tokenization engine, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import string
+import tempfile
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .functions import bytechars as bc
+from .functions import normalize as nz
+from .operators import decode as dc
+from .operators import postprocess as pp
+from .operators import pretokenize as pt
+from .operators import train as tr
+from .operators.encode import encode, encode_column, native_tokens
+from .operators.model import Bpe, Options, resolve_merges
+from .plans.tokenizer import Tokenizer
+from .sources import files
+from .streaming.counts import stream_word_counts
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+# The fixed model of the encoding queries: merges over byte characters, each token made before it is used.
+MERGES = [tuple(m.split("+")) for m in "e+r o+n t+h e+n i+n a+n r+e h+e e+s o+r s+t n+d o+u e+a t+i a+t e+d a+s d+e l+e q+u c+h n+t l+l u+n Ġ+th Ġ+an Ġ+in er+e on+t th+e in+g an+d ti+on en+t st+re Ġth+e Ġth+a Ġan+d Ġin+e he+r qu+e ch+en ing+s Ġthe+re Ä+± Ã+© Ã+¨ Ã+³ Ġ+Ã© Ã©+er".split(" ")]
+VOCAB = {bc.TABLE[b]: b for b in range(256)} | {a + b: 256 + i for i, (a, b) in enumerate(MERGES)}
+GPT2 = pt.ByteLevel(add_prefix_space=False)
+
+
+def fixed_model(**options) -> Bpe:
+    return Bpe(VOCAB, tuple(MERGES), Options(**options))
+
+
+def register(name: str, sql: str | None = None):
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *(columns or ("text",)))
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def digest(c: Column, sep: str = "\x01") -> Column:
+    return F.md5(F.array_join(c, sep).cast("binary"))
+
+
+# ---- SQL pieces --------------------------------------------------------------------------------
+S = r"\s\x0b\x{85}\p{Z}"
+SPLIT = rf"""regexp_extract_all(
+  regexp_replace({{t}}, '([{S}]+)([{S}][^{S}])', '\1' || chr(1) || '\2', 'g'),
+  '''s|''t|''re|''ve|''m|''ll|''d| ?\p{{{{L}}}}+| ?\p{{{{N}}}}+| ?[^{S}\p{{{{L}}}}\p{{{{N}}}}\x01]+|[{S}]+')"""
+
+
+def split_sql(t: str = "text") -> str:
+    return SPLIT.replace("{{", "{").replace("}}", "}").replace("{t}", t)
+
+
+BYTES = "[" + ", ".join(lit(bc.TABLE[b]) for b in range(256)) + "]"
+
+
+def mapped_sql(w: str) -> str:
+    return f"array_to_string(list_transform(range(1, octet_length(encode({w})) + 1), lambda i: {BYTES}[('0x' || substr(hex(encode({w})), (2 * i - 1)::INT, 2))::INT + 1]), '')"
+
+
+def steps_sql(merges, join=lambda a, b: a + b) -> str:
+    return "[" + ", ".join(f"{{'f': {lit(chr(2) + a + chr(3) + chr(2) + b + chr(3))}, 't': {lit(chr(2) + join(a, b) + chr(3))}}}" for a, b in merges) + "]"
+
+
+def merged_sql(wrapped: str, merges=MERGES, join=lambda a, b: a + b) -> str:
+    """The tokens of a wrapped string of symbols."""
+    done = f"list_reduce(list_concat([['', {wrapped}]], list_transform({steps_sql(merges, join)}, lambda x: [x.f, x.t])), lambda acc, x: [acc[1], replace(acc[2], x[1], x[2])])[2]"
+    return f"string_split(substr({done}, 2, length({done}) - 2), chr(3) || chr(2))"
+
+
+def wrapped_sql(w: str) -> str:
+    return f"regexp_replace({w}, '(?s)(.)', chr(2) || '\\1' || chr(3), 'g')"
+
+
+SEGMENTS = f"seg AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS w FROM (SELECT doc_id, {split_sql()} AS l FROM documents))"
+IDS = "vocab AS (SELECT unnest([" + ", ".join(lit(t) for t in VOCAB) + "]) AS token, unnest([" + ", ".join(map(str, VOCAB.values())) + "]) AS id)"
+ENCODED = f"""{SEGMENTS},
+words AS (SELECT w, {mapped_sql("w")} AS m FROM (SELECT DISTINCT w FROM seg)),
+enc AS (SELECT w, {merged_sql(wrapped_sql("m"))} AS toks FROM words),
+tok AS (SELECT doc_id, pos, i, toks[i] AS token FROM (SELECT doc_id, pos, toks, unnest(range(1, len(toks) + 1)) AS i FROM seg JOIN enc USING (w)))"""
+
+
+# ---- normalizers -------------------------------------------------------------------------------
+WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+PADDED = "'  ' || chr(9) || text || chr(10) || ' '"
+UP, LOW = string.ascii_uppercase, string.ascii_lowercase
+
+
+def padded(c: str = "text") -> Column:
+    return F.concat(F.lit("  \t"), F.col(c), F.lit("\n "))
+
+
+@register("norm_strip", f"SELECT doc_id, md5(trim({PADDED}, {WHITE_SQL})) AS norm_md5, octet_length(encode({PADDED})) - octet_length(encode(ltrim({PADDED}, {WHITE_SQL}))) AS shift FROM documents")
+def norm_strip(spark, sf_dir):
+    n = nz.strip()
+    return docs(spark, sf_dir).select("doc_id", F.md5(n(padded()).cast("binary")).alias("norm_md5"), n.cut(padded()).cast("long").alias("shift"))
+
+
+@register("norm_lower_ascii", f"SELECT doc_id, translate(text, '{UP}', '{LOW}') AS norm FROM documents")
+def norm_lower(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", nz.lowercase()(F.col("text")).alias("norm"))
+
+
+@register("norm_upper_ascii", f"SELECT conv_id, turn, translate(text, '{LOW}', '{UP}') AS norm FROM conversations")
+def norm_upper(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", nz.uppercase()(F.col("text")).alias("norm"))
+
+
+@register("norm_sequence", f"SELECT conv_id, turn, translate(trim({PADDED}, {WHITE_SQL}), '{UP}', '{LOW}') AS norm, octet_length(encode({PADDED})) - octet_length(encode(ltrim({PADDED}, {WHITE_SQL}))) AS first_start FROM conversations")
+def norm_sequence(spark, sf_dir):
+    n = nz.sequence(nz.strip(), nz.lowercase())
+    start, _ = n.original(padded(), F.lit(0), F.lit(1))
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", n(padded()).alias("norm"), start.cast("long").alias("first_start"))
+
+
+# ---- pre-tokenizers ----------------------------------------------------------------------------
+def pieces_query(pre, table: str = "documents", key: str = "doc_id", text: str = "text") -> Query:
+    def run(spark, sf_dir):
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        return rows.select(key, pt.kept_texts(pt.pieces_of(F.col(text), pre)).alias("l")).select(key, F.size("l").cast("long").alias("n"), digest(F.col("l")).alias("pieces_md5"))
+
+    return run
+
+
+def pieces_sql(listed: str, table: str = "documents", key: str = "doc_id") -> str:
+    return f"SELECT {key}, len(l)::BIGINT AS n, md5(array_to_string(l, chr(1))) AS pieces_md5 FROM (SELECT {key}, list_filter({listed}, lambda x: x <> '') AS l FROM {table})"
+
+
+def each_mapped(listed: str) -> str:
+    return f"list_transform({listed}, lambda w: {mapped_sql('w')})"
+
+
+register("pretok_gpt2", pieces_sql(each_mapped(split_sql())))(pieces_query(GPT2))
+LED = "CASE WHEN text LIKE ' %' THEN text ELSE ' ' || text END"
+register("pretok_gpt2_prefix", pieces_sql(each_mapped(split_sql(LED)), "(SELECT doc_id, text FROM documents)"))(pieces_query(pt.ByteLevel()))
+register("pretok_noregex", pieces_sql(f"[{mapped_sql('text')}]", "conversations", "conv_id"))(pieces_query(pt.ByteLevel(False, True, False), "conversations", "conv_id"))
+
+
+@register("pretok_offsets", f"WITH {SEGMENTS} SELECT doc_id, pos - 1 AS pos, (sum(octet_length(encode(w))) OVER (PARTITION BY doc_id ORDER BY pos) - octet_length(encode(w)))::BIGINT AS start, (sum(octet_length(encode(w))) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS \"end\" FROM seg")
+def pretok_offsets(spark, sf_dir):
+    rows = pt.with_offsets(docs(spark, sf_dir), "doc_id", pt.pieces_of(F.col("text"), GPT2), mapped=True)
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "start", "end")
+
+
+for _name, _behavior, _pattern in (
+    ("split_removed", "Removed", "[^,]+"),
+    ("split_isolated", "Isolated", ",|[^,]+"),
+    ("split_contiguous", "Contiguous", ",+|[^,]+"),
+    ("split_merged_prev", "MergedWithPrevious", "[^,]+,?|,"),
+    ("split_merged_next", "MergedWithNext", ",[^,]+|[^,]+|,"),
+):
+    register(_name, pieces_sql(f"regexp_extract_all(text, '(?s){_pattern}')"))(pieces_query(pt.Split(",", False, _behavior)))
+register("split_inverted", pieces_sql("regexp_extract_all(text, '[a-z]+')"))(pieces_query(pt.Split("[a-z]+", True, "Removed", True)))
+register("split_regex", pieces_sql("regexp_extract_all(url, '[/.]|[^/.]+')", "pages", "page_id"))(pieces_query(pt.Split("[/.]"), "pages", "page_id", "url"))
+register("pretok_sequence", pieces_sql(each_mapped(r"regexp_extract_all(text, '[0-9]{1,3}|[^ \n0-9]+')")))(pieces_query(pt.Sequence((pt.Split("[0-9]{1,3}"), pt.Split("[ \n]+", True, "Removed"), pt.ByteLevel(False, True, False)))))
+register("pretok_whitespace", pieces_sql(rf"regexp_extract_all(text, '[^{S}]+')"))(pieces_query(pt.whitespace()))
+
+
+@register("byte_chars", f"SELECT doc_id, md5({mapped_sql('text')}) AS mapped_md5, octet_length(encode(text))::BIGINT AS n_bytes FROM documents")
+def byte_chars(spark, sf_dir):
+    m = bc.byte_chars(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(m.cast("binary")).alias("mapped_md5"), F.length(m).cast("long").alias("n_bytes"))
+
+
+@register("byte_chars_roundtrip", "SELECT doc_id, text AS back FROM documents")
+def byte_chars_roundtrip(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", bc.chars_to_text(bc.byte_chars(F.col("text"))).alias("back"))
+
+
+# ---- training ----------------------------------------------------------------------------------
+WORDS = f"words AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest({split_sql()}) AS w FROM documents) GROUP BY w)"
+
+
+@register("word_count", f"WITH {WORDS} SELECT {mapped_sql('word')} AS word, n FROM words")
+def word_count(spark, sf_dir):
+    return tr.word_counts(docs(spark, sf_dir), "text", GPT2)
+
+
+@register("distinct_words", f"WITH {WORDS} SELECT count(*) AS n_words, sum(n)::BIGINT AS n_total FROM words")
+def distinct_words(spark, sf_dir):
+    return tr.word_counts(docs(spark, sf_dir), "text", GPT2).agg(F.count(F.lit(1)).alias("n_words"), F.sum("n").alias("n_total"))
+
+
+PLAIN = "words AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^ \\n]+')) AS w FROM benchmark) GROUP BY w)"
+LETTERS = "letters AS (SELECT c, sum(n) AS n FROM (SELECT unnest(string_split(word, '')) AS c, n FROM words) GROUP BY c)"
+BLANKS = pt.Split("[ \n]+", True, "Removed")
+
+
+def plain_words(spark, sf_dir) -> DataFrame:
+    return tr.word_counts(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "text", BLANKS)
+
+
+def ranked_letters(spark, sf_dir, o: tr.TrainerOptions) -> DataFrame:
+    rows = tr.alphabet(plain_words(spark, sf_dir), o)
+    order = Window.orderBy(F.desc("forced"), F.desc(F.when(F.col("forced"), 0).otherwise(F.col("n"))), F.ascii("c"))  # an alphabet is small
+    return rows.select("c", F.col("n").cast("long").alias("n"), F.row_number().over(order).cast("long").alias("rank"))
+
+
+@register("alphabet_topk", f"WITH {PLAIN}, {LETTERS} SELECT c, n::BIGINT AS n, row_number() OVER (ORDER BY n DESC, ord(c)) AS rank FROM letters ORDER BY rank LIMIT 20")
+def alphabet_topk(spark, sf_dir):
+    return ranked_letters(spark, sf_dir, tr.TrainerOptions(limit_alphabet=20))
+
+
+@register("alphabet_forced", f"WITH {PLAIN}, {LETTERS}, f AS (SELECT unnest(['#', 'a', 'z', '中']) AS c), b AS (SELECT coalesce(letters.c, f.c) AS c, coalesce(n, 0)::BIGINT AS n, f.c IS NOT NULL AS forced FROM letters FULL JOIN f ON letters.c = f.c) SELECT c, n, row_number() OVER (ORDER BY forced DESC, CASE WHEN forced THEN 0 ELSE n END DESC, ord(c)) AS rank FROM b")
+def alphabet_forced(spark, sf_dir):
+    return ranked_letters(spark, sf_dir, tr.TrainerOptions(initial_alphabet="za中#"))
+
+
+PAIRS = "pairs AS (SELECT l[i] AS a, l[i + 1] AS b, sum(n)::BIGINT AS n FROM (SELECT l, n, unnest(range(1, len(l))) AS i FROM (SELECT string_split(word, '') AS l, n FROM words)) GROUP BY 1, 2)"
+
+
+def char_pairs(spark, sf_dir) -> DataFrame:
+    words = plain_words(spark, sf_dir).select(F.transform(F.split("word", ""), F.ascii).alias("ids"), "n")
+    return tr.pair_counts(words)
+
+
+@register("pair_counts", f"WITH {PLAIN}, {PAIRS} SELECT ord(a)::INT AS a, ord(b)::INT AS b, n FROM pairs")
+def pair_counts(spark, sf_dir):
+    return char_pairs(spark, sf_dir)
+
+
+@register("best_pair", f"WITH {PLAIN}, {PAIRS} SELECT ord(a)::INT AS a, ord(b)::INT AS b, n FROM pairs ORDER BY n DESC, ord(a), ord(b) LIMIT 1")
+def best_pair(spark, sf_dir):
+    return tr.best_pair(char_pairs(spark, sf_dir))
+
+
+def train_sql(rounds: int, least: int = 1, most_bytes: int = 1 << 30, suffix: str = "") -> str:
+    """Unrolled training: one CTE of pair counts and one of words for each merge; ids break ties."""
+    sym = "string_split(word, '')" if not suffix else f"list_transform(range(1, length(word) + 1), lambda i: word[i] || CASE WHEN i = length(word) THEN {lit(suffix)} ELSE '' END)"
+    ctes = [PLAIN, LETTERS, "order0 AS (SELECT c AS t, row_number() OVER (ORDER BY n DESC, ord(c)) AS id FROM letters)"]
+    if suffix:
+        ctes.append(f"comp AS (SELECT t, sum(n) AS n FROM (SELECT unnest({sym}) AS t, n FROM words) WHERE t NOT IN (SELECT t FROM order0) GROUP BY t)")
+        ctes.append("ids0 AS (SELECT * FROM order0 UNION ALL SELECT t, (SELECT count(*) FROM order0) + row_number() OVER (ORDER BY n DESC, t) FROM comp)")
+    else:
+        ctes.append("ids0 AS (SELECT * FROM order0)")
+    ctes.append(f"w0 AS (SELECT chr(2) || array_to_string({sym}, chr(3) || chr(2)) || chr(3) AS e, n FROM words)")
+    done = "SELECT NULL::VARCHAR AS a, NULL::VARCHAR AS b WHERE false"
+    size = f"octet_length(encode(replace(a || b, {lit(suffix)}, '')))" if suffix else "octet_length(encode(a || b))"
+    for k in range(rounds):
+        ctes.append(f"s{k} AS MATERIALIZED (SELECT string_split(substr(e, 2, length(e) - 2), chr(3) || chr(2)) AS s, n FROM w{k})")
+        ctes.append(f"""p{k} AS MATERIALIZED (SELECT {k} AS rank, c.a, c.b, c.n, {size} <= {most_bytes} AS used FROM
+          (SELECT s[i] AS a, s[i + 1] AS b, sum(n)::BIGINT AS n FROM (SELECT s, n, unnest(range(1, len(s))) AS i FROM s{k}) GROUP BY 1, 2) c
+          JOIN ids{k} x ON x.t = c.a JOIN ids{k} y ON y.t = c.b WHERE c.n >= {least} AND (c.a, c.b) NOT IN ({done})
+          ORDER BY c.n DESC, x.id, y.id LIMIT 1)""")
+        ctes.append(f"ids{k + 1} AS MATERIALIZED (SELECT * FROM ids{k} UNION ALL SELECT a || b, 1000000 + {k} FROM p{k} WHERE a || b NOT IN (SELECT t FROM ids{k}))")
+        ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT coalesce((SELECT replace(e, chr(2) || a || chr(3) || chr(2) || b || chr(3), chr(2) || a || b || chr(3)) FROM p{k} WHERE used), e) AS e, n FROM w{k})")
+        done += f" UNION ALL SELECT a, b FROM p{k}"
+    every = " UNION ALL ".join(f"SELECT rank::BIGINT AS rank, a, b FROM p{k}" for k in range(rounds))
+    return "WITH " + ",\n".join(ctes) + " " + every
+
+
+def trained(o: tr.TrainerOptions, most: int | None = None, **more) -> Query:
+    def run(spark, sf_dir):
+        counts = plain_words(spark, sf_dir)
+        if most is not None:  # the vocabulary that leaves room for this many merges
+            letters = counts.select(F.explode(F.split("word", "")).alias("c"), F.lit(0).alias("x"))
+            if o.end_of_word_suffix:
+                last = counts.select(F.concat(F.right("word", F.lit(1)), F.lit(o.end_of_word_suffix)).alias("c"), F.lit(0).alias("x"))
+                letters = letters.unionByName(last)
+            size = letters.select("c").distinct().count() + most
+            model = tr.train(counts, tr.replace(o, vocab_size=size), **more)
+        else:
+            model = tr.train(counts, o, **more)
+        return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(model.merges)], "rank long, a string, b string")
+
+    return run
+
+
+register("train_k_merges", train_sql(12))(trained(tr.TrainerOptions(min_frequency=1), 12))
+register("train_vocab_limit", train_sql(5))(trained(tr.TrainerOptions(min_frequency=2), 5))
+register("train_min_freq", train_sql(25, least=90))(trained(tr.TrainerOptions(min_frequency=90), 25))
+register("train_maxlen", train_sql(8, most_bytes=2))(trained(tr.TrainerOptions(min_frequency=1, max_token_length=2), 8))
+register("train_suffix", train_sql(8, suffix="</w>"))(trained(tr.TrainerOptions(min_frequency=1, end_of_word_suffix="</w>"), 8))
+
+
+@register("train_distributed", train_sql(12))
+def train_distributed(spark, sf_dir):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tokenloom-")
+    return trained(tr.TrainerOptions(min_frequency=1), 12, local_words=0, folder=folder)(spark, sf_dir)
+
+
+# ---- encoding ----------------------------------------------------------------------------------
+def doc_tokens(spark, sf_dir, **options) -> DataFrame:
+    return encode(docs(spark, sf_dir), "text", fixed_model(**options), GPT2)
+
+
+@register("encode_fixed_merges", f"WITH {ENCODED} SELECT doc_id, count(*) AS n_tokens, md5(string_agg(token, chr(1) ORDER BY pos, i)) AS tokens_md5 FROM tok GROUP BY doc_id")
+def encode_fixed_merges(spark, sf_dir):
+    return doc_tokens(spark, sf_dir).select("doc_id", F.size("encoding.tokens").cast("long").alias("n_tokens"), digest(F.col("encoding.tokens")).alias("tokens_md5"))
+
+
+@register("encode_ids", f"WITH {ENCODED}, {IDS} SELECT doc_id, md5(string_agg(id::VARCHAR, ' ' ORDER BY pos, i)) AS ids_md5, sum(id)::BIGINT AS id_sum FROM tok JOIN vocab USING (token) GROUP BY doc_id")
+def encode_ids(spark, sf_dir):
+    ids = F.col("encoding.ids")
+    return doc_tokens(spark, sf_dir).select("doc_id", digest(F.transform(ids, lambda x: x.cast("string")), " ").alias("ids_md5"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+
+
+@register("encode_offsets", f"WITH {ENCODED}, o AS (SELECT doc_id, pos, i, sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos, i) AS e, length(token) AS n FROM tok) SELECT doc_id, md5(string_agg((e - n)::BIGINT::VARCHAR || '-' || e::BIGINT::VARCHAR, ' ' ORDER BY pos, i)) AS offsets_md5, max(e)::BIGINT AS last_end FROM o GROUP BY doc_id")
+def encode_offsets(spark, sf_dir):
+    e = F.col("encoding")
+    spans = F.zip_with(e["starts"], e["ends"], lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string")))
+    return doc_tokens(spark, sf_dir).select("doc_id", digest(spans, " ").alias("offsets_md5"), F.array_max(e["ends"]).cast("long").alias("last_end"))
+
+
+@register("encode_native", f"WITH {WORDS} SELECT word, array_to_string({merged_sql(wrapped_sql('word'))}, ' ') AS tokens FROM (SELECT {mapped_sql('word')} AS word FROM words)")
+def encode_native(spark, sf_dir):
+    words = tr.word_counts(docs(spark, sf_dir), "text", GPT2)
+    return words.select("word", F.array_join(native_tokens(F.col("word"), fixed_model()), " ").alias("tokens"))
+
+
+@register("encode_dropout_0", f"WITH {ENCODED} SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id")
+def encode_dropout_0(spark, sf_dir):
+    return doc_tokens(spark, sf_dir, dropout=0.0).select("doc_id", F.size("encoding.ids").cast("long").alias("n_tokens"))
+
+
+@register("encode_dropout_1", "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_tokens FROM documents WHERE text <> ''")
+def encode_dropout_1(spark, sf_dir):
+    return doc_tokens(spark, sf_dir, dropout=1.0).select("doc_id", F.size("encoding.ids").cast("long").alias("n_tokens"))
+
+
+@register("encode_dropout_half")
+def encode_dropout_half(spark, sf_dir):
+    rows = encode(docs(spark, sf_dir), "text", fixed_model(dropout=0.5), GPT2, seed=F.col("doc_id"))
+    return rows.select("doc_id", F.size("encoding.ids").cast("long").alias("n_tokens"))
+
+
+# Models over lower-case letters, so that every other character is unknown: variants of the options.
+SMALL = [("t", "h"), ("th", "e"), ("e", "r"), ("i", "n"), ("in", "g"), ("o", "n")]
+LETTER_VOCAB = {c: i for i, c in enumerate(LOW)} | {a + b: 26 + i for i, (a, b) in enumerate(SMALL)}
+WORD_SQL = "w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n]+')) AS word FROM documents)"
+
+
+def variant(model: Bpe) -> Query:
+    def run(spark, sf_dir):
+        words = docs(spark, sf_dir).select(F.explode(pt.kept_texts(pt.pieces_of(F.col("text"), BLANKS))).alias("word")).distinct()
+        e = encode_column(pt.whole(F.col("word")), model, False, spark)
+        return words.withColumn("e", e).select("word", F.array_join("e.tokens", " ").alias("tokens"), F.array_join(F.transform("e.ends", lambda x: x.cast("string")), " ").alias("ends"))
+
+    return run
+
+
+def variant_sql(symbols: str, merges=SMALL, join=lambda a, b: a + b, size: str = "octet_length(encode(x))", rest: str = "") -> str:
+    """symbols: a list expression over word, whose tokens' bytes are counted by size."""
+    toks = merged_sql(f"chr(2) || array_to_string({symbols}, chr(3) || chr(2)) || chr(3)", merges, join)
+    return f"""WITH {WORD_SQL}, t AS (SELECT word, {rest or toks} AS toks FROM w)
+    SELECT word, array_to_string(toks, ' ') AS tokens, array_to_string(list_transform(range(1, len(toks) + 1), lambda i: list_sum(list_transform(toks[1:i], lambda x: {size}))::BIGINT::VARCHAR), ' ') AS ends FROM t"""
+
+
+CHARS = "string_split(word, '')"
+KNOWN = "regexp_matches(c, '^[a-z]$')"
+_unk = LETTER_VOCAB | {"<unk>": 90}
+
+
+# an unknown token's bytes are those of the characters it stands for: they follow from the symbols
+def unk_sql(fuse: bool) -> str:
+    units = "regexp_extract_all(word, '[a-z]|[^a-z]+')" if fuse else CHARS
+    marked = f"list_transform({units}, lambda c: CASE WHEN {KNOWN} THEN c ELSE '<unk>' || octet_length(encode(c))::VARCHAR END)"
+    toks = merged_sql(f"chr(2) || array_to_string({marked}, chr(3) || chr(2)) || chr(3)", SMALL)
+    return f"""WITH {WORD_SQL}, t AS (SELECT word, {toks} AS toks FROM w)
+    SELECT word, array_to_string(list_transform(toks, lambda x: regexp_replace(x, '^<unk>.*$', '<unk>')), ' ') AS tokens,
+    array_to_string(list_transform(range(1, len(toks) + 1), lambda i: list_sum(list_transform(toks[1:i], lambda x: CASE WHEN x LIKE '<unk>%' THEN substr(x, 6)::INT ELSE length(x) END))::BIGINT::VARCHAR), ' ') AS ends FROM t"""
+
+
+register("encode_unk", unk_sql(False))(variant(Bpe(_unk, tuple(SMALL), Options(unk_token="<unk>"))))
+register("encode_fuse_unk", unk_sql(True))(variant(Bpe(_unk, tuple(SMALL), Options(unk_token="<unk>", fuse_unk=True))))
+_bytes = LETTER_VOCAB | {bc.byte_token(b): 100 + b for b in range(256)}
+_fallback = f"flatten(list_transform({CHARS}, lambda c: CASE WHEN {KNOWN} THEN [c] ELSE list_transform(range(1, octet_length(encode(c)) + 1), lambda i: '<0x' || substr(hex(encode(c)), (2 * i - 1)::INT, 2) || '>') END))"
+register("encode_byte_fallback", variant_sql(_fallback, size="CASE WHEN x LIKE '<0x%' THEN 1 ELSE length(x) END"))(variant(Bpe(_bytes, tuple(SMALL), Options(byte_fallback=True))))
+_tokens = merged_sql(f"chr(2) || array_to_string({CHARS}, chr(3) || chr(2)) || chr(3)", SMALL)
+_miss = f"CASE WHEN regexp_full_match(word, '[a-z]+') THEN {_tokens} ELSE []::VARCHAR[] END"
+register("encode_hard_miss", variant_sql(CHARS, rest=_miss))(variant(Bpe(LETTER_VOCAB, tuple(SMALL))))
+_ignored = LETTER_VOCAB | {w: 200 + i for i, w in enumerate(("that", "this", "The", "était", "on"))if w not in LETTER_VOCAB}
+_whole = "CASE WHEN word IN (" + ", ".join(map(lit, _ignored)) + f") THEN [word] WHEN regexp_full_match(word, '[a-z]+') THEN {_tokens} ELSE []::VARCHAR[] END"
+register("encode_ignore_merges", variant_sql(CHARS, rest=_whole))(variant(Bpe(_ignored, tuple(SMALL), Options(ignore_merges=True))))
+ENDED = [("t", "h"), ("th", "e</w>"), ("e", "r</w>"), ("i", "n"), ("in", "g</w>")]
+_ended = {c: i for i, c in enumerate(LOW)} | {c + "</w>": 26 + i for i, c in enumerate(LOW)} | {a + b: 52 + i for i, (a, b) in enumerate(ENDED)} | {"<unk>": 90}
+_end_symbols = "list_transform(range(1, length(word) + 1), lambda i: CASE WHEN NOT regexp_matches(word[i], '^[a-z]$') THEN '<unk>' || octet_length(encode(word[i]))::VARCHAR WHEN i = length(word) THEN word[i] || '</w>' ELSE word[i] END)"
+_shown = "array_to_string(list_transform(toks, lambda x: regexp_replace(x, '^<unk>.*$', '<unk>')), ' ') AS tokens"
+register("encode_suffix", variant_sql(_end_symbols, ENDED, size="CASE WHEN x LIKE '<unk>%' THEN substr(x, 6)::INT ELSE length(replace(x, '</w>', '')) END").replace("array_to_string(toks, ' ') AS tokens", _shown))(variant(Bpe(_ended, tuple(ENDED), Options(unk_token="<unk>", end_of_word_suffix="</w>"))))
+LEDBY = [("t", "##h"), ("t##h", "##e"), ("##e", "##r")]
+_led = {c: i for i, c in enumerate(LOW)} | {"##" + c: 26 + i for i, c in enumerate(LOW)} | {a + b: 52 + i for i, (a, b) in enumerate(LEDBY)} | {"<unk>": 90}
+_led_symbols = "list_transform(range(1, length(word) + 1), lambda i: CASE WHEN NOT regexp_matches(word[i], '^[a-z]$') THEN '<unk>' || octet_length(encode(word[i]))::VARCHAR WHEN i > 1 THEN '##' || word[i] ELSE word[i] END)"
+register("encode_prefix", variant_sql(_led_symbols, LEDBY, size="CASE WHEN x LIKE '<unk>%' THEN substr(x, 6)::INT ELSE length(replace(x, '##', '')) END").replace("array_to_string(toks, ' ') AS tokens", _shown))(variant(Bpe(_led, tuple(LEDBY), Options(unk_token="<unk>", continuing_subword_prefix="##"))))
+
+
+# ---- vocabularies ------------------------------------------------------------------------------
+LITERAL = {"a": 0, "b": 1, "c": 2, "d": 3, "ab": 4, "abc": 5, "cd": 6}
+LITERAL_MERGES = [("a", "b"), ("b", "x"), ("ab", "c"), ("c", "d"), ("d", "a"), ("a", "b")]
+V_SQL = "v AS (SELECT unnest([" + ", ".join(map(lit, LITERAL)) + "]) AS token, unnest([" + ", ".join(map(str, LITERAL.values())) + "]) AS id)"
+M_SQL = "m AS (SELECT unnest(range(0, 6)) AS rank, unnest([" + ", ".join(lit(a) for a, _ in LITERAL_MERGES) + "]) AS a, unnest([" + ", ".join(lit(b) for _, b in LITERAL_MERGES) + "]) AS b)"
+R_SQL = f"WITH {V_SQL}, {M_SQL}, r AS (SELECT x.id AS a_id, y.id AS b_id, max(rank)::INT AS rank, max(z.id)::INT AS merged_id FROM m JOIN v x ON x.token = a JOIN v y ON y.token = b JOIN v z ON z.token = a || b GROUP BY 1, 2)"
+
+
+@register("merge_resolution", f"{R_SQL} SELECT a_id::INT AS a_id, b_id::INT AS b_id, rank, merged_id FROM r")
+def merge_resolution(spark, sf_dir):
+    return resolve_merges(*Bpe(LITERAL, tuple(LITERAL_MERGES)).frames(spark))
+
+
+@register("merges_list", f"{R_SQL} SELECT (row_number() OVER (ORDER BY rank) - 1)::INT AS pos, x.token AS a, y.token AS b FROM r JOIN v x ON x.id = a_id JOIN v y ON y.id = b_id")
+def merges_list(spark, sf_dir):
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(Bpe(LITERAL, tuple(LITERAL_MERGES)).merges_list())], "pos int, a string, b string")
+
+
+@register("vocab_lookup", f"WITH {V_SQL}, c AS (SELECT unnest(string_split(text, '')) AS token FROM benchmark) SELECT token, id::INT AS id, count(*) AS n FROM c JOIN v USING (token) GROUP BY ALL")
+def vocab_lookup(spark, sf_dir):
+    vocab, _ = Bpe(LITERAL, tuple(LITERAL_MERGES)).frames(spark)
+    chars = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.split("text", "")).alias("token"))
+    return chars.join(F.broadcast(vocab), "token").groupBy("token", "id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- post-processing ---------------------------------------------------------------------------
+CONV = ENCODED.replace("documents", "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)")
+CONV_IDS = f"WITH {CONV}, {IDS}, e AS (SELECT doc_id AS row_id, list(id ORDER BY pos, i) AS ids FROM tok JOIN vocab USING (token) GROUP BY doc_id)"
+JOINED = "array_to_string(list_transform({l}, lambda x: x::VARCHAR), ' ')"
+
+
+def turns(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
+
+
+def shown(c: Column) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+
+
+def turn_encodings(tokenizer: Tokenizer, *fields: str) -> Query:
+    def run(spark, sf_dir):
+        rows = tokenizer.encode(turns(spark, sf_dir).filter("text <> ''"))
+        return rows.select("row_id", *(shown(F.col(f"encoding.{k}")).alias(k) for k in fields))
+
+    return run
+
+
+BASE = Tokenizer(fixed_model(), None, GPT2)
+
+
+def ids_sql(expression: str, name: str = "ids") -> str:
+    return f"{CONV_IDS} SELECT row_id, {JOINED.replace('{l}', expression)} AS {name} FROM e"
+
+
+register("truncate_head", ids_sql("ids[1:16]"))(turn_encodings(BASE.with_(truncation=pp.Truncation(16)), "ids"))
+register("truncate_tail", ids_sql("ids[greatest(len(ids) - 15, 1):]"))(turn_encodings(BASE.with_(truncation=pp.Truncation(16, direction_from_end=True)), "ids"))
+register("pad_fixed", ids_sql("list_concat(ids, list_transform(range(0, greatest(400 - len(ids), 0)), lambda i: 7))"))(turn_encodings(BASE.with_(padding=pp.Padding(400, pad_id=7)), "ids"))
+register("pad_longest", ids_sql("list_concat(ids, list_transform(range(0, (SELECT max(len(ids)) FROM e) - len(ids)), lambda i: 0))"))(turn_encodings(BASE.with_(padding=pp.Padding()), "ids"))
+register(
+    "encoding_masks",
+    f"{CONV_IDS} SELECT row_id, " + ", ".join(f"{JOINED.replace('{l}', l)} AS {n}" for l, n in (("list_concat(list_transform(ids, lambda x: 0), list_transform(range(0, greatest(300 - len(ids), 0)), lambda i: 3))", "type_ids"), ("list_concat(list_transform(ids, lambda x: 1), list_transform(range(0, greatest(300 - len(ids), 0)), lambda i: 0))", "attention_mask"), ("list_transform(range(0, greatest(300, len(ids))), lambda i: 0)", "special_tokens_mask"))) + " FROM e",
+)(turn_encodings(BASE.with_(padding=pp.Padding(300, pad_type_id=3)), "type_ids", "attention_mask", "special_tokens_mask"))
+_lead = "length(regexp_extract(token, '^[Ġ]*'))"
+_trail = "length(regexp_extract(token, '[Ġ]*$'))"
+register(
+    "trim_offsets",
+    f"""WITH {CONV}, o AS (SELECT doc_id, pos, i, token, sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos, i) AS e, length(token) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) AS k FROM tok),
+    x AS (SELECT *, CASE WHEN k = 1 AND {_lead} = 1 THEN 0 ELSE {_lead} END AS lead, least({_trail}, n - {_lead}) AS trail FROM o),
+    y AS (SELECT *, least(e - n + lead, e) AS s FROM x)
+    SELECT doc_id AS row_id, string_agg(s::BIGINT::VARCHAR, ' ' ORDER BY k) AS starts, string_agg(greatest(e - trail, s)::BIGINT::VARCHAR, ' ' ORDER BY k) AS ends FROM y GROUP BY doc_id""",
+)(turn_encodings(BASE.with_(post_processor=pt.ByteLevel(True)), "starts", "ends"))
+
+
+# ---- decoding ----------------------------------------------------------------------------------
+@register("encode_decode_roundtrip", "SELECT doc_id, text AS decoded FROM documents")
+def roundtrip(spark, sf_dir):
+    rows = BASE.encode(docs(spark, sf_dir)).select("doc_id", F.col("encoding.ids").alias("ids"))
+    return BASE.decode(rows, "ids", skip_special_tokens=False).select("doc_id", "decoded")
+
+
+@register("decode_ids", f"{CONV_IDS} SELECT doc_id AS row_id, text AS decoded FROM (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations) WHERE text <> ''")
+def decode_ids(spark, sf_dir):
+    rows = BASE.encode(turns(spark, sf_dir).filter("text <> ''")).select("row_id", F.concat("encoding.ids", F.array(F.lit(99_999))).alias("ids"))
+    return BASE.decode(rows, "ids", skip_special_tokens=False).select("row_id", "decoded")
+
+
+@register("decode_skip_special", "SELECT item_id, regexp_replace(text, ' [^ ]*', '', 'g') AS kept, text AS every FROM benchmark WHERE NOT regexp_matches(text, '[^\\x20-\\x7e]')")
+def decode_skip_special(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter(~F.col("text").rlike("[^\\x20-\\x7e]"))
+    words = F.split("text", " ")
+    marked = F.flatten(F.transform(words, lambda w, i: F.when(i == 0, F.array(w)).otherwise(F.array(F.lit("<s>"), F.concat(F.lit("<"), w, F.lit(">"))))))
+    every = F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.lit("Ġ"), w)))
+    return rows.select("item_id", dc.decode_text(marked).alias("kept"), dc.decode_text(every, False).alias("every"))
+
+
+# ---- files, streams, flagship ------------------------------------------------------------------
+@register("model_io_roundtrip", f"WITH {ENCODED} SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id")
+def model_io_roundtrip(spark, sf_dir):
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tokenloom-')).rstrip('/')}/model-{uuid.uuid4().hex}"
+    tokenizer = Tokenizer(fixed_model(), nz.sequence(nz.identity()), GPT2, GPT2)
+    tokenizer.to_file(spark, f"{folder}/tokenizer.json")
+    tokenizer.to_vocab_merges(spark, folder)
+    read = Tokenizer.from_file(spark, f"{folder}/tokenizer.json")
+    again = files.from_files(spark, f"{folder}/vocab.json", f"{folder}/merges.txt")
+    if again.table != read.model.table or read.to_json() != tokenizer.to_json():
+        raise AssertionError("what was written differs from what is read")
+    return read.encode(docs(spark, sf_dir)).select("doc_id", F.size("encoding.ids").cast("long").alias("n_tokens"))
+
+
+@register("stream_word_counts", "SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^ \\n]+')) AS w FROM benchmark) GROUP BY w")
+def streamed(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/benchmark.parquet*")
+    name = f"counts_{uuid.uuid4().hex}"
+    stream_word_counts(stream, "text", BLANKS).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@register("tokens_per_lang", f"WITH {ENCODED.replace('SELECT doc_id, ' + split_sql(), 'SELECT doc_id, ' + split_sql())} SELECT lang, count(DISTINCT doc_id) AS n_docs, count(*) AS n_tokens FROM tok JOIN documents USING (doc_id) GROUP BY lang")
+def tokens_per_lang(spark, sf_dir):
+    """Flagship: documents and tokens by language."""
+    rows = encode(docs(spark, sf_dir, "lang", "text"), "text", fixed_model(), GPT2)
+    n = F.size("encoding.ids").cast("long")
+    return rows.select("lang", n.alias("n")).filter("n > 0").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
