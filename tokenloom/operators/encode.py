@@ -22,15 +22,15 @@ ENCODED_ARROW = pa.struct([("ids", pa.list_(pa.int32())), ("tokens", pa.list_(pa
 OPEN, CLOSE = "\x02", "\x03"
 
 
-def encode_column(pieces: Column, model: Bpe, mapped: bool, spark, seed: Column | None = None, memory: int = 200_000) -> Column:
-    """struct<ids, tokens, starts, ends> of an array of pieces; offsets are bytes of the whole text.
+def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out: str = "encoding", seed: Column | None = None, memory: int = 200_000) -> DataFrame:
+    """df with struct<ids, tokens, starts, ends> of an array of pieces; offsets are bytes of the whole text.
 
     Tokens of a byte-mapped piece count one byte per character, the prefix put in front counts none.
     With dropout, seed (a long column) makes the outcome a function of it and of the piece's position;
     without seed every run differs. Empty and null arrays give empty lists.
     """
-    sent = spark.sparkContext.broadcast(model)
-    drop = model.options.dropout
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    drop, seeded = model.options.dropout, seed is not None
 
     def run(batches: Iterator) -> Iterator[pa.Array]:
         bpe, known = sent.value, {}
@@ -65,20 +65,18 @@ def encode_column(pieces: Column, model: Bpe, mapped: bool, spark, seed: Column
                 at += size
             return {"ids": ids, "tokens": tokens, "starts": starts, "ends": ends}
 
-        for rows, seeds in batches:
+        for rows, seeds, _ in batches:
             own = seeds.to_pylist()
-            if drop and seed is None:
+            if drop and not seeded:
                 own = [random.random() for _ in own]
             yield pa.array([one(r, s) for r, s in zip(rows.to_pylist(), own)], ENCODED_ARROW)
 
-    def typed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        return run(batches)
-
-    typed.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    udf = F.arrow_udf(typed, ENCODED)
-    if drop and seed is None:
-        udf = udf.asNondeterministic()
-    return udf(pieces, seed if seed is not None else F.lit(0).cast("long"))
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    # marked nondeterministic, it runs once a row: no filter is pushed through it. Used twice, the pieces stay
+    # a column of their own: functions with lambdas cannot stand in a UDF's input
+    udf = F.arrow_udf(run, ENCODED).asNondeterministic()
+    held = df.withColumn("_pieces", pieces)
+    return held.withColumn(out, udf(F.col("_pieces"), seed if seed is not None else F.lit(0).cast("long"), F.size("_pieces"))).drop("_pieces")
 
 
 def native_tokens(piece: Column, model: Bpe) -> Column:
@@ -114,4 +112,4 @@ def encode(df: DataFrame, text: str, model: Bpe, pre_tokenizer=None, out: str =
     """df with the encoding of a text column: ids, tokens and byte offsets."""
     pieces = pieces_of(F.coalesce(F.col(text), F.lit("")), pre_tokenizer)
     mapped = bool(pre_tokenizer is not None and pre_tokenizer.mapped)
-    return df.withColumn(out, encode_column(pieces, model, mapped, df.sparkSession, seed))
+    return encode_pieces(df, pieces, model, mapped, out, seed)

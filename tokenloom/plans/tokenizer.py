@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as nz
 from ..operators import decode as dc
 from ..operators import postprocess as pp
-from ..operators.encode import encode_column
+from ..operators.encode import encode_pieces
 from ..operators.model import Bpe
 from ..operators.pretokenize import ByteLevel, pieces_of
 from ..sources import files
@@ -48,7 +48,7 @@ class Tokenizer:
         else:
             plain = self.normalizer(raw) if self.normalizer else raw
             mapped = bool(self.pre_tokenizer is not None and self.pre_tokenizer.mapped)
-            df = df.withColumn("_e", encode_column(pieces_of(plain, self.pre_tokenizer), self.model, mapped, df.sparkSession, seed))
+            df = encode_pieces(df, pieces_of(plain, self.pre_tokenizer), self.model, mapped, "_e", seed)
             e = F.col("_e")
             if self.post_processor and self.post_processor.trim_offsets:
                 df = df.withColumn("_e", pp.trim_offsets(e, self.post_processor.add_prefix_space))

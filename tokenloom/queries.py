@@ -16,7 +16,7 @@ from .operators import decode as dc
 from .operators import postprocess as pp
 from .operators import pretokenize as pt
 from .operators import train as tr
-from .operators.encode import encode, encode_column, native_tokens
+from .operators.encode import encode, encode_pieces, native_tokens
 from .operators.model import Bpe, Options, resolve_merges
 from .plans.tokenizer import Tokenizer
 from .sources import files
@@ -351,8 +351,7 @@ WORD_SQL = "w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n]+')) A
 def variant(model: Bpe) -> Query:
     def run(spark, sf_dir):
         words = docs(spark, sf_dir).select(F.explode(pt.kept_texts(pt.pieces_of(F.col("text"), BLANKS))).alias("word")).distinct()
-        e = encode_column(pt.whole(F.col("word")), model, False, spark)
-        return words.withColumn("e", e).select("word", F.array_join("e.tokens", " ").alias("tokens"), F.array_join(F.transform("e.ends", lambda x: x.cast("string")), " ").alias("ends"))
+        return encode_pieces(words, pt.whole(F.col("word")), model, False, "e").select("word", F.array_join("e.tokens", " ").alias("tokens"), F.array_join(F.transform("e.ends", lambda x: x.cast("string")), " ").alias("ends"))
 
     return run
 
