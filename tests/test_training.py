@@ -1,0 +1,113 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tokenloom.operators import pretokenize as pt
+from tokenloom.operators import train as tr
+
+O = tr.TrainerOptions
+WORDS = pt.whitespace()
+
+
+def fed(spark, *texts):
+    return spark.createDataFrame([(t,) for t in texts], "text string")
+
+
+def model(spark, text, pre=WORDS, **o):
+    return tr.train_on(fed(spark, text), "text", O(**{"min_frequency": 1} | o), pre)
+
+
+def test_nothing_fed(spark):
+    with pytest.raises(ValueError):
+        tr.train_on(fed(spark), "text", O())
+    with pytest.raises(ValueError):
+        tr.train_on(fed(spark, None, ""), "text", O())
+
+
+def test_options(spark):
+    m = model(spark, "ab ab ab ab")
+    assert "ab" in m.vocab and len(m.encode("ab")) == 1
+    few = model(spark, "ab ab ab ab", min_frequency=5)
+    assert "ab" not in few.vocab and {"a", "b"} <= set(few.vocab)
+    special = model(spark, "ab", special_tokens=("<unk>", "<pad>", "<unk>"))
+    assert special.vocab["<unk>"] == 0 and special.vocab["<pad>"] == 1
+    assert "z" in model(spark, "ab ab", initial_alphabet="z").vocab
+    limited = model(spark, "ab ab cd abcd", limit_alphabet=2)
+    assert {"a", "b"} <= set(limited.vocab) and not {"c", "d"} & set(limited.vocab)
+    assert set(model(spark, "ab ab ab", vocab_size=3).vocab) == {"a", "b", "ab"}
+    assert set("abcdwxyz") <= set(model(spark, "abcd wxyz", vocab_size=200).vocab)
+
+
+def test_suffix_and_prefix(spark):
+    m = model(spark, "he lo he lo he lo", end_of_word_suffix="</w>")
+    assert {"e</w>", "o</w>"} <= set(m.vocab) and m.tokens[m.encode("he")[-1][0]].endswith("</w>")
+    p = model(spark, "abc abc", continuing_subword_prefix="##")
+    assert "##b" in p.vocab and [p.tokens[i] for i, _ in p.encode("abc")] == ["abc"]
+
+
+def test_byte_level(spark):
+    m = model(spark, "hello world hello", pt.ByteLevel(False, True, False))
+    assert {"h", "e"} <= set(m.vocab) and "".join(m.tokens[i] for i, _ in m.encode("hello")) == "hello"
+
+
+def test_max_length_records_but_does_not_apply(spark):
+    m = model(spark, "abcd abcd abcd", max_token_length=2, vocab_size=9)
+    assert all(len(m.tokens[i]) <= 4 for i, _ in m.encode("abcd")) and ("a", "b") in m.merges
+
+
+def canonical(words, o):
+    """Full recounts: the plain rule."""
+    counts = {}
+    for w, n in words.items():
+        for c in w:
+            counts[c] = counts.get(c, 0) + n
+    names = sorted(counts, key=lambda c: (-counts[c], ord(c)))
+    ids = {c: i for i, c in enumerate(names)}
+    cut = {w: list(w) for w in words}
+    merges = []
+    while len(ids) < o.vocab_size:
+        pairs = {}
+        for w, n in words.items():
+            for p in zip(cut[w], cut[w][1:]):
+                pairs[p] = pairs.get(p, 0) + n
+        pairs = {p: n for p, n in pairs.items() if p not in merges}
+        if not pairs:
+            break
+        best = min(pairs, key=lambda p: (-pairs[p], ids[p[0]], ids[p[1]]))
+        if pairs[best] < max(1, o.min_frequency):
+            break
+        merges.append(best)
+        ids.setdefault("".join(best), len(ids))
+        for w in cut:
+            for p in merges:
+                out, i = [], 0
+                while i < len(cut[w]):
+                    two = tuple(cut[w][i : i + 2])
+                    out.append("".join(two) if two == p else cut[w][i])
+                    i += 1 + (two == p)
+                cut[w] = out
+    return merges
+
+
+def test_both_ways_are_canonical(spark, tmp_path):
+    rng = random.Random(5)
+    words = {}
+    for _ in range(60):
+        words["".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))] = rng.randint(1, 30)
+    counts = spark.createDataFrame(list(words.items()), "word string, n long")
+    o = O(min_frequency=3, vocab_size=30)
+    want = canonical(words, o)
+    assert list(tr.train(counts, o).merges) == want
+    assert list(tr.train(counts, o, local_words=0, folder=str(tmp_path)).merges) == want
+
+
+def test_feeds_add_up(spark):
+    a, b = (tr.word_counts(fed(spark, t), "text", WORDS) for t in ("x y x", "x z"))
+    assert {r["word"]: r["n"] for r in tr.merged_counts(a, b).collect()} == {"x": 3, "y": 1, "z": 1}
+
+
+def test_progress(spark):
+    seen = []
+    tr.train_on(fed(spark, "ab ab"), "text", O(min_frequency=1, progress=lambda *x: seen.append(x)), WORDS)
+    assert seen == [(3, 30_000, "Compute merges")]

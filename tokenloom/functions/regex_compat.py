@@ -57,13 +57,11 @@ def translate(pattern: str) -> str:
 def usable(pattern: str) -> bool:
     """Whether the JVM compiles the (translated) pattern; callers treat others as matching nothing."""
     from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
 
-    jvm = SparkContext._active_spark_context._jvm
     try:
-        jvm.java.util.regex.Pattern.compile(pattern)
-    except Exception as e:  # py4j wraps PatternSyntaxException
-        if "PatternSyntaxException" not in str(e):
-            raise
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:  # what PatternSyntaxException is
         return False
     return True
 

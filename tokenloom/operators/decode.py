@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,6 @@ def tokens_of(df: DataFrame, ids: str, model: Bpe, key: str | None = None, out:
         table = F.create_map(*(F.lit(x) for i, t in sorted(model.tokens.items()) for x in (i, t))) if model.vocab else F.create_map().cast("map<int,string>")
         found = F.transform(F.col(ids), lambda i: F.try_element_at(table, i.cast("int")))
         return df.withColumn(out, F.filter(found, lambda t: t.isNotNull()))
-    import pandas as pd
-
     sent = df.sparkSession.sparkContext.broadcast(model.tokens)
 
     @F.pandas_udf("array<string>")
