@@ -36,7 +36,7 @@ class SimHash:
     words: int = 1
     radius: int = 3
     pivots: int = 16
-    tables: int = 40
+    tables: int = 64
     key_bits: int = 20
     block: int = 8192
     seed: int = 42
