@@ -152,3 +152,12 @@ def test_streams(spark, tmp_path):
         stream_encode(stream, tok.with_(padding=pp.Padding()))
     timed = spark.readStream.format("rate").load().select("timestamp", F.lit("a b").alias("text"))
     assert "watermark" in stream_word_counts(timed, "text", pt.whitespace(), "timestamp", "1 minute", "2 minutes")._jdf.queryExecution().logical().toString().lower()
+
+
+def test_own_parts(spark):
+    v = {"a": 0, "b": 1, "<s>": 2}
+    first = lambda e: F.struct(*(F.slice(e[k], 1, 1).alias(k) for k in ("ids", "tokens", "starts", "ends")))
+    tok = Tokenizer(Bpe(v), None, pt.whitespace(), first, lambda tokens: F.array_join(tokens, "-"))
+    assert encodings(spark, tok, "b a")[0]["ids"] == [1]
+    df = spark.createDataFrame([([0, 2, 1],)], "ids array<int>")
+    assert tok.decode(df, "ids").first()["decoded"] == "a-b" and tok.decode(df, "ids", skip_special_tokens=False).first()["decoded"] == "a-<s>-b"

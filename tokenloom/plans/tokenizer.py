@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -20,15 +21,19 @@ from ..sources import files
 
 @dataclass(frozen=True)
 class Tokenizer:
-    """Immutable; with_(...) gives a changed one. post_processor trims offsets if it is a ByteLevel.
+    """Immutable; with_(...) gives a changed one.
+
+    Parts can be one's own: a normalizer needs apply and cut, a pre-tokenizer takes and gives an array of
+    pieces and has mapped, a post-processor is a ByteLevel (trims offsets) or takes and gives an
+    encoding column, a decoder is "ByteLevel" or takes a column of tokens.
 
     """
 
     model: Bpe | None = None
     normalizer: nz.Normalizer | None = None
     pre_tokenizer: Any = None
-    post_processor: ByteLevel | None = None
-    decoder: str | None = "ByteLevel"
+    post_processor: ByteLevel | Callable[[Column], Column] | None = None
+    decoder: str | Callable[[Column], Column] | None = "ByteLevel"
     truncation: pp.Truncation | None = None
     padding: pp.Padding | None = None
 
@@ -50,8 +55,11 @@ class Tokenizer:
             mapped = bool(self.pre_tokenizer is not None and self.pre_tokenizer.mapped)
             df = encode_pieces(df, pieces_of(plain, self.pre_tokenizer), self.model, mapped, "_e", seed)
             e = F.col("_e")
-            if self.post_processor and self.post_processor.trim_offsets:
-                df = df.withColumn("_e", pp.trim_offsets(e, self.post_processor.add_prefix_space))
+            if isinstance(self.post_processor, ByteLevel):
+                if self.post_processor.trim_offsets:
+                    df = df.withColumn("_e", pp.trim_offsets(e, self.post_processor.add_prefix_space))
+            elif self.post_processor is not None:
+                df = df.withColumn("_e", self.post_processor(e))
             if self.normalizer:
                 df = df.withColumn("_e", pp.shifted(F.col("_e"), self.normalizer.cut(raw)))
         e = pp.with_masks(e)
@@ -64,6 +72,10 @@ class Tokenizer:
         """df with the text of an array of ids; empty without model or decoder."""
         if self.model is None or self.decoder is None:
             return df.withColumn(out, F.lit(""))
+        if callable(self.decoder):
+            tokens = dc.tokens_of(df, ids, self.model, out="_tokens")
+            kept = dc.without_special(F.col("_tokens")) if skip_special_tokens else F.col("_tokens")
+            return tokens.withColumn(out, self.decoder(kept)).drop("_tokens")
         return dc.decode(df, ids, self.model, skip_special_tokens, out)
 
     @staticmethod
@@ -91,7 +103,7 @@ class Tokenizer:
                 "normalizer": files.normalizer_json(self.normalizer),
                 "pre_tokenizer": files.pre_tokenizer_json(self.pre_tokenizer),
                 "post_processor": files.pre_tokenizer_json(self.post_processor),
-                "decoder": {"type": self.decoder} if self.decoder else None,
+                "decoder": {"type": self.decoder} if isinstance(self.decoder, str) else None,
                 "model": files.model_json(self.model) if self.model else None,
             },
             ensure_ascii=False,
