@@ -83,7 +83,7 @@ def dedup_by_hand(rows, long=50):
     for key in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         kept = []
         for c in chunks_by_hand(key[1] or ""):
-            if c.strip(" \t\r\n\x0b\x0c") and ("\n" in c or len(c.split()) > long):
+            if c.strip(" \t\r\n\x0b\x0c") and ("\n" in c or c.count(" ") >= long):
                 if c in seen:
                     continue
                 seen.add(c)
@@ -100,6 +100,8 @@ def test_lines_by_hand(spark):
     got = lines.dedup_lines(df)
     assert got.columns == ["doc_id", "text", "chunks", "removed_lines", "removed_chunks"]
     want = dedup_by_hand(rows)
+    clashing = lines.dedup_lines(df, hash_bits=2)
+    assert sorted(map(str, clashing.collect())) == sorted(map(str, got.collect()))
     assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in got.collect())) == sorted((k[0] or 0, want[k] or "") for k in rows)
     assert lines.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 

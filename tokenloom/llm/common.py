@@ -24,7 +24,7 @@ def cut(df: DataFrame) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back: (frame without lineage, path)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -18,7 +18,7 @@ LONG = 50
 
 
 def chunked(docs: DataFrame, text: str = "text", long: int = LONG) -> DataFrame:
-    """Adds chunks: array<struct<text, lines, eligible>> whose texts, joined by newlines, are the text.
+    """Adds chunks: array<struct<text, eligible>> whose texts, joined by newlines, are the text.
 
     Each step is a column that the next uses more than once, so none is worked out twice; no function
     of an element refers to another array, so the work is linear in the text.
@@ -43,54 +43,71 @@ def chunked(docs: DataFrame, text: str = "text", long: int = LONG) -> DataFrame:
 
     def described(c: Column) -> Column:
         own = F.replace(c, F.lit("\n+"), F.lit("\n"))
-        many_words = F.size(F.split(F.btrim(own), r"\s+")) > long
-        several = F.contains(c, F.lit("\n+"))
-        not_blank = F.btrim(own, F.lit(" \t\r\n\x0b\f")) != ""
-        return F.struct(own.alias("text"), (F.size(F.split(c, "\n", -1))).alias("lines"), (not_blank & (several | many_words)).alias("eligible"))
+        spaces = F.length(own) - F.length(F.replace(own, F.lit(" "), F.lit("")))
+        weighty = F.when(F.contains(c, F.lit("\n+")), True).otherwise(spaces >= long)
+        return F.struct(own.alias("text"), (weighty & (F.ltrim(own, F.lit(" \t\r\n\x0b\f")) != "")).alias("eligible"))
 
     return df.withColumn("chunks", F.transform(chunks, described)).drop("_lines", "_hashes", "_rolling")
 
 
-def repeated_chunks(docs: DataFrame, text: str = "text", long: int = LONG) -> DataFrame:
-    """(doc_id, text_key, chunk numbers from 0): the chunks to remove, one row per document that has any.
+def line_count(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
-    Occurrences are ordered by doc_id (null first), text_key and number; the first stays.
+
+def repeated_by_hash(keyed: DataFrame, long: int, hash_bits: int) -> DataFrame:
+    """keyed (_id, _key, text) -> (_id, _key, found array<struct<number, hash, first>>) of the documents
+    that hold a chunk whose hash occurs elsewhere. Texts stay where they are; only hashes are shuffled.
+
+    Occurrences are ordered by _id (null first), _key and number.
     """
-    keyed = docs.select("doc_id", F.col(text).alias("text")).filter("text <> ''").withColumn("text_key", F.xxhash64("text"))
-    rows = chunked(keyed, "text", long).select("doc_id", "text_key", F.posexplode("chunks").alias("number", "chunk"))
-    rows = rows.filter("chunk.eligible").select(F.struct("doc_id", "text_key", "number").alias("at"), F.col("chunk.text").alias("chunk")).withColumn("hash", F.xxhash64("chunk"))
-    seen = rows.groupBy("hash").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("NOT first <=> last").select("hash", "first")
-    seen, _ = cut(seen)
-    found = rows.join(seen, "hash")
-    kept = found.filter("at <=> first").select("hash", F.col("chunk").alias("bytes")).dropDuplicates(["hash"])
-    same = found.filter("NOT at <=> first").join(kept, "hash").filter("chunk = bytes")
-    return same.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(F.collect_set("at.number").alias("numbers"))
-
-
-def dedup_lines(docs: DataFrame, text: str = "text", long: int = LONG) -> DataFrame:
+    rows = chunked(keyed, "text", long).select("_id", "_key", F.posexplode(F.transform("chunks", lambda x: F.when(x["eligible"], F.xxhash64(x["text"]) % (1 << hash_bits)))).alias("number", "hash"))
+    rows, _ = cut(rows.filter("hash IS NOT NULL"))
+    at = F.struct("_id", "_key", "number")
+    seen = rows.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("NOT first <=> last").select("hash", "first")
+    found = rows.join(seen.hint("merge"), "hash")
+    return found.groupBy("_id", "_key").agg(F.collect_set(F.struct("number", "hash", (at.eqNullSafe(F.col("first"))).alias("first"))).alias("found"))
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", long: int = LONG, hash_bits: int = 62) -> DataFrame:
     """docs with repeated chunks removed from text, plus removed_lines and removed_chunks.
 
-    Null and empty texts stay as they are and count for nothing; blank chunks and single lines of up to
-    `long` words are never removed. Rows that repeat doc_id and text are one document: what the first
-    occurrence keeps, all of them keep. Other columns stay; removed_lines, removed_chunks are replaced.
+    Null and empty texts stay as they are and count for nothing; blank chunks, and single lines with
+    fewer than `long` spaces, are never removed. Rows that repeat doc_id and text are one document: what
+    the first occurrence keeps, all of them keep. Other columns stay; removed_lines and removed_chunks
+    are replaced.
+
+    Chunks are found by hash and joined to their documents, the one shuffle of whole texts; then the
+    bytes of the chunks of each hash are compared. Where they differ (a clash of hashes), the chunks of
+    that hash are worked out again by their bytes.
     """
-    plan, _ = cut(repeated_chunks(docs, text, long))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "numbers")
     own = [c for c in docs.columns if c not in ("removed_lines", "removed_chunks")]
-    base = docs.select(*own)
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key"))
-    hit = base.join(plan, on, "left").withColumn("numbers", F.coalesce("numbers", F.array().cast("array<int>")))
-    gone = lambda x, i: F.array_contains(F.col("numbers"), i)
-    parts = chunked(hit, text, long)
-    kept = F.filter("chunks", lambda x, i: ~F.array_contains(F.col("numbers"), i))
-    removed = F.filter("chunks", gone)
-    none = F.size("numbers") == 0
-    new = {
-        text: F.when(none, F.col(text)).otherwise(F.array_join(F.transform(kept, lambda x: x["text"]), "\n")),
-        "removed_lines": F.when(none, F.lit(0)).otherwise(F.aggregate(removed, F.lit(0), lambda a, x: a + x["lines"])),
-        "removed_chunks": F.size("numbers"),
-    }
-    return parts.select(*[c for c in own if c != text], *[v.alias(k) for k, v in new.items()]).select(*own, "removed_lines", "removed_chunks")
+    # documents ride in a struct, so that no column of theirs can clash with the working ones
+    base = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("text"))
+    found = repeated_by_hash(base.filter("text <> ''").select("_id", "_key", "text"), long, hash_bits)
+    right = found.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "found")
+    joined = base.select("_row", "_id", "_key").join(right.hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left").drop("_i", "_k")
+    joined = joined.withColumn("found", F.when(F.col(f"_row.{text}") != "", F.col("found")))
+    joined, _ = cut(joined)
+    held = joined.filter("found IS NOT NULL").select("_id", "_key", "found", F.col(f"_row.{text}").alias("text"))
+    some = chunked(held, "text", long).select("_id", "_key", F.explode(F.transform("found", lambda x: F.struct(x["number"].alias("number"), x["hash"].alias("hash"), x["first"].alias("first"), F.get("chunks", x["number"])["text"].alias("bytes")))).alias("c")).select("_id", "_key", "c.*")
+    kinds = some.groupBy("hash", "bytes").agg(F.min(F.struct("_id", "_key", "number")).alias("first"))
+    clashes, _ = cut(kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"))
+    if not clashes.isEmpty():
+        # their own first occurrences stay, too
+        kept = kinds.join(clashes, "hash").select("first.*").distinct()
+        kept = kept.groupBy(F.col("_id").alias("_i"), F.col("_key").alias("_k")).agg(F.collect_set("number").alias("kept"))
+        joined = joined.join(kept, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left").drop("_i", "_k")
+    else:
+        joined = joined.withColumn("kept", F.lit(None).cast("array<int>"))
+    gone = F.transform(F.filter("found", lambda x: ~x["first"]), lambda x: x["number"])
+    joined = joined.withColumn("gone", F.coalesce(F.array_except(gone, F.coalesce("kept", F.array().cast("array<int>"))), F.array().cast("array<int>")))
+    split = chunked(joined.withColumn("_text", F.when(F.size("gone") > 0, F.col(f"_row.{text}"))), "_text", long)
+    left = F.filter("chunks", lambda x, i: ~F.array_contains(F.col("gone"), i))
+    removed = F.filter("chunks", lambda x, i: F.array_contains(F.col("gone"), i))
+    touched = F.size("gone") > 0
+    new = F.when(touched, F.array_join(F.transform(left, lambda x: x["text"]), "\n")).otherwise(F.col(f"_row.{text}"))
+    lines = F.when(touched, F.aggregate(removed, F.lit(0), lambda a, x: a + line_count(x["text"]))).otherwise(0)
+    return split.select(*[new.alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in own], lines.alias("removed_lines"), F.size("gone").alias("removed_chunks"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +127,7 @@ x AS (SELECT doc_id, text, ls, ends, unnest(range(1, len(ends) + 1)) AS i FROM e
 c AS (SELECT doc_id, text, i - 1 AS number, ends[i] - CASE WHEN i > 1 THEN ends[i - 1] ELSE 0 END AS n_lines,
   array_to_string(ls[CASE WHEN i > 1 THEN ends[i - 1] ELSE 0 END + 1 : ends[i]], chr(10)) AS chunk FROM x),
 o AS (SELECT *, trim(chunk, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
-    AND (n_lines > 1 OR len(regexp_split_to_array(trim(chunk, ' '), '[\s\x0b]+')) > {LONG}) AS eligible FROM c),
+    AND (n_lines > 1 OR length(chunk) - length(replace(chunk, ' ', '')) >= {LONG}) AS eligible FROM c),
 d AS (SELECT *, eligible AND row_number() OVER (PARTITION BY eligible, chunk ORDER BY doc_id, number) > 1 AS gone FROM o),
 line_dedup AS (SELECT doc_id, text, coalesce(string_agg(chunk, chr(10) ORDER BY number) FILTER (NOT gone), '') AS new_text,
   coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS removed_lines, count(*) FILTER (gone) AS removed_chunks FROM d GROUP BY doc_id, text)"""
