@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +140,13 @@ def test_links(spark):
     df = spark.createDataFrame([("http://own.com/1", html), ("http://own.com/2", html), ("bad", html), (None, None)], "url string, html string")
     got = {(r["src"], r["dst"]): r["n"] for r in urls.host_links(df).collect()}
     assert got == {("own.com", "own.com"): 4, ("own.com", "other.org"): 2, ("own.com", "third.net"): 2}
+
+
+def test_op6(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    got = urls.op6_url_filters(spark, sf_dir).toPandas()
+    want = con.sql(urls.OP6_SQL).df()
+    cols = sorted(got.columns)
+    tidy = lambda d: d[cols].astype(str).sort_values(cols).reset_index(drop=True).replace({"None": "nan"})
+    assert tidy(got).equals(tidy(want)) and set(got["verdict"]) == {"allow", "block"}

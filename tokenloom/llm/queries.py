@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.OP1_SQL, "op3_exact_top_k": topk.OP3_SQL, "op5_line_dedup": lines.OP5_SQL}
+    return {"op1_chat_formatting": chat.OP1_SQL, "op3_exact_top_k": topk.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op6_url_filters": urls.OP6_SQL}

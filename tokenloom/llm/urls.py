@@ -102,5 +102,43 @@ def judge_urls(pages: DataFrame, rules: DataFrame, threshold: float = 0.0, round
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+ROUNDS = 12
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), rules_frame(spark, RULES))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return judge_urls(pages, rules_frame(spark, RULES), rounds=ROUNDS).drop("trust", "distrust")
+
+
+def rules_sql(rules: list[tuple[str, str]]) -> str:
+    """The longest rule that fits a page with host and path."""
+    longest = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
+    fits = (f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{r}'" for r in (r[1] for r in longest) for h, _, p in [r.partition("/")])
+    return "CASE " + " ".join(fits) + " END"
+
+
+def propagation_sql(rounds: int, damping: float = 0.85) -> str:
+    steps = ["r0 AS MATERIALIZED (SELECT host, t, d FROM start)"]
+    for i in range(rounds):
+        steps.append(f"""r{i + 1} AS MATERIALIZED (SELECT host, sum(t) AS t, sum(d) AS d FROM (
+          SELECT dst AS host, {damping} * t * n / all_out AS t, 0 AS d FROM r{i} JOIN links ON src = host JOIN outs USING (src)
+          UNION ALL SELECT src, 0, {damping} * d * n / all_in FROM r{i} JOIN links ON dst = host JOIN ins USING (dst)
+          UNION ALL SELECT host, {1 - damping} * t, {1 - damping} * d FROM start) GROUP BY host)""")
+    return ",\n".join(steps)
+
+
+HOST_SQL = "translate(regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1), '" + LOWER[0] + "', '" + LOWER[1] + "')"
+OP6_SQL = rf"""
+WITH p AS (SELECT page_id, html, {HOST_SQL.format("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+f AS (SELECT *, {rules_sql(RULES)} AS rule FROM p),
+v AS (SELECT *, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in RULES)} END AS ruled FROM f),
+h AS (SELECT host, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1)) AS href FROM p),
+links AS (SELECT host AS src, dst, count(*) AS n FROM (SELECT host, CASE WHEN starts_with(href, '//') THEN {HOST_SQL.format("'x:' || href")}
+  WHEN regexp_matches(href, '(?i)^[a-z][a-z0-9+.\-]*:') THEN {HOST_SQL.format("href")} ELSE host END AS dst FROM h) WHERE host <> '' AND dst <> '' GROUP BY ALL),
+outs AS (SELECT src, sum(n) AS all_out FROM links GROUP BY src), ins AS (SELECT dst, sum(n) AS all_in FROM links GROUP BY dst),
+seeds AS (SELECT host, count(*) FILTER (ruled = 'allow') AS t, count(*) FILTER (ruled = 'block') AS d FROM v WHERE rule IS NOT NULL GROUP BY host),
+start AS (SELECT host, coalesce(t / nullif((SELECT sum(t) FROM seeds), 0), 0)::DOUBLE AS t, coalesce(d / nullif((SELECT sum(d) FROM seeds), 0), 0)::DOUBLE AS d FROM seeds),
+{propagation_sql(ROUNDS)}
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(d, 0) - coalesce(t, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM v LEFT JOIN r{ROUNDS} USING (host)
+"""
