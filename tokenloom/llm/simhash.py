@@ -51,9 +51,11 @@ class SimHash:
 
     @staticmethod
     def for_similarity(similarity: float = 0.8, shingle: int = 5, words: int = 8, **more) -> "SimHash":
-        """The radius at which the expected Jaccard similarity of the shingles is `similarity`."""
-        angle = math.acos(2 * similarity / (1 + similarity))
-        return SimHash(shingle=shingle, words=words, radius=round(64 * words * angle / math.pi), pivots=4, **more)
+        """A radius for a Jaccard similarity of the shingles: the bits in which such texts are expected to
+        differ, and one standard deviation more, so that few pairs above the similarity are lost."""
+        share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        bits = 64 * words
+        return SimHash(shingle=shingle, words=words, radius=round(bits * share + math.sqrt(bits * share * (1 - share))), pivots=4, **more)
 
 
 def mixed(h: np.ndarray, words: int) -> np.ndarray:
@@ -259,7 +261,8 @@ def drop_near_duplicates(docs: DataFrame, p: SimHash) -> DataFrame:
     another text is taken for another document and goes only if its id does. Columns are those of docs.
     """
     found, _ = cut(near_duplicates(docs, p).select("doc_id", "component_id").filter("doc_id IS NOT NULL"))
-    copies = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    # how many copies there are grows with the corpus: a merge join at every size
+    copies = found.filter("doc_id <> component_id").select("doc_id").distinct().hint("merge")
     kept = docs.join(copies.withColumnRenamed("doc_id", "_copy"), F.col("doc_id") == F.col("_copy"), "left_anti")
     if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
