@@ -33,14 +33,21 @@ class Node:
         self.kids: list[Node] = []
         if len(rows) <= LEAF or radius < 0.5:
             return
-        rest, at = rows, centre
+        # the next centre is the first point that no child covers yet; distances come 64 centres at a time
+        rest = np.r_[centre, rows[rows != centre]]
         while len(rest):
-            gap = np.sqrt(np.maximum(squares[rest] + squares[at] - 2 * (x[rest] @ x[at]), 0))
-            own = gap <= radius / 2
-            own[rest == at] = True
-            self.kids.append(Node(x, squares, rest[own], at, float(gap[own].max()) * (1 + 1e-9)))
-            rest = rest[~own]
-            at = rest[0] if len(rest) else -1
+            head = rest[:64]
+            gap = np.sqrt(np.maximum(squares[head][:, None] + squares[rest] - 2 * (x[head] @ x[rest].T), 0))
+            free = np.ones(len(rest), bool)
+            for k, at in enumerate(head):
+                if not free[k]:
+                    continue
+                own = free & (gap[k] <= radius / 2)
+                own[k] = True
+                free &= ~own
+                near = np.flatnonzero(own)
+                self.kids.append(Node(x, squares, rest[near], at, float(gap[k][near].max()) * (1 + 1e-9)))
+            rest = rest[free]
         self.centres = np.array([k.centre for k in self.kids])
         self.norms = np.array([k.norm for k in self.kids])
         self.radii = np.array([k.radius for k in self.kids])
@@ -81,34 +88,39 @@ class Search:
     def worst(self, q: Node) -> float:
         return self.kth[q.rows].min()
 
-    def most(self, q: Node, centres: np.ndarray, norms: np.ndarray, radii: np.ndarray) -> np.ndarray:
-        """Upper bounds of inner products between points of q and of the balls."""
-        return centres @ q.centre + q.radius * norms + radii * (q.norm + q.radius) + self.slack
-
     def visit(self, q: Node, r: Node) -> None:
+        """All pairs of q's and r's children at once, or of the one that has children with the other."""
         if not r.kids and not q.kids:
             self.compare(q.rows, r.rows)
-        elif q.kids and (not r.kids or q.radius >= r.radius):
+        elif not r.kids:
             bound = q.centres @ r.centre + r.radius * q.norms + q.radii * (r.norm + r.radius) + self.slack
             for kid, b in zip(q.kids, bound):
                 if b >= self.worst(kid):
                     self.visit(kid, r)
+        elif not q.kids:
+            self.descend(q, r, r.centres @ q.centre + q.radius * r.norms + r.radii * (q.norm + q.radius) + self.slack)
         else:
-            bound = self.most(q, r.centres, r.norms, r.radii)
-            order = np.argsort(-bound, kind="stable")
-            at = 0
-            while at < len(order):
-                some = order[at : at + 128]
-                some = some[bound[some] >= self.worst(q)]
-                if not len(some):
-                    break  # the rest have lower bounds
-                at += 128
-                if not q.kids and (leaves := [r.kids[j].rows for j in some if not r.kids[j].kids]):
-                    self.compare(q.rows, np.concatenate(leaves))
-                for j in some:
-                    kid = r.kids[j]
-                    if (kid.kids or q.kids) and bound[j] >= self.worst(q):
-                        self.visit(q, kid)
+            for at in range(0, len(q.kids), 512):
+                some = slice(at, at + 512)
+                bound = q.centres[some] @ r.centres.T + q.radii[some, None] * r.norms + (q.norms + q.radii)[some, None] * r.radii + self.slack
+                for kid, row in zip(q.kids[some], bound):
+                    self.descend(kid, r, row)
+
+    def descend(self, q: Node, r: Node, bound: np.ndarray) -> None:
+        """q against r's children, the most promising first, until no bound reaches the worst kth score."""
+        order = np.flatnonzero(bound >= self.worst(q))
+        order = order[np.argsort(-bound[order], kind="stable")]
+        for at in range(0, len(order), 128):
+            some = order[at : at + 128]
+            some = some[bound[some] >= self.worst(q)]
+            if not len(some):
+                return  # the rest have lower bounds
+            if not q.kids and (leaves := [r.kids[j].rows for j in some if not r.kids[j].kids]):
+                self.compare(q.rows, np.concatenate(leaves))
+            for j in some:
+                kid = r.kids[j]
+                if (kid.kids or q.kids) and bound[j] >= self.worst(q):
+                    self.visit(q, kid)
 
     def compare(self, qs: np.ndarray, cs: np.ndarray) -> None:
         if self.small:
