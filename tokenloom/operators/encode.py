@@ -9,7 +9,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +18,93 @@ from .model import MAX_CACHED_LENGTH, Bpe
 from .pretokenize import pieces_of
 
 ENCODED = "struct<ids:array<int>,tokens:array<string>,starts:array<int>,ends:array<int>>"
-ENCODED_ARROW = pa.struct([("ids", pa.list_(pa.int32())), ("tokens", pa.list_(pa.string())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 OPEN, CLOSE = "\x02", "\x03"
 
 
+class Words:
+    """Encodes batches of piece arrays. Each distinct piece of a batch is encoded once, or taken from the
+    memory; the rest is array arithmetic."""
+
+    def __init__(self, model: Bpe, mapped: bool, memory: int):
+        self.model, self.mapped, self.memory = model, mapped, memory
+        self.known: dict[str, tuple[list[int], list[int]]] = {}
+        self.ids = np.array(sorted(model.tokens), np.int64)
+        self.tokens = pa.array([model.tokens[i] for i in self.ids.tolist()], pa.string())
+
+    def sizes(self, piece: str, got: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+        """Ids and bytes of a piece's tokens; a mapped character is one byte, whatever its own length."""
+        ids, ends, at, raw = [], [], 0, piece.encode("utf-8", "surrogatepass") if self.mapped else b""
+        for i, n in got:
+            ids.append(i)
+            ends.append(n if not self.mapped else len(raw[at : at + n].decode("utf-8", "surrogatepass")))
+            at += n
+        return ids, ends
+
+    def word(self, piece: str) -> tuple[list[int], list[int]]:
+        if (got := self.known.get(piece)) is None:
+            got = self.sizes(piece, self.model.encode(piece))
+            if len(piece) <= MAX_CACHED_LENGTH:
+                if len(self.known) >= self.memory:
+                    self.known.clear()
+                self.known[piece] = got
+        return got
+
+    def batch(self, rows: pa.Array) -> pa.Array:
+        flat = rows.flatten()
+        lengths = rows.value_lengths().fill_null(0).to_numpy()
+        coded = flat.field("t").dictionary_encode()
+        index = coded.indices.to_numpy().astype(np.int64)
+        pieces = coded.dictionary.to_pylist()
+        encoded = [self.word(x) for x in pieces]
+        unit = np.array([len(x) if self.mapped else len(x.encode("utf-8", "surrogatepass")) for x in pieces], np.int64)
+        many = np.array([len(i) for i, _ in encoded], np.int64)
+        first = np.cumsum(many) - many
+        return self.gathered(
+            lengths,
+            index,
+            flat.field("k").to_numpy(zero_copy_only=False),
+            flat.field("p").to_numpy().astype(np.int64),
+            unit,
+            many,
+            first,
+            np.fromiter((i for x, _ in encoded for i in x), np.int64, int(many.sum())),
+            np.fromiter((n for _, x in encoded for n in x), np.int64, int(many.sum())),
+        )
+
+    def one_by_one(self, rows: pa.Array, seeds: list) -> pa.Array:
+        """As batch(), every piece encoded by itself with a random source of its row's seed and position."""
+        flat = rows.flatten()
+        lengths = rows.value_lengths().fill_null(0).to_numpy()
+        pieces = flat.field("t").to_pylist()
+        where = ((s, pos) for s, n in zip(seeds, lengths.tolist()) for pos in range(n))
+        encoded = [self.sizes(x, self.model.encode(x, random.Random(f"{s}:{pos}"))) for x, (s, pos) in zip(pieces, where)]
+        unit = np.array([len(x) if self.mapped else len(x.encode("utf-8", "surrogatepass")) for x in pieces], np.int64)
+        many = np.array([len(i) for i, _ in encoded], np.int64)
+        return self.gathered(lengths, np.arange(len(pieces)), flat.field("k").to_numpy(zero_copy_only=False), flat.field("p").to_numpy().astype(np.int64), unit, many, np.cumsum(many) - many, np.array([i for x, _ in encoded for i in x], np.int64), np.array([n for _, x in encoded for n in x], np.int64))
+
+    def gathered(self, lengths, index, kept, put, unit, many, first, ids, sizes) -> pa.Array:
+        """Encodings of rows of `lengths` pieces; piece j is word index[j], whose tokens start at first."""
+        ends = np.cumsum(sizes)
+        word_start = np.r_[0, ends][first] if len(ids) else np.zeros(len(first), np.int64)
+        size = unit[index] - put
+        at = np.cumsum(size) - size
+        row_first = np.cumsum(lengths) - lengths
+        row_at = np.r_[at, at[-1] + size[-1] if len(at) else 0][row_first]
+        at = at - np.repeat(row_at, lengths)
+        n = many[index] * kept
+        total = int(n.sum())
+        source = np.repeat(first[index] - (np.cumsum(n) - n), n) + np.arange(total)
+        end = ends[source] - np.repeat(word_start[index], n)
+        start = end - sizes[source]
+        base, led = np.repeat(at, n), np.repeat(put, n)
+        counts = np.r_[0, np.cumsum(n)]
+        bounds = pa.array(counts[np.r_[0, np.cumsum(lengths)]].astype(np.int32))
+        token = self.tokens.take(pa.array(np.searchsorted(self.ids, ids)[source])) if total else pa.array([], pa.string())
+        columns = [pa.array(x.astype(np.int32)) for x in (ids[source], base + np.maximum(start - led, 0), base + np.maximum(end - led, 0))]
+        lists = [pa.ListArray.from_arrays(bounds, c) for c in (columns[0], token, columns[1], columns[2])]
+        return pa.StructArray.from_arrays(lists, ["ids", "tokens", "starts", "ends"])
+
+
 def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out: str = "encoding", seed: Column | None = None, memory: int = 200_000) -> DataFrame:
     """df with struct<ids, tokens, starts, ends> of an array of pieces; offsets are bytes of the whole text.
 
@@ -33,43 +116,13 @@ def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out:
     drop, seeded = model.options.dropout, seed is not None
 
     def run(batches: Iterator) -> Iterator[pa.Array]:
-        bpe, known = sent.value, {}
-
-        def words(piece: str, rng) -> list[tuple[int, int, str]]:
-            if rng is None and (got := known.get(piece)) is not None:
-                return got
-            out, at = [], 0
-            for i, n in bpe.encode(piece, rng):
-                if mapped:  # a mapped character is one byte, whatever its own UTF-8 length
-                    raw = piece.encode("utf-8")
-                    n, at = len(raw[at : at + n].decode("utf-8")), at + n
-                out.append((i, n, bpe.tokens.get(i, "")))
-            if rng is None and len(piece) <= MAX_CACHED_LENGTH:
-                if len(known) >= memory:
-                    known.clear()
-                known[piece] = out
-            return out
-
-        def one(row, own):
-            ids, tokens, starts, ends, at = [], [], [], [], 0
-            for pos, x in enumerate(row or ()):
-                t, put = x["t"], x["p"]
-                size = (len(t) if mapped else len(t.encode("utf-8"))) - put
-                if x["k"]:
-                    inside = 0
-                    rng = random.Random(f"{own}:{pos}") if drop else None
-                    for i, n, token in words(t, rng):
-                        ids.append(i), tokens.append(token)
-                        starts.append(at + max(0, inside - put)), ends.append(at + max(0, inside + n - put))
-                        inside += n
-                at += size
-            return {"ids": ids, "tokens": tokens, "starts": starts, "ends": ends}
-
+        words = Words(sent.value, mapped, memory)
         for rows, seeds, _ in batches:
-            own = seeds.to_pylist()
-            if drop and not seeded:
-                own = [random.random() for _ in own]
-            yield pa.array([one(r, s) for r, s in zip(rows.to_pylist(), own)], ENCODED_ARROW)
+            if drop:
+                own = seeds.to_pylist() if seeded else [random.random() for _ in range(len(rows))]
+                yield words.one_by_one(rows, own)
+            else:
+                yield words.batch(rows)
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     # marked nondeterministic, it runs once a row: no filter is pushed through it. Used twice, the pieces stay

@@ -20,6 +20,7 @@ from .operators.encode import encode, encode_pieces, native_tokens
 from .operators.model import Bpe, Options, resolve_merges
 from .plans.tokenizer import Tokenizer
 from .sources import files
+from .sources.tables import read_table
 from .streaming.counts import stream_word_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +48,7 @@ def register(name: str, sql: str | None = None):
 
 
 def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *(columns or ("text",)))
+    return read_table(spark, sf_dir, "documents", "doc_id", *(columns or ("text",)))
 
 
 def lit(s: str) -> str:
@@ -134,7 +135,7 @@ def norm_sequence(spark, sf_dir):
 # ---- pre-tokenizers ----------------------------------------------------------------------------
 def pieces_query(pre, table: str = "documents", key: str = "doc_id", text: str = "text") -> Query:
     def run(spark, sf_dir):
-        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        rows = read_table(spark, sf_dir, table, key, text)
         return rows.select(key, pt.kept_texts(pt.pieces_of(F.col(text), pre)).alias("l")).select(key, F.size("l").cast("long").alias("n"), digest(F.col("l")).alias("pieces_md5"))
 
     return run
@@ -432,7 +433,7 @@ JOINED = "array_to_string(list_transform({l}, lambda x: x::VARCHAR), ' ')"
 
 
 def turns(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
+    return read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
 
 
 def shown(c: Column) -> Column:
