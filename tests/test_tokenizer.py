@@ -8,7 +8,7 @@ from tokenloom.functions import normalize as nz
 from tokenloom.operators import decode as dc
 from tokenloom.operators import postprocess as pp
 from tokenloom.operators import pretokenize as pt
-from tokenloom.operators.encode import native_tokens
+from tokenloom.operators.encode import encode, encode_pieces, native_tokens
 from tokenloom.operators.model import Bpe, Options
 from tokenloom.plans.tokenizer import Tokenizer
 from tokenloom.sources import files
@@ -39,6 +39,15 @@ def test_offsets_and_round_trip(spark):
     assert [r[0] for r in tok.decode(df, "ids").select("decoded").collect()] == ["中国", "a中b", "", ""]
 
 
+def test_late_writing_is_the_same(spark):
+    m = Bpe(ZH, ZH_MERGES)
+    df = spark.createDataFrame([(t,) for t in ("中国 a1", " 中", "", "é x")], "text string")
+    for pre in (pt.ByteLevel(), pt.ByteLevel(False, True, False), pt.Sequence((pt.Split(r"\d"), None, pt.ByteLevel()))):
+        late = encode(df, "text", m, pre).select("encoding").collect()
+        early = encode_pieces(df, pt.pieces_of(F.col("text"), pre), m, True).select("encoding").collect()
+        assert late == early
+
+
 def test_prefix_space(spark):
     tok = Tokenizer(Bpe(GPT2ISH, GPT2ISH_MERGES, Options(ignore_merges=True)), None, pt.ByteLevel())
     (e,) = encodings(spark, tok, "Hello world")
@@ -60,7 +69,7 @@ def test_trim(spark):
     def trimmed(token, start, end, prefix, first=True):
         tokens, starts, ends = ([token], [start], [end]) if first else (["a", token], [0, start], [1, end])
         df = spark.createDataFrame([(tokens, starts, ends, [0] * len(tokens))], "tokens array<string>, starts array<int>, ends array<int>, ids array<int>")
-        r = df.select(pp.trim_offsets(F.struct("ids", "tokens", "starts", "ends"), prefix).alias("e")).first()["e"]
+        r = pp.trim_offsets(df.select(F.struct("ids", "tokens", "starts", "ends").alias("e")), "e", prefix).first()["e"]
         return r["starts"][-1], r["ends"][-1]
 
     assert trimmed("ĠabcĠ", 10, 17, False, False) == (11, 16)

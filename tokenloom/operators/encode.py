@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bytechars import map_bytes
 from .model import MAX_CACHED_LENGTH, Bpe
-from .pretokenize import pieces_of
+from .pretokenize import unwritten
 
 ENCODED = "struct<ids:array<int>,tokens:array<string>,starts:array<int>,ends:array<int>>"
 OPEN, CLOSE = "\x02", "\x03"
@@ -25,8 +26,9 @@ class Words:
     """Encodes batches of piece arrays. Each distinct piece of a batch is encoded once, or taken from the
     memory; the rest is array arithmetic."""
 
-    def __init__(self, model: Bpe, mapped: bool, memory: int):
-        self.model, self.mapped, self.memory = model, mapped, memory
+    def __init__(self, model: Bpe, mapped: bool, memory: int, write: bool = False):
+        """mapped: a character of a piece is one byte; write: pieces are plain text, to be so written."""
+        self.model, self.mapped, self.memory, self.write = model, mapped or write, memory, write
         self.known: dict[str, tuple[list[int], list[int]]] = {}
         self.ids = np.array(sorted(model.tokens), np.int64)
         self.tokens = pa.array([model.tokens[i] for i in self.ids.tolist()], pa.string())
@@ -40,9 +42,17 @@ class Words:
             at += n
         return ids, ends
 
+    def encoded(self, piece: str, rng: random.Random | None = None) -> tuple[list[int], list[int]]:
+        own = map_bytes(piece.encode("utf-8", "surrogatepass")) if self.write else piece
+        return self.sizes(own, self.model.encode(own, rng))
+
+    def unit(self, piece: str) -> int:
+        """Bytes of the text that a piece stands for."""
+        return len(piece) if self.mapped and not self.write else len(piece.encode("utf-8", "surrogatepass"))
+
     def word(self, piece: str) -> tuple[list[int], list[int]]:
         if (got := self.known.get(piece)) is None:
-            got = self.sizes(piece, self.model.encode(piece))
+            got = self.encoded(piece)
             if len(piece) <= MAX_CACHED_LENGTH:
                 if len(self.known) >= self.memory:
                     self.known.clear()
@@ -56,7 +66,7 @@ class Words:
         index = coded.indices.to_numpy().astype(np.int64)
         pieces = coded.dictionary.to_pylist()
         encoded = [self.word(x) for x in pieces]
-        unit = np.array([len(x) if self.mapped else len(x.encode("utf-8", "surrogatepass")) for x in pieces], np.int64)
+        unit = np.array([self.unit(x) for x in pieces], np.int64)
         many = np.array([len(i) for i, _ in encoded], np.int64)
         first = np.cumsum(many) - many
         return self.gathered(
@@ -77,8 +87,8 @@ class Words:
         lengths = rows.value_lengths().fill_null(0).to_numpy()
         pieces = flat.field("t").to_pylist()
         where = ((s, pos) for s, n in zip(seeds, lengths.tolist()) for pos in range(n))
-        encoded = [self.sizes(x, self.model.encode(x, random.Random(f"{s}:{pos}"))) for x, (s, pos) in zip(pieces, where)]
-        unit = np.array([len(x) if self.mapped else len(x.encode("utf-8", "surrogatepass")) for x in pieces], np.int64)
+        encoded = [self.encoded(x, random.Random(f"{s}:{pos}")) for x, (s, pos) in zip(pieces, where)]
+        unit = np.array([self.unit(x) for x in pieces], np.int64)
         many = np.array([len(i) for i, _ in encoded], np.int64)
         return self.gathered(lengths, np.arange(len(pieces)), flat.field("k").to_numpy(zero_copy_only=False), flat.field("p").to_numpy().astype(np.int64), unit, many, np.cumsum(many) - many, np.array([i for x, _ in encoded for i in x], np.int64), np.array([n for _, x in encoded for n in x], np.int64))
 
@@ -105,7 +115,7 @@ class Words:
         return pa.StructArray.from_arrays(lists, ["ids", "tokens", "starts", "ends"])
 
 
-def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out: str = "encoding", seed: Column | None = None, memory: int = 200_000) -> DataFrame:
+def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out: str = "encoding", seed: Column | None = None, memory: int = 200_000, write: bool = False) -> DataFrame:
     """df with struct<ids, tokens, starts, ends> of an array of pieces; offsets are bytes of the whole text.
 
     Tokens of a byte-mapped piece count one byte per character, the prefix put in front counts none.
@@ -116,7 +126,7 @@ def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out:
     drop, seeded = model.options.dropout, seed is not None
 
     def run(batches: Iterator) -> Iterator[pa.Array]:
-        words = Words(sent.value, mapped, memory)
+        words = Words(sent.value, mapped, memory, write)
         for rows, seeds, _ in batches:
             if drop:
                 own = seeds.to_pylist() if seeded else [random.random() for _ in range(len(rows))]
@@ -163,6 +173,10 @@ def native_tokens(piece: Column, model: Bpe) -> Column:
 
 def encode(df: DataFrame, text: str, model: Bpe, pre_tokenizer=None, out: str = "encoding", seed: Column | None = None) -> DataFrame:
     """df with the encoding of a text column: ids, tokens and byte offsets."""
-    pieces = pieces_of(F.coalesce(F.col(text), F.lit("")), pre_tokenizer)
-    mapped = bool(pre_tokenizer is not None and pre_tokenizer.mapped)
-    return encode_pieces(df, pieces, model, mapped, out, seed)
+    return encode_text(df, F.coalesce(F.col(text), F.lit("")), model, pre_tokenizer, out, seed)
+
+
+def encode_text(df: DataFrame, text: Column, model: Bpe, pre_tokenizer, out: str, seed: Column | None = None) -> DataFrame:
+    pieces, write = unwritten(text, pre_tokenizer)
+    mapped = bool(pre_tokenizer is not None and pre_tokenizer.mapped and not write)
+    return encode_pieces(df, pieces, model, mapped, out, seed, write=write)

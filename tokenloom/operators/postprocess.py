@@ -37,9 +37,10 @@ def rebuilt(e: Column, **new: Column) -> Column:
     return F.struct(*((new[k] if k in new else e[k]).alias(k) for k in FIELDS))
 
 
-def trim_offsets(e: Column, add_prefix_space: bool) -> Column:
-    """Offsets without the white space at tokens' ends. One leading space of the first token stays if a
+def trim_offsets(df: DataFrame, column: str, add_prefix_space: bool) -> DataFrame:
+    """An encoding column's offsets without the white space at tokens' ends. One leading space of the first token stays if a
     prefix space is added."""
+    e = F.col(column)
     ends = F.transform(e["tokens"], lambda t: F.struct(F.length(F.regexp_extract(t, f"^[{SPACES}]*", 0)).alias("lead"), F.length(t).alias("n"), F.length(F.regexp_extract(t, f"[{SPACES}]*$", 0)).alias("trail")))
     rows = F.arrays_zip(ends.alias("x"), e["starts"].alias("s"), e["ends"].alias("e"))
 
@@ -49,8 +50,10 @@ def trim_offsets(e: Column, add_prefix_space: bool) -> Column:
         start = F.least(r["s"] + lead, r["e"])
         return F.struct(start.alias("s"), F.greatest(r["e"] - trail, start).alias("e"))
 
-    spans = F.transform(rows, one)
-    return F.struct(e["ids"].alias("ids"), e["tokens"].alias("tokens"), F.transform(spans, lambda x: x["s"]).alias("starts"), F.transform(spans, lambda x: x["e"]).alias("ends"))
+    # a column of its own, used twice: worked out once
+    df = df.withColumn("_spans", F.transform(rows, one))
+    new = F.struct(e["ids"].alias("ids"), e["tokens"].alias("tokens"), F.transform("_spans", lambda x: x["s"]).alias("starts"), F.transform("_spans", lambda x: x["e"]).alias("ends"))
+    return df.withColumn(column, new).drop("_spans")
 
 
 def shifted(e: Column, shift: Column) -> Column:

@@ -46,15 +46,17 @@ class ByteLevel:
     use_regex: bool = True
     mapped = True
 
-    def __call__(self, pieces: Column) -> Column:
+    def __call__(self, pieces: Column, write=byte_chars) -> Column:
+        """write: how the bytes of a piece are written; the identity leaves that to who encodes them."""
+
         def step(t: Column, p: Column) -> Column:
             put = (~F.startswith(t, F.lit(" "))) if self.add_prefix_space else F.lit(False)
             led = F.when(put, F.concat(F.lit(" "), t)).otherwise(t)
             first = p + put.cast("int")
             if not self.use_regex:
-                return F.when(led == "", F.array().cast(f"array<{PIECE}>")).otherwise(F.array(piece(byte_chars(led), True, first)))
+                return F.when(led == "", F.array().cast(f"array<{PIECE}>")).otherwise(F.array(piece(write(led), True, first)))
             words = F.regexp_extract_all(led, F.lit("(?U)" + rx.GPT2), F.lit(0))
-            return F.transform(words, lambda w, i: piece(byte_chars(w), True, F.when(i == 0, first).otherwise(0)))
+            return F.transform(words, lambda w, i: piece(write(w), True, F.when(i == 0, first).otherwise(0)))
 
         return _each(pieces, step)
 
@@ -169,6 +171,20 @@ def pieces_of(text: Column, pre_tokenizer=None) -> Column:
     return pre_tokenizer(whole(text)) if pre_tokenizer else whole(text)
 
 
+def unwritten(text: Column, pre_tokenizer) -> tuple[Column, bool]:
+    """Pieces of a text, and whether their bytes are still to be written as characters.
+
+    They are if the last step is ByteLevel: the encoder does it once for each distinct piece.
+    """
+    steps = [s for s in pre_tokenizer.steps if s is not None] if isinstance(pre_tokenizer, Sequence) else [pre_tokenizer]
+    if not steps or not isinstance(steps[-1], ByteLevel) or any(s.mapped for s in steps[:-1]):
+        return pieces_of(text, pre_tokenizer), False
+    pieces = whole(text)
+    for s in steps[:-1]:
+        pieces = s(pieces)
+    return steps[-1](pieces, write=lambda c: c), True
+
+
 def kept_texts(pieces: Column) -> Column:
     """The kept pieces' texts in order, empty ones left out."""
     return F.transform(F.filter(pieces, lambda x: x["k"] & (x["t"] != "")), lambda x: x["t"])

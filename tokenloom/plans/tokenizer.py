@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import normalize as nz
 from ..operators import decode as dc
 from ..operators import postprocess as pp
-from ..operators.encode import encode_pieces
+from ..operators.encode import encode_text
 from ..operators.model import Bpe
-from ..operators.pretokenize import ByteLevel, pieces_of
+from ..operators.pretokenize import ByteLevel
 from ..sources import files
 
 
@@ -52,12 +52,11 @@ class Tokenizer:
             e = empty
         else:
             plain = self.normalizer(raw) if self.normalizer else raw
-            mapped = bool(self.pre_tokenizer is not None and self.pre_tokenizer.mapped)
-            df = encode_pieces(df, pieces_of(plain, self.pre_tokenizer), self.model, mapped, "_e", seed)
+            df = encode_text(df, plain, self.model, self.pre_tokenizer, "_e", seed)
             e = F.col("_e")
             if isinstance(self.post_processor, ByteLevel):
                 if self.post_processor.trim_offsets:
-                    df = df.withColumn("_e", pp.trim_offsets(e, self.post_processor.add_prefix_space))
+                    df = pp.trim_offsets(df, "_e", self.post_processor.add_prefix_space)
             elif self.post_processor is not None:
                 df = df.withColumn("_e", self.post_processor(e))
             if self.normalizer:
