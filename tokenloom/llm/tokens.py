@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
+
 #: Fixed value: the pattern that the vocabulary's byte-level splitter uses.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose counts a worker keeps; beyond, the memory is emptied and filled anew.
@@ -47,7 +49,12 @@ class PrefixCounter:
         for rank, (a, b) in enumerate(pairs):
             a, b = raw(a), raw(b)
             self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
-        self.longest = max(map(len, self.vocab))
+        # what ends a token: its id, or -1 where only longer texts are tokens
+        self.ends = {t[i:]: -1 for t in self.vocab for i in range(1, len(t))} | self.vocab
+        # how each token is made: (rank, left, right), if in one way and from tokens made before it
+        self.made = {new: (rank, a, b) for (a, b), (rank, new) in self.merges.items()}
+        rank_of = {t: rank for t, (rank, _, _) in self.made.items()}
+        self.one_way = len(self.made) == len(self.merges) and all(max(rank_of.get(a, -1), rank_of.get(b, -1)) < rank for rank, a, b in self.made.values())
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.apart: dict[int, bool] = {}
@@ -69,9 +76,30 @@ class PrefixCounter:
         if (known := self.apart.get(key)) is None:
             if len(self.apart) > 4 * KEPT_PIECES:
                 self.apart.clear()
-            known = self.apart[key] = self.encode(self.text[a] + self.text[b]) == [a, b]
+            known = self.apart[key] = self.no_merge_across(a, b) if self.one_way else self.encode(self.text[a] + self.text[b]) == [a, b]
         return known
 
+    def edge(self, t: int, right: bool) -> list[tuple[int, float, float]]:
+        """(part, rank it is made at, rank it is used up at) of the parts that stand at one edge of a token."""
+        out, until = [], float("inf")
+        while t in self.made:
+            rank, a, b = self.made[t]
+            out.append((t, rank, until))
+            t, until = (b if right else a), rank
+        return [*out, (t, -1, until)]
+
+    def no_merge_across(self, a: int, b: int) -> bool:
+        """Whether no merge joins the parts that stand at the border of a and b at the same time.
+
+        Of equal merges the leftmost comes first: a's own before one across, one across before b's own.
+        """
+        edge_b = self.edge(b, False)
+        for x, made_x, used_x in self.edge(a, True):
+            for y, made_y, used_y in edge_b:
+                if (m := self.merges.get((x, y))) and made_x < m[0] < used_x and made_y < m[0] <= used_y:
+                    return False
+        return True
+
     def is_whole(self, a: int) -> bool:
         if (known := self.whole.get(a)) is None:
             known = self.whole[a] = self.encode(self.text[a]) == [a]
@@ -79,13 +107,15 @@ class PrefixCounter:
 
     def table(self, piece: bytes) -> list[int]:
         """Token counts of all prefixes of a piece, from the empty one on."""
-        vocab, get = self.vocab, self.apart.get
-        n, longest = len(piece), self.longest
+        ends, get = self.ends, self.apart.get
+        n = len(piece)
         last, count = [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for start in range(max(0, i - longest), i):
-                t = vocab.get(piece[start:i])
+            for start in range(i - 1, -1, -1):
+                t = ends.get(piece[start:i])
                 if t is None:
+                    break  # nothing longer is the end of a token
+                if t < 0:
                     continue
                 if not start:
                     fits = self.is_whole(t)
@@ -222,5 +252,5 @@ def vocabulary(name: str = "byte_bpe_50k.json", path: str | None = None) -> str:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return count_tokens(docs, vocabulary(), 1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
