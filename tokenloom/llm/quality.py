@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
+
 #: Documents of each kind (positive, unlabelled) that the model is fitted on, at most.
 FITTED = 6000
 FOLDS, THRESHOLD = 5, 0.3
@@ -122,17 +124,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def sampled_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the documents whose doc_id is in ids (at most FITTED rows), in order of doc_id."""
+def sampled_features(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the documents that ids (_id, good, drawn) names, in order of doc_id: those that are good,
+    and those that are drawn. One scan; ids are at most twice FITTED rows."""
 
     @F.pandas_udf("binary")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([features(t).tobytes() for t in texts], dtype=object)
 
-    some = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", packed(F.col("text")).alias("f"))
-    got = sorted((r["doc_id"], bytes(r["f"])) for r in some.collect())
-    return np.array([np.frombuffer(f, np.float32) for _, f in got[: 2 * FITTED]]).reshape(-1, 256 + EXTRA)
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "good", "drawn", packed(F.col("text")).alias("f"))
+    some = some.groupBy("doc_id", "good", "drawn").agg(F.min("f").alias("f"))  # a repeated doc_id counts once
+    got = sorted((r["doc_id"], bytes(r["f"]), r["good"], r["drawn"]) for r in some.collect())
+    wide = lambda rows: np.array([np.frombuffer(f, np.float32) for f in rows]).reshape(-1, 256 + EXTRA)
+    return wide([f for _, f, good, _ in got if good]), wide([f for _, f, _, drawn in got if drawn])
 
 
 def train(docs: DataFrame, labels: DataFrame, fitted: int = FITTED) -> Model:
@@ -144,9 +149,10 @@ def train(docs: DataFrame, labels: DataFrame, fitted: int = FITTED) -> Model:
     in_fold = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     few = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fitted)
     good = labels.filter(in_fold & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    good = few(good.join(docs.select("doc_id").filter(in_fold), "doc_id", "left_semi"))
-    any_doc = few(docs.select("doc_id").filter(in_fold))
-    return fit(sampled_features(docs, good), sampled_features(docs, any_doc))
+    good = few(good.join(docs.select("doc_id").filter(in_fold), "doc_id", "left_semi")).select("doc_id", F.lit(True).alias("good"))
+    drawn = few(docs.select("doc_id").filter(in_fold).distinct()).select("doc_id", F.lit(True).alias("drawn"))
+    ids = good.join(drawn, "doc_id", "full").select(F.col("doc_id").alias("_id"), F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("drawn", F.lit(False)).alias("drawn"))
+    return fit(*sampled_features(docs, ids))
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -170,6 +176,6 @@ def fold_of(doc_id) -> int:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return score_quality(docs, train(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
