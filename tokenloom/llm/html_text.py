@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
+
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"<]*\"|'[^'<]*'|[^>\"']|[\"'])*?)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -193,5 +195,5 @@ def sample_pages(pages: DataFrame, n: int = LABELLED) -> list[str]:
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
     return extract_text(pages, learn_weights(sample_pages(pages))).select("page_id", "url", "text", "n_chars")
