@@ -98,8 +98,20 @@ class Bpe:
                 used[x] = min(used.get(x, 1 << 60), rank)
         return all(rank < used.get(t, 1 << 60) for t, rank in made.items())
 
+    @cached_property
+    def singles(self) -> dict[str, tuple[int, int]]:
+        """(id, bytes) of the characters that are tokens as they are."""
+        o = self.options
+        if o.continuing_subword_prefix or o.end_of_word_suffix:
+            return {}
+        return {t: (i, len(t.encode("utf-8", "surrogatepass"))) for t, i in self.vocab.items() if len(t) == 1}
+
     def symbols(self, piece: str) -> list[tuple[int, int]] | None:
         """(id, bytes) of each character, unknown ones by the options; None if one cannot be written."""
+        known = self.singles
+        out = [known[c] for c in piece if c in known]
+        if len(out) == len(piece):
+            return out
         o, out = self.options, []
         unk = self.vocab.get(o.unk_token) if o.unk_token is not None else None
         fused = False
@@ -146,11 +158,27 @@ class Bpe:
         )
 
 
+#: Pieces of up to so many symbols are searched anew for each merge, which is quicker than a queue.
+SHORT = 40
+NEVER = (1 << 62, -1)
+
+
 def merge(symbols: Iterable[tuple[int, int]], table: dict[tuple[int, int], tuple[int, int]]) -> list[tuple[int, int]]:
     """Merge the pair of least rank, leftmost first, until none is left. Neighbours are index links."""
     ids, sizes = map(list, zip(*symbols))
     n = len(ids)
-    if n < 2:
+    if n <= SHORT:
+        get = table.get
+        found = [get(p, NEVER) for p in zip(ids, ids[1:])]
+        while found and (best := min(found)) is not NEVER:
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            sizes[i : i + 2] = [sizes[i] + sizes[i + 1]]
+            del found[i]
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), NEVER)
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), NEVER)
         return list(zip(ids, sizes))
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     queue = [(*table[p], i, *p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in table]
