@@ -16,6 +16,8 @@ from ..sources.tables import read_table
 from .common import cut
 
 LONG = 50
+#: Of the rows of chunks, the share above which a hash is joined apart is one in so many.
+HOT = 2000
 
 
 def chunked(docs: DataFrame, text: str = "text", long: int = LONG) -> DataFrame:
@@ -64,8 +66,12 @@ def repeated_by_hash(keyed: DataFrame, long: int, hash_bits: int) -> DataFrame:
     rows = chunked(keyed, "text", long).select("_id", "_key", F.posexplode(F.transform("chunks", lambda x: F.when(x["eligible"], F.xxhash64(x["text"]) % (1 << hash_bits)))).alias("number", "hash"))
     rows, _ = cut(rows.filter("hash IS NOT NULL"))
     at = F.struct("_id", "_key", "number")
-    seen = rows.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("NOT first <=> last").select("hash", "first")
-    found = rows.join(seen.hint("merge"), "hash")
+    seen = rows.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n")).filter("NOT first <=> last")
+    seen, _ = cut(seen.select("hash", "first", "n"))
+    # a hash of over a HOT-th of the rows is joined by broadcast (there are at most HOT of them), the others by key
+    often = F.col("n") > rows.count() / HOT
+    hot, rare = seen.filter(often).select("hash", "first"), seen.filter(~often).select("hash", "first")
+    found = rows.join(F.broadcast(hot), "hash").unionByName(rows.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(rare.hint("merge"), "hash"))
     return found.groupBy("_id", "_key").agg(F.collect_set(F.struct("number", "hash", (at.eqNullSafe(F.col("first"))).alias("first"))).alias("found"))
 
 
