@@ -103,3 +103,21 @@ def test_translate(spark):
     assert rx.translate("a{") == "(?U)a\\{" and rx.translate("a{2,3}") == "(?U)a{2,3}"
     assert rx.translate("[[a&&b]") == "(?U)[\\[a&\\&b]" and rx.usable(rx.translate("[]a]{"))
     assert not rx.usable("(") and rx.escape("a.b*") == "a\\.b\\*"
+
+
+@pytest.mark.parametrize("behavior", pt.BEHAVIORS)
+def test_native_split_equals_python(spark, behavior):
+    import random
+
+    rng = random.Random(3)
+    raw = ["".join(rng.choice("ab-\x01é=+ ") for _ in range(rng.randint(0, 14))) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in raw], "t string")
+    for invert in (False, True):
+        for pre in (pt.Split("-+", True, behavior, invert), pt.Split("=", False, behavior, invert)):
+            for r in df.select("t", pt.pieces_of(F.col("t"), pre).alias("p")).collect():
+                assert [(x["t"], x["k"]) for x in r["p"]] == pre.runs_of(r["t"]), (r["t"], pre)
+
+
+def test_pieces_tile_the_text(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", pt.pieces_of(F.col("text"), pt.ByteLevel(False)).alias("p")).collect()
+    assert all(bc.unmap_chars("".join(x["t"] for x in r["p"])).decode() == r["text"] for r in rows)
