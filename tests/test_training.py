@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tokenloom.operators import pretokenize as pt
 from tokenloom.operators import train as tr
