@@ -111,19 +111,18 @@ class ItemBlock:
         some = [x for x in self.items if self.p.allowed(len(x))]
         if not some:
             return 1
-        miss = np.zeros(0)
         rates = []
         for x in (some[i] for i in rng.integers(0, len(some), 60)):
             y = list(x)
             for _ in range(self.p.allowed(len(x))):
                 i = int(rng.integers(0, len(y)))
-                y[i : i + 1] = [[0], [0], [], [y[i], 0]][int(rng.integers(0, 4))] or y[i + 1 : i + 1]
-            y = np.array(y or [0], np.int64)
+                y[i : i + 1] = ([0], [0], [], [y[i], 0])[int(rng.integers(0, 4))]  # replaced, dropped, put in
+            y = np.array(y, np.int64)
             start, n = np.zeros(1, np.int64), len(x)
             e = [embedded(z, start, walk(z, start, 2 * n, 32, self.p.seed + 3), n)[0] for z in (x, np.r_[y, np.zeros(n, np.int64)])]
             rates.append(((e[0] == e[1]).mean(axis=1) ** self.p.bits).mean())
         tables = 1
-        while (miss := (1 - np.array(rates)) ** tables).mean() > 1 - self.p.recall and tables < 1 << 12:
+        while tables < 1 << 12 and ((1 - np.array(rates)) ** tables).mean() > 1 - self.p.recall:
             tables = math.ceil(tables * 1.25)
         return tables
 

@@ -10,7 +10,7 @@ look-ups. Pieces are what the vocabulary's pattern splits off; special strings s
 from __future__ import annotations
 
 import json
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
