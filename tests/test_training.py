@@ -79,16 +79,35 @@ def canonical(words, o):
         merges.append(best)
         ids.setdefault("".join(best), len(ids))
         for w in cut:
-            for p in merges:
-                out, i = [], 0
-                while i < len(cut[w]):
-                    two = tuple(cut[w][i : i + 2])
-                    out.append("".join(two) if two == p else cut[w][i])
-                    i += 1 + (two == p)
-                cut[w] = out
+            old = None
+            while old != cut[w]:
+                old = cut[w]
+                for p in [merges[-1], *merges]:
+                    out, i = [], 0
+                    while i < len(cut[w]):
+                        two = tuple(cut[w][i : i + 2])
+                        out.append("".join(two) if two == p else cut[w][i])
+                        i += 1 + (two == p)
+                    cut[w] = out
     return merges
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_local_is_canonical(seed):
+    rng = random.Random(seed)
+    words = {}
+    for _ in range(rng.randint(3, 40)):
+        words["".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))] = rng.randint(1, 9)
+    counts = {}
+    for w, n in words.items():
+        for c in w:
+            counts[c] = counts.get(c, 0) + n
+    o = O(min_frequency=2, vocab_size=40)
+    state = tr._State(o, sorted(counts, key=lambda c: (-counts[c], ord(c))))
+    tr._local(state, [([state.vocab[c] for c in w], n) for w, n in words.items()])
+    assert state.merges == canonical(words, o)
+
+
 def test_both_ways_are_canonical(spark, tmp_path):
     rng = random.Random(5)
     words = {}

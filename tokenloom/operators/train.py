@@ -75,7 +75,9 @@ class _State:
         for t in [*o.special_tokens, *chars]:
             self.vocab.setdefault(t, len(self.vocab))
         self.names = {i: t for t, i in self.vocab.items()}
-        self.done: dict[tuple[int, int], int] = {}
+        self.done: dict[tuple[int, int], int] = {}  # in order of rank
+        self.unused: set[tuple[int, int]] = set()  # recorded, not applied
+        self.remade = False  # a token has come about in a second way
         self.kept = {c: self.vocab[c] for c in chars}
         self.bytes = {i: len(c.encode("utf-8")) for c, i in self.kept.items()}
 
@@ -91,15 +93,18 @@ class _State:
         prefix = self.o.continuing_subword_prefix or ""
         right = self.names[b]
         token = self.names[a] + (right[len(prefix) :] if prefix and right.startswith(prefix) else right)
+        self.remade = token in self.vocab
         new = self.vocab.setdefault(token, len(self.vocab))
         self.names[new] = token
         self.merges.append((self.names[a], right))
         self.done[a, b] = new
         size = self.bytes.get(a, 0) + self.bytes.get(b, 0)
         self.bytes.setdefault(new, size)
+        if self.o.max_token_length is not None and size > self.o.max_token_length:
+            self.unused.add((a, b))
         if self.o.progress:
             self.o.progress(len(self.vocab), self.o.vocab_size, "Compute merges")
-        return new, self.o.max_token_length is None or size <= self.o.max_token_length
+        return new, (a, b) not in self.unused
 
     @property
     def full(self) -> bool:
@@ -138,9 +143,10 @@ def _apply(state: _State, p, words, counts, where, queue) -> None:
     new, applied = state.add(*p)
     if not applied:
         return
-    todo = [(p, new)]
+    rank = {q: i for i, q in enumerate(state.done)} if state.remade else {}
+    todo = [(len(state.done), p, new)]
     while todo:
-        p, new = todo.pop()
+        _, p, new = heapq.heappop(todo)
         changed: set[tuple[int, int]] = set()
         for w in where.pop(p, ()):
             ids, n = words[w]
@@ -158,11 +164,10 @@ def _apply(state: _State, p, words, counts, where, queue) -> None:
         for q in changed:
             if counts[q] <= 0:
                 counts.pop(q)
-            elif q in state.done:
-                if state.o.max_token_length is None or state.bytes[q[0]] + state.bytes[q[1]] <= state.o.max_token_length:
-                    todo.append((q, state.done[q]))  # an old pair became adjacent again
-            else:
+            elif q not in state.done:
                 heapq.heappush(queue, (-counts[q], q))
+            elif q not in state.unused and rank:
+                heapq.heappush(todo, (rank[q], q, state.done[q]))  # an old pair is adjacent again
 
 
 def _replaced(ids: list[int], p: tuple[int, int], new: int) -> list[int]:
@@ -209,24 +214,29 @@ def _spark(state: _State, words: DataFrame, folder: str, top: int = 400) -> None
     """Merge loop as Spark jobs over words(ids, n), which are rewritten to the folder now and then."""
     spark = words.sparkSession
     least, pending = max(1, state.o.min_frequency), 0
+    again = False
     while not state.full:
         pairs = pair_counts(words)
         if state.done:
-            old = spark.createDataFrame([(a, b) for a, b in state.done], "a int, b int")
-            pairs = pairs.join(F.broadcast(old), ["a", "b"], "left_anti")  # at most vocab_size rows
+            old = spark.createDataFrame([(a, b, p not in state.unused) for p in state.done for a, b in [p]], "a int, b int, used boolean")
+            old = F.broadcast(old)  # at most vocab_size rows
+            if again and not pairs.join(old.filter("used"), ["a", "b"], "left_semi").isEmpty():
+                words = words.withColumn("ids", _replace_column(F.col("ids"), [(*p, new) for p, new in state.done.items() if p not in state.unused]))
+                continue
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
         best = [(r["a"], r["b"], r["n"]) for r in pairs.orderBy(F.desc("n"), "a", "b").limit(top).collect()]
         if not best or best[0][2] < least:
             return
-        sure = {(a, b) for a, b in certain_merges(best, len(best) < top)}
-        applied = []
+        sure = set(certain_merges(best, len(best) < top))
+        applied, again = [], False
         for a, b, n in best:
-            if (a, b) not in sure or n < least or state.full:
+            if (a, b) not in sure or n < least or state.full or again:
                 break
             new, use = state.add(a, b)
+            again = state.remade  # pairs merged before may be adjacent again
             if use:
                 applied.append((a, b, new))
-        again = [(a, b, new) for (a, b), new in state.done.items() if state.names[new] in {state.names[x[2]] for x in applied} and (a, b, new) not in applied]
-        words = words.withColumn("ids", _replace_column(F.col("ids"), [*applied, *again]))
+        words = words.withColumn("ids", _replace_column(F.col("ids"), applied))
         pending += len(applied)
         if pending >= 20:
             path = f"{folder}/words-{uuid.uuid4().hex}"
