@@ -17,10 +17,17 @@ from tokenloom.llm.quality import score_quality, train
 from tokenloom.llm.simhash import SimHash, drop_near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of texts that a Python worker gets at once; the workers of an executor live beside its heap.
+BATCH = "16m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     return score_quality(docs, model).filter("predicted = 1").select(*COLUMNS)
 
@@ -34,11 +41,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    small_batches(spark)
     return drop_near_duplicates(docs.select(*COLUMNS), SimHash.for_similarity(0.8, shingle=5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    small_batches(spark)
     return drop_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
