@@ -1,0 +1,81 @@
+import random
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from tokenloom.llm import lines
+
+DOCS = "doc_id long, text string"
+BLANK = " \t\r\n\x0b\x0c"
+
+
+def passages_by_hand(rows, long=50):
+    """The rule said plainly: (doc_id, text) -> text left; lines with their blank followers."""
+    seen, out = set(), {}
+    for key in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        segments = []
+        for x in (key[1] or "").split("\n"):
+            if segments and not x.strip(BLANK):
+                segments[-1].append(x)
+            else:
+                segments.append([x])
+        gone = set()
+        for i, s in enumerate(segments):
+            if not "".join(s).strip(BLANK):
+                continue
+            units = [((s[0],), {i})] if s[0].count(" ") >= long else []
+            if i + 1 < len(segments):
+                units.append(((*s, segments[i + 1][0]), {i, i + 1}))
+            for unit, at in units:
+                if unit in seen:
+                    gone |= at
+                seen.add(unit)
+        out[key] = "\n".join("\n".join(s) for i, s in enumerate(segments) if i not in gone)
+    return out
+
+
+def prose(rng, words):
+    return " ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(words))
+
+
+@pytest.mark.parametrize("size, words", [(1, 60), (2, 6), (3, 6), (4, 60), (5, 6)])
+def test_planted_passages_go(spark, size, words):
+    """In otherwise unrelated documents, of one line up to many, every later copy goes and nothing else."""
+    rng = random.Random(size)
+    passage = [prose(rng, words) for _ in range(size)]
+    rows, own = [], {}
+    for i in range(30):
+        mine = [prose(rng, rng.choice((4, 70))) for _ in range(1 + i % 9)]
+        at = rng.randint(0, len(mine))
+        own[i] = "\n".join(mine)
+        rows.append((i, "\n".join(mine[:at] + passage + mine[at:])))
+    got = {r["doc_id"]: r for r in lines.dedup_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0]["text"] == rows[0][1] and got[0]["removed_chunks"] == got[0]["removed_lines"] == 0
+    assert all(got[i]["text"] == own[i] and got[i]["removed_lines"] == size and got[i]["removed_chunks"] == 1 for i in range(1, 30))
+
+
+def test_passages_by_hand(spark):
+    rng = random.Random(5)
+    long = " ".join(["word"] * 60)
+    rows = [(1, "a\n\nb\nc"), (2, "x\na\n\nb\ny"), (2, "x\na\n\nb\ny"), (3, None), (4, ""), (5, long), (6, f"q\n{long}\nr"), (7, "short"), (8, "short"), (9, "\n\n\n"), (10, "\n\n\n"), (None, "b\nc"), (11, "\n \nq\n\n\nr\n"), (12, "\n".join(["x"] * 3000)), (13, "short\n\n\n"), (14, "short\n\n\n")]
+    rows += [(100 + i, "\n".join(rng.choice(("u", "v", "w", "", long, " ", "é")) for _ in range(rng.randint(1, 12)))) for i in range(60)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("removed_lines", F.lit("clash")).withColumn("segments", F.lit(1))
+    out = lines.dedup_passages(df)
+    assert out.columns == ["doc_id", "text", "segments", "removed_lines", "removed_chunks"]
+    got, want = out.collect(), passages_by_hand(rows)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted((k[0] or 0, want[k]) for k in rows)
+    assert sorted(map(str, lines.dedup_passages(df, hash_bits=2).collect())) == sorted(map(str, got))
+    there = {x for k in rows for x in (k[1] or "").split("\n")}
+    assert {x for r in got for x in (r["text"] or "").split("\n")} >= {x for x in there if x.strip(BLANK)}
+    assert lines.dedup_passages(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_op5_passage_dedup(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got = lines.op5_passage_dedup(spark, sf_dir).toPandas()
+    want = con.sql(lines.PASSAGE_SQL).df()
+    cols = sorted(got.columns)
+    tidy = lambda d: d[cols].astype(str).sort_values(cols).reset_index(drop=True)
+    assert tidy(got).equals(tidy(want)) and got["removed_lines"].sum() > 0

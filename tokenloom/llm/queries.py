@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_top_k": topk.op3_exact_top_k,
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
         "op5_line_dedup": lines.op5_line_dedup,
+        "op5_passage_dedup": lines.op5_passage_dedup,
         "op6_url_filters": urls.op6_url_filters,
         "op7_mixing": mixing.op7_mixing,
         "op8_token_counts": tokens.op8_token_counts,
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.OP1_SQL, "op3_exact_top_k": topk.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op6_url_filters": urls.OP6_SQL}
+    return {"op1_chat_formatting": chat.OP1_SQL, "op3_exact_top_k": topk.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op5_passage_dedup": lines.PASSAGE_SQL, "op6_url_filters": urls.OP6_SQL}
