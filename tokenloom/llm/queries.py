@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": chat.op1_chat_formatting,
         "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+        "op2_verified_near_dedup": simhash.op2_verified_near_dedup,
         "op3_exact_top_k": topk.op3_exact_top_k,
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
         "op5_line_dedup": lines.op5_line_dedup,

@@ -6,12 +6,16 @@ at least, so no link is lost); for wide ones, sampled bits. In a bucket, a pair
 Hamming distances to the reference fingerprints (the pivots, tabled beforehand) differ by more than
 the radius in any coordinate, and survivors are verified on all bits. A bucket gives the edges of a
 spanning forest, never all its pairs; very large buckets are dealt out in pairs of blocks.
+
+Where a similarity is asked for, these links only propose: the documents of each component of them are
+brought together with their sets of shingles, and a forest of links of that Jaccard similarity is taken.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +35,9 @@ class SimHash:
 
     With one word and a radius of up to 3 candidates are complete. Else tables keys of key_bits sampled
     bits are used; the chance that a pair at the radius is met is recall().
+
+    With a similarity above 0, each distinct shingle has one vote, and links are those of this Jaccard
+    similarity of the sets of shingles among the ones within the radius.
     """
 
     shingle: int = 3
@@ -41,6 +48,7 @@ class SimHash:
     key_bits: int = 20
     block: int = 8192
     seed: int = 42
+    similarity: float = 0.0
 
     @property
     def exact(self) -> bool:
@@ -54,10 +62,29 @@ class SimHash:
     def for_similarity(similarity: float = 0.8, shingle: int = 5, words: int = 8, **more) -> "SimHash":
         """A radius for a Jaccard similarity of the shingles: the bits in which such texts are expected to
         differ, and one standard deviation more, so that few pairs above the similarity are lost."""
-        share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        share = differing(similarity)
         bits = 64 * words
         return SimHash(shingle=shingle, words=words, radius=round(bits * share + math.sqrt(bits * share * (1 - share))), pivots=4, **more)
 
+    @staticmethod
+    def for_jaccard(similarity: float = 0.8, shingle: int = 5, words: int = 8, tables: int = 96, key_bits: int = 16, **more) -> "SimHash":
+        """Links of a Jaccard similarity of the shingles, verified; a radius of three standard deviations
+        more than the bits in which such texts are expected to differ. expected_recall(0.8) is over 0.99."""
+        share = differing(similarity)
+        bits = 64 * words
+        return SimHash(shingle=shingle, words=words, radius=round(bits * share + 3 * math.sqrt(bits * share * (1 - share))), pivots=4, tables=tables, key_bits=key_bits, similarity=similarity, **more)
+
+    def expected_recall(self, similarity: float) -> float:
+        """Chance that texts of this similarity are within the radius and meet in a table."""
+        bits, share = 64 * self.words, differing(similarity)
+        chance = (math.comb(bits, d) * share**d * (1 - share) ** (bits - d) * self.recall(d / bits) for d in range(self.radius + 1))
+        return sum(chance)
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which texts of this Jaccard similarity are expected to differ, at most."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
 
 def mixed(h: np.ndarray, words: int) -> np.ndarray:
     """(n, words) 64-bit hashes from one: the hash itself, then its mixes with a counter."""
@@ -72,27 +99,52 @@ def mixed(h: np.ndarray, words: int) -> np.ndarray:
     return z
 
 
-def fingerprint(text: str | None, shingle: int, words: int = 1, seed: int = 42) -> bytes:
-    """Big-endian words; a bit is 1 if set in over half of the shingles' hashes. No words: zero."""
+def shingles(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """64-bit hashes of the shingles, in order; a text of fewer words is one shingle, one of none has none."""
     w = (text or "").encode("utf-8", "replace").lower().split()
-    if not w:
-        return bytes(8 * words)
-    count = max(1, len(w) - shingle + 1)
+    count = max(1, len(w) - shingle + 1) if w else 0
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(b" ".join(w[i : i + shingle]), seed) for i in range(count)), np.uint64, count)
+    return np.fromiter((digest(b" ".join(w[i : i + shingle]), seed) for i in range(count)), np.uint64, count)
+
+
+def voted(h: np.ndarray, words: int) -> bytes:
+    """Big-endian words; a bit is 1 if set in over half of the hashes. No hashes: zero."""
+    if not len(h):
+        return bytes(8 * words)
     votes = np.zeros(64 * words, np.int64)
-    for at in range(0, count, 4096):
+    for at in range(0, len(h), 4096):
         wide = mixed(h[at : at + 4096], words).astype(">u8")
         votes += np.unpackbits(wide.view(np.uint8).reshape(len(wide), 8 * words), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > count).tobytes()
+    return np.packbits(2 * votes > len(h)).tobytes()
+
+
+def fingerprint(text: str | None, shingle: int, words: int = 1, seed: int = 42) -> bytes:
+    """Every shingle has a vote, repeats too."""
+    return voted(shingles(text, shingle, seed), words)
+
+
+def shingle_set(text: str | None, p: SimHash) -> tuple[np.ndarray, bytes]:
+    """The distinct hashes, in order of size, and a name of the set."""
+    h = np.unique(shingles(text, p.shingle, p.seed))
+    return h, hashlib.md5(h.tobytes()).digest()
 
 
 def with_fingerprints(docs: DataFrame, p: SimHash, text: str = "text") -> DataFrame:
+    """doc_id, fp and, where a similarity is asked for, the name of the set of shingles."""
+
     @F.pandas_udf("binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint(t, p.shingle, p.words, p.seed) for t in texts], dtype=object)
 
+    @F.pandas_udf("fp binary, name binary")
+    def of_sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = (shingle_set(t, p) for t in texts)
+            yield pd.DataFrame([(voted(h, p.words), name) for h, name in sets], columns=["fp", "name"], dtype=object)
+
+    if p.similarity:
+        return docs.select("doc_id", of_sets(F.col(text)).alias("_made")).select("doc_id", "_made.*")
     return docs.select("doc_id", of(F.col(text)).alias("fp"))
 
 
@@ -138,14 +190,14 @@ def near(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, radius:
     return ok
 
 
-def forest(words: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest of one bucket: each reached row is compared with rows not reached yet only."""
-    edges, left = [], np.arange(len(words))
+def forest(n: int, close: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning forest of n rows: each reached row is compared with rows not reached yet only."""
+    edges, left = [], np.arange(n)
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             i = queue.pop()
-            hit = near(words[i], words[left], table[i], table[left], radius)
+            hit = close(i, left)
             if hit.any():
                 found = left[hit].tolist()
                 edges += [(i, j) for j in found]
@@ -172,7 +224,8 @@ def linked(group: np.ndarray, nodes: np.ndarray, words: np.ndarray, p: SimHash)
         us.append(nodes[at]), vs.append(nodes[at + s])
     for k in np.flatnonzero(size > SMALL):
         a, b = start[k], start[k] + size[k]
-        if e := forest(words[a:b], table[a:b], p.radius):
+        w, t = words[a:b], table[a:b]
+        if e := forest(b - a, lambda i, left: near(w[i], w[left], t[i], t[left], p.radius)):
             e = np.array(e) + a
             us.append(nodes[e[:, 0]]), vs.append(nodes[e[:, 1]])
     none = np.empty(0, np.int64)
@@ -241,6 +294,66 @@ def links(classes: DataFrame, p: SimHash) -> DataFrame:
     return dealt.mapInArrow(join, "u long, v long").distinct()
 
 
+#: Documents of a component that are compared at once, with as many others.
+MEMBERS = 128
+
+
+def similar(i: int, left: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which sets of left have this Jaccard similarity with set i; no set is empty."""
+    sizes = np.array([len(sets[j]) for j in left])
+    ok = np.minimum(sizes, len(sets[i])) >= similarity * np.maximum(sizes, len(sets[i])) - 1e-9
+    at = np.flatnonzero(ok)
+    if len(at):
+        every = np.concatenate([sets[j] for j in left[at]])
+        place = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+        both = np.add.reduceat((sets[i][place] == every).astype(np.int64), np.r_[0, np.cumsum(sizes[at])[:-1]])
+        ok[at] = both >= similarity * (sizes[at] + len(sets[i]) - both) - 1e-9
+    return ok
+
+
+def verified(docs: DataFrame, classes: DataFrame, found: DataFrame, p: SimHash, text: str) -> DataFrame:
+    """Edges (u, v) that span the links of p.similarity within the components found; classes (node, fp, name).
+
+    Only documents of those components are read again, one for each set of shingles. Components of more
+    than MEMBERS are dealt out in pairs of blocks.
+    """
+    members, _ = cut(classes.join(found, "node").select("node", "fp", "name", "component"))
+    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    members, _ = cut(members.join(sizes, "component"))
+    own = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("_text"))
+    texts = own.join(members.hint("merge"), "node").select("node", "fp", "name", "component", "blocks", "_text")
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [shingle_set(t, p) for t in b["_text"].to_pylist()]
+            # a repeated doc_id has other texts, too
+            at = [i for i, ((_, name), want) in enumerate(zip(made, b["name"].to_pylist())) if name == want]
+            kept = b.drop_columns(["_text"]).take(pa.array(at, pa.int64()))
+            yield kept.append_column("shingles", pa.array([made[i][0].tobytes() for i in at], pa.binary()))
+
+    rows = texts.mapInArrow(with_sets, "node long, fp binary, name binary, component long, blocks int, shingles binary")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "fp", "name", "shingles")
+
+    def join(group: pa.Table) -> pa.Table:
+        first = list({x: i for i, x in enumerate(group["name"].to_pylist())}.values())
+        group = group.take(pa.array(first, pa.int64()))
+        nodes = group["node"].to_numpy()
+        words = np.ascontiguousarray(unpack(group["fp"], 8 * p.words)).view(">u8").astype(np.uint64)
+        sets = [np.frombuffer(x, np.uint64) if x else np.zeros(1, np.uint64) for x in group["shingles"].to_pylist()]
+
+        def close(i: int, left: np.ndarray) -> np.ndarray:
+            ok = np.bitwise_count(words[i] ^ words[left]).sum(axis=1) <= p.radius
+            ok[ok] = similar(i, left[ok], sets, p.similarity)
+            return ok
+
+        e = np.array(forest(len(nodes), close), np.int64).reshape(-1, 2)
+        return pa.table({"u": nodes[e[:, 0]], "v": nodes[e[:, 1]]})
+
+    return rows.groupBy("component", "lo", "hi").applyInArrow(join, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, p: SimHash = SimHash(), text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (binary), component_id.
 
@@ -249,10 +362,13 @@ def near_duplicates(docs: DataFrame, p: SimHash = SimHash(), text: str = "text")
     rows give repeated rows; other columns are ignored; an empty table gives no rows.
     """
     prints, _ = cut(with_fingerprints(docs, p, text).withColumn("doc_id", F.col("doc_id").cast("long")))
-    classes, _ = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links(classes.filter("node IS NOT NULL"), p))
-    of = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    key = ["fp", "name"] if p.similarity else ["fp"]
+    classes, _ = cut(prints.groupBy(*key).agg(F.min("doc_id").alias("node")))
+    found = components(links(classes.filter("node IS NOT NULL").select("fp", "node"), p))
+    if p.similarity:
+        found = components(verified(docs, classes, found, p, text))
+    of = classes.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(of, key).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, p: SimHash) -> DataFrame:
@@ -277,3 +393,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     found = near_duplicates(docs, SimHash(shingle=3, words=1, radius=3))
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def op2_verified_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of five-word shingles at a Jaccard similarity of 0.8."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return near_duplicates(docs, SimHash.for_jaccard(0.8)).select("doc_id", "component_id")
