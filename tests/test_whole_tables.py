@@ -1,0 +1,16 @@
+"""Queries over documents where their older forms take a part or a smaller table."""
+
+from tokenloom import queries as q
+
+
+def test_decode_skips_special_in_any_text(spark, tmp_path):
+    texts = ["é中😀 zwei", "a\nb c\td  e", "<x> y", "", " lead", "trail ", "\u00a0\x01 z", "plain text"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in q.queries()["decode_skip_special_documents"](spark, str(tmp_path)).collect()}
+    assert [got[i]["every"] for i in range(len(texts))] == texts
+    assert [got[i]["kept"] for i in range(len(texts))] == ["" if t.startswith("<") else t.split(" ")[0] for t in texts]
+
+
+def test_every_document_is_decoded(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert q.queries()["decode_skip_special_documents"](spark, sf_dir).count() == n

@@ -496,6 +496,15 @@ def decode_skip_special(spark, sf_dir):
     return rows.select("item_id", dc.decode_text(marked).alias("kept"), dc.decode_text(every, False).alias("every"))
 
 
+@register("decode_skip_special_documents", "SELECT doc_id, CASE WHEN split_part(text, ' ', 1) LIKE '<%' AND split_part(text, ' ', 1) LIKE '%>' THEN '' ELSE split_part(text, ' ', 1) END AS kept, text AS every FROM documents")
+def decode_skip_special_documents(spark, sf_dir):
+    """Words as byte characters, so that any text can be told in tokens."""
+    words = F.transform(F.split("text", " ", -1), bc.byte_chars)
+    marked = F.flatten(F.transform(words, lambda w, i: F.when(i == 0, F.array(w)).otherwise(F.array(F.lit("<s>"), F.concat(F.lit("<"), w, F.lit(">"))))))
+    every = F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.lit("Ġ"), w)))
+    return docs(spark, sf_dir).select("doc_id", dc.decode_text(marked).alias("kept"), dc.decode_text(every, False).alias("every"))
+
+
 # ---- files, streams, flagship ------------------------------------------------------------------
 @register("model_io_roundtrip", f"WITH {ENCODED} SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id")
 def model_io_roundtrip(spark, sf_dir):
