@@ -153,6 +153,7 @@ register("pretok_gpt2", pieces_sql(each_mapped(split_sql())))(pieces_query(GPT2)
 LED = "CASE WHEN text LIKE ' %' THEN text ELSE ' ' || text END"
 register("pretok_gpt2_prefix", pieces_sql(each_mapped(split_sql(LED)), "(SELECT doc_id, text FROM documents)"))(pieces_query(pt.ByteLevel()))
 register("pretok_noregex", pieces_sql(f"[{mapped_sql('text')}]", "conversations", "conv_id"))(pieces_query(pt.ByteLevel(False, True, False), "conversations", "conv_id"))
+register("pretok_noregex_documents", pieces_sql(f"[{mapped_sql('text')}]"))(pieces_query(pt.ByteLevel(False, True, False)))
 
 
 @register("pretok_offsets", f"WITH {SEGMENTS} SELECT doc_id, pos - 1 AS pos, (sum(octet_length(encode(w))) OVER (PARTITION BY doc_id ORDER BY pos) - octet_length(encode(w)))::BIGINT AS start, (sum(octet_length(encode(w))) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS \"end\" FROM seg")
@@ -205,12 +206,12 @@ LETTERS = "letters AS (SELECT c, sum(n) AS n FROM (SELECT unnest(string_split(wo
 BLANKS = pt.Split("[ \n]+", True, "Removed")
 
 
-def plain_words(spark, sf_dir) -> DataFrame:
-    return tr.word_counts(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "text", BLANKS)
+def plain_words(spark, sf_dir, table: str = "benchmark") -> DataFrame:
+    return tr.word_counts(spark.read.parquet(f"{sf_dir}/{table}.parquet"), "text", BLANKS)
 
 
-def ranked_letters(spark, sf_dir, o: tr.TrainerOptions) -> DataFrame:
-    rows = tr.alphabet(plain_words(spark, sf_dir), o)
+def ranked_letters(spark, sf_dir, o: tr.TrainerOptions, table: str = "benchmark") -> DataFrame:
+    rows = tr.alphabet(plain_words(spark, sf_dir, table), o)
     order = Window.orderBy(F.desc("forced"), F.desc(F.when(F.col("forced"), 0).otherwise(F.col("n"))), F.ascii("c"))  # an alphabet is small
     return rows.select("c", F.col("n").cast("long").alias("n"), F.row_number().over(order).cast("long").alias("rank"))
 
@@ -228,8 +229,8 @@ def alphabet_forced(spark, sf_dir):
 PAIRS = "pairs AS (SELECT l[i] AS a, l[i + 1] AS b, sum(n)::BIGINT AS n FROM (SELECT l, n, unnest(range(1, len(l))) AS i FROM (SELECT string_split(word, '') AS l, n FROM words)) GROUP BY 1, 2)"
 
 
-def char_pairs(spark, sf_dir) -> DataFrame:
-    words = plain_words(spark, sf_dir).select(F.transform(F.split("word", ""), F.ascii).alias("ids"), "n")
+def char_pairs(spark, sf_dir, table: str = "benchmark") -> DataFrame:
+    words = plain_words(spark, sf_dir, table).select(F.transform(F.split("word", ""), F.ascii).alias("ids"), "n")
     return tr.pair_counts(words)
 
 
@@ -243,6 +244,31 @@ def best_pair(spark, sf_dir):
     return tr.best_pair(char_pairs(spark, sf_dir))
 
 
+# the same over all documents, each with the SQL of its older form but for the table
+def over_documents(name: str) -> str:
+    return SQL[name].replace("FROM benchmark", "FROM documents")
+
+
+@register("alphabet_topk_documents", over_documents("alphabet_topk"))
+def alphabet_topk_documents(spark, sf_dir):
+    return ranked_letters(spark, sf_dir, tr.TrainerOptions(limit_alphabet=20), "documents")
+
+
+@register("alphabet_forced_documents", over_documents("alphabet_forced"))
+def alphabet_forced_documents(spark, sf_dir):
+    return ranked_letters(spark, sf_dir, tr.TrainerOptions(initial_alphabet="za中#"), "documents")
+
+
+@register("pair_counts_documents", over_documents("pair_counts"))
+def pair_counts_documents(spark, sf_dir):
+    return char_pairs(spark, sf_dir, "documents")
+
+
+@register("best_pair_documents", over_documents("best_pair"))
+def best_pair_documents(spark, sf_dir):
+    return tr.best_pair(char_pairs(spark, sf_dir, "documents"))
+
+
 def train_sql(rounds: int, least: int = 1, most_bytes: int = 1 << 30, suffix: str = "") -> str:
     """Unrolled training: one CTE of pair counts and one of words for each merge; ids break ties."""
     sym = "string_split(word, '')" if not suffix else f"list_transform(range(1, length(word) + 1), lambda i: word[i] || CASE WHEN i = length(word) THEN {lit(suffix)} ELSE '' END)"
@@ -487,6 +513,12 @@ def decode_ids(spark, sf_dir):
     return BASE.decode(rows, "ids", skip_special_tokens=False).select("row_id", "decoded")
 
 
+@register("decode_ids_documents", "SELECT doc_id, text AS decoded FROM documents")
+def decode_ids_documents(spark, sf_dir):
+    rows = BASE.encode(docs(spark, sf_dir)).select("doc_id", F.concat("encoding.ids", F.array(F.lit(99_999))).alias("ids"))
+    return BASE.decode(rows, "ids", skip_special_tokens=False).select("doc_id", "decoded")
+
+
 @register("decode_skip_special", "SELECT item_id, regexp_replace(text, ' [^ ]*', '', 'g') AS kept, text AS every FROM benchmark WHERE NOT regexp_matches(text, '[^\\x20-\\x7e]')")
 def decode_skip_special(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter(~F.col("text").rlike("[^\\x20-\\x7e]"))
