@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given
@@ -49,6 +50,34 @@ def test_merge_is_least_rank_leftmost_first(symbols, table):
     assert merge([(s, 1) for s in symbols], ranked) == out
 
 
+def dropped_by_hand(symbols, table, rate, rng):
+    """All candidates in order, one draw each, until one is taken; then from the start again."""
+    out = list(symbols)
+    while True:
+        found = sorted((*table[p], i) for i in range(len(out) - 1) if (p := (out[i][0], out[i + 1][0])) in table)
+        for _, new, i in found:
+            if rng.random() >= rate:
+                out[i : i + 2] = [(new, out[i][1] + out[i + 1][1])]
+                break
+        else:
+            return out
+
+
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.dictionaries(st.tuples(st.integers(0, 6), st.integers(0, 6)), st.integers(2, 6), max_size=12), st.sampled_from([0.0, 0.1, 0.5, 0.9, 1.0]), st.integers(0, 99))
+def test_dropout_by_hand(symbols, table, rate, seed):
+    ranked = {p: (r, new) for r, (p, new) in enumerate(table.items())}
+    pairs = [(s, 1) for s in symbols]
+    assert merge_with_dropout(pairs, ranked, rate, random.Random(seed)) == dropped_by_hand(pairs, ranked, rate, random.Random(seed))
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.5, 1.0])
+def test_dropout_of_long_words(rate):
+    table = {(0, 1): (0, 2), (2, 2): (1, 3), (3, 2): (2, 4), (3, 3): (3, 5)}
+    at = time.process_time()
+    got = merge_with_dropout([(0, 1), (1, 1)] * 20_000, table, rate, random.Random(1))
+    assert sum(n for _, n in got) == 40_000 and time.process_time() - at < 5
+
+
 @pytest.mark.parametrize("text, want, offsets", [("abc", [5], [(0, 3)]), ("abcd", [5, 3], [(0, 3), (3, 4)]), ("dcba", [3, 2, 1, 0], None), ("", [], [])])
 def test_encode(text, want, offsets):
     got = Bpe(ABCD, ABCD_MERGES).encode(text)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -120,6 +121,44 @@ def test_both_ways_are_canonical(spark, tmp_path):
     assert list(tr.train(counts, o, local_words=0, folder=str(tmp_path)).merges) == want
 
 
+def test_certain_merges_allow_shared_parts():
+    # (0, 1) takes nothing from (0, 2) or (3, 1), and makes pairs of at most 5, as (4, 0) and (1, 4) allow
+    top = [(0, 1, 90), (0, 2, 50), (3, 1, 40), (4, 0, 5), (1, 4, 3)]
+    assert tr.certain_merges(top, True) == [(0, 1), (0, 2), (3, 1)]
+    assert tr.certain_merges(top, False) == [(0, 1), (0, 2), (3, 1)]
+    assert tr.certain_merges(top, True, {(0, 1)}) == [(0, 2), (3, 1)]
+    assert tr.certain_merges([(0, 1, 9), (1, 2, 8)], True) == [(0, 1)]
+
+
+@pytest.mark.parametrize("seed, options", [(1, {"max_token_length": 2}), (2, {"end_of_word_suffix": "</w>"}), (3, {"continuing_subword_prefix": "##"}), (4, {"limit_alphabet": 3}), (5, {})])
+def test_both_ways_agree_with_options(spark, tmp_path, monkeypatch, seed, options):
+    rng = random.Random(seed)
+    words = {"".join(rng.choice("aab\u00e9\U0001f600") for _ in range(rng.randint(1, 9))): rng.randint(1, 30) for _ in range(50)}
+    counts = spark.createDataFrame(list(words.items()), "word string, n long")
+    o = O(min_frequency=2, vocab_size=25, **options)
+    a, b = tr.train(counts, o), tr.train(counts, o, local_words=0, folder=str(tmp_path))
+    assert a.merges == b.merges and a.vocab == b.vocab and len(a.merges) > 3
+    assert not list(tmp_path.glob("cut-*"))
+
+
+def test_rounds_stay_equally_long(spark, tmp_path):
+    """The plan of a round does not grow with the merges before it."""
+    rng = random.Random(7)
+    rows = [("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 12))), 1) for _ in range(300)]
+    words = spark.createDataFrame([("".join(f"<{ord(c) - 97}>" for c in w), n) for w, n in rows], "e string, n long")
+    tables, sizes, spent = tr._Tables(words, str(tmp_path), written=8), [], []
+    for i in range(12):
+        a, b, _ = tables.best(1)[0]
+        at = time.time()
+        tables.apply([(a, b, 100 + i)])
+        spent.append(time.time() - at)
+        sizes.append(len(tables.pairs._jdf.queryExecution().optimizedPlan().toString()))
+    assert max(sizes) < 2 * min(sizes) and min(spent[-4:]) < 3 * min(spent[:4])
+    want = {tuple(r) for r in tr.pair_counts(tables.words.select(tr._ids_of(tr._replaced_text(tables.words.e, tables.pending)).alias("ids"), "n")).collect()}
+    assert {tuple(r) for r in tables.pairs.collect()} == want
+    tables.close()
+
+
 def test_feeds_add_up(spark):
     a, b = (tr.word_counts(fed(spark, t), "text", WORDS) for t in ("x y x", "x z"))
     assert {r["word"]: r["n"] for r in tr.merged_counts(a, b).collect()} == {"x": 3, "y": 1, "z": 1}

@@ -199,16 +199,39 @@ def merge(symbols: Iterable[tuple[int, int]], table: dict[tuple[int, int], tuple
 
 
 def merge_with_dropout(symbols, table, rate: float, rng: random.Random) -> list[tuple[int, int]]:
-    """As merge(), but each candidate is passed over with probability rate; a merge brings all back."""
-    out = list(symbols)
-    while True:
-        found = sorted((*table[p], i) for i in range(len(out) - 1) if (p := (out[i][0], out[i + 1][0])) in table)
-        for _, new, i in found:
-            if rng.random() >= rate:
-                out[i : i + 2] = [(new, out[i][1] + out[i + 1][1])]
-                break
-        else:
-            return out
+    """As merge(), but each candidate is passed over with probability rate; a merge brings all back.
+
+    Candidates passed over are put aside, and go back to the queue with the next merge. A place has one
+    live candidate, told by its stamp, so each costs one draw for each time it is met.
+    """
+    ids, sizes = map(list, zip(*symbols))
+    n = len(ids)
+    after, before, stamp = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
+    queue = [(*table[p], i, 0) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in table]
+    heapq.heapify(queue)
+    aside: list[tuple[int, int, int, int]] = []
+    while queue:
+        met = heapq.heappop(queue)
+        _, new, i, made = met
+        if stamp[i] != made:
+            continue
+        if rng.random() < rate:
+            aside.append(met)
+            continue
+        j = after[i]
+        ids[i], sizes[i] = new, sizes[i] + sizes[j]
+        ids[j], after[i], stamp[j] = None, after[j], -1
+        if after[j] < n:
+            before[after[j]] = i
+        for left in (before[i], i):
+            if left >= 0:
+                stamp[left] += 1
+                if after[left] < n and (p := (ids[left], ids[after[left]])) in table:
+                    heapq.heappush(queue, (*table[p], left, stamp[left]))
+        for x in aside:
+            heapq.heappush(queue, x)
+        aside.clear()
+    return [(t, s) for t, s in zip(ids, sizes) if t is not None]
 
 
 def resolve_merges(vocab: DataFrame, merges: DataFrame) -> DataFrame:

@@ -8,14 +8,15 @@ smaller pair of ids.
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Container, Iterator
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut, forget, shared_dir
 from .model import Bpe, Options
 from .pretokenize import kept_texts, pieces_of
 
@@ -182,73 +183,130 @@ def _replaced(ids: list[int], p: tuple[int, int], new: int) -> list[int]:
     return out
 
 
-def _replace_column(ids: Column, merges: list[tuple[int, int, int]]) -> Column:
-    """Native replacement of pairs in an array of ids, in order."""
-    text = F.concat(F.lit("<"), F.array_join(F.transform(ids, lambda x: x.cast("string")), "><"), F.lit(">"))
-    for a, b, new in merges:
-        text = F.replace(text, F.lit(f"<{a}><{b}>"), F.lit(f"<{new}>"))
-    return F.transform(F.split(F.substring(text, F.lit(2), F.length(text) - 2), "><"), lambda x: x.cast("int"))
+def _replaced_text(text: Column, merges: list[tuple[int, int, int]]) -> Column:
+    """Ids written as "<1><2>" after merges, in order: one expression, however many there are."""
+    if not merges:
+        return text
+    steps = F.array(*(F.struct(F.lit(f"<{a}><{b}>").alias("f"), F.lit(f"<{new}>").alias("t")) for a, b, new in merges))
+    return F.aggregate(steps, text, lambda done, m: F.replace(done, m["f"], m["t"]))
 
 
-def certain_merges(top: list[tuple[int, int, int]], full_list: bool) -> list[tuple[int, int]]:
+def _ids_of(text: Column) -> Column:
+    return F.transform(F.split(F.btrim(text, F.lit("<>")), "><"), lambda x: x.cast("int"))
+
+
+def certain_merges(top: list[tuple[int, int, int]], full_list: bool, done: Container[tuple[int, int]] = ()) -> list[tuple[int, int]]:
     """Leading pairs whose order no merge before them can change, from the highest counts (a, b, n).
 
-    Merging (a, b) makes pairs (x, ab) and (ab, y), at most as often as (x, a) and (b, y) occur, and
-    lowers others. A pair that shares no id with the merges before it and occurs more often than all
-    they can make is next for certain.
+    Merging (a, b) makes pairs (x, ab) and (ab, y), at most as often as itself and as (x, a) and (b, y)
+    occur, and lowers the counts of pairs (x, a) and (b, y) only. So a pair that ends in no left part and
+    starts with no right part of the merges before it, and occurs more often than all that they can make,
+    is next for certain. Pairs in done are no candidates, but count for what can be made.
     """
+    floor = 0 if full_list or not top else top[-1][2]
+    starts: dict[int, int] = {}
+    ends: dict[int, int] = {}
+    for a, b, n in top:
+        starts[a], ends[b] = max(starts.get(a, floor), n), max(ends.get(b, floor), n)
     out: list[tuple[int, int]] = []
-    used: set[int] = set()
+    lefts: set[int] = set()
+    rights: set[int] = set()
     made = 0
-    floor = 0 if full_list or not top else top[-1][2]
     for a, b, n in top:
-        if out and (n <= made or a in used or b in used):
+        if (a, b) in done:
+            continue
+        if out and (n <= made or a in rights or b in lefts):
             break
         out.append((a, b))
-        used |= {a, b}
-        made = max(made, floor, *(m for x, y, m in top if y == a or x == b), 0)
+        lefts.add(a)
+        rights.add(b)
+        made = max(made, min(n, max(ends.get(a, floor), starts.get(b, floor))))
     return out
 
 
-def _spark(state: _State, words: DataFrame, folder: str, top: int = 400) -> None:
-    """Merge loop as Spark jobs over words(ids, n), which are rewritten to the folder now and then."""
-    spark = words.sparkSession
-    least, pending = max(1, state.o.min_frequency), 0
-    again = False
-    while not state.full:
-        pairs = pair_counts(words)
-        if state.done:
-            old = spark.createDataFrame([(a, b, p not in state.unused) for p in state.done for a, b in [p]], "a int, b int, used boolean")
-            old = F.broadcast(old)  # at most vocab_size rows
-            if again and not pairs.join(old.filter("used"), ["a", "b"], "left_semi").isEmpty():
-                words = words.withColumn("ids", _replace_column(F.col("ids"), [(*p, new) for p, new in state.done.items() if p not in state.unused]))
-                continue
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        best = [(r["a"], r["b"], r["n"]) for r in pairs.orderBy(F.desc("n"), "a", "b").limit(top).collect()]
-        if not best or best[0][2] < least:
+class _Tables:
+    """Distinct words, as ids written "<1><2>", and the counts of their pairs, as tables in a shared folder.
+
+    A batch of merges reads the words once; only words that hold one of its pairs are split, and what they
+    gain and lose is added to the counts. Words are written anew after so many merges; until then these
+    are one expression on top of the table, so the plan is as small in the last round as in the first.
+    """
+
+    def __init__(self, words: DataFrame, folder: str, written: int = 64):
+        self.spark, self.folder, self.written = words.sparkSession, folder, written
+        self.pending: list[tuple[int, int, int]] = []
+        self.words, self.words_path = self.keep(words)
+        self.pairs, self.pairs_path = self.keep(pair_counts(self.words.select(_ids_of(F.col("e")).alias("ids"), "n")))
+
+    def keep(self, df: DataFrame) -> tuple[DataFrame, str]:
+        return cut(df, self.folder)
+
+    def apply(self, merges: list[tuple[int, int, int]]) -> None:
+        if not merges:
             return
-        sure = set(certain_merges(best, len(best) < top))
-        applied, again = [], False
-        for a, b, n in best:
-            if (a, b) not in sure or n < least or state.full or again:
+        now = self.words.select(_replaced_text(F.col("e"), self.pending).alias("e"), "n")
+        pairs = F.array(*(F.lit(f"<{a}><{b}>") for a, b, _ in merges))
+        touched = now.filter(F.exists(pairs, lambda p: F.contains(F.col("e"), p)))
+        both = F.array(
+            F.struct(_ids_of(F.col("e")).alias("ids"), (-F.col("n")).alias("n")),
+            F.struct(_ids_of(_replaced_text(F.col("e"), merges)).alias("ids"), F.col("n").alias("n")),
+        )
+        change = pair_counts(touched.select(F.explode(both).alias("x")).select("x.*"))
+        old = self.pairs_path
+        self.pairs, self.pairs_path = self.keep(self.pairs.unionByName(change).groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 0"))
+        forget(self.spark, old)
+        self.pending += merges
+        if len(self.pending) >= self.written:
+            old = self.words_path
+            self.words, self.words_path = self.keep(self.words.select(_replaced_text(F.col("e"), self.pending).alias("e"), "n"))
+            forget(self.spark, old)
+            self.pending = []
+
+    def best(self, n: int) -> list[tuple[int, int, int]]:
+        return [(r["a"], r["b"], r["n"]) for r in self.pairs.orderBy(F.desc("n"), "a", "b").limit(n).collect()]
+
+    def adjacent(self, merged: list[tuple[int, int]]) -> bool:
+        """Whether any of these pairs occurs; there are at most vocab_size of them."""
+        old = self.spark.createDataFrame(merged, "a int, b int")
+        return not self.pairs.join(F.broadcast(old), ["a", "b"], "left_semi").isEmpty()
+
+    def close(self) -> None:
+        forget(self.spark, self.words_path)
+        forget(self.spark, self.pairs_path)
+
+
+def _spark(state: _State, words: DataFrame, folder: str, top: int = 2000) -> None:
+    """Merge loop as Spark jobs over words (e, n): each round settles all merges that are certain."""
+    least = max(1, state.o.min_frequency)
+    tables = _Tables(words, folder)
+    while not state.full:
+        most = top + len(state.unused)
+        best = tables.best(most)
+        sure = certain_merges(best, len(best) < most, state.done)
+        count = {(a, b): n for a, b, n in best}
+        if not sure or count[sure[0]] < least:
+            break
+        applied = []
+        for p in sure:
+            if count[p] < least or state.full:
                 break
-            new, use = state.add(a, b)
-            again = state.remade  # pairs merged before may be adjacent again
+            new, use = state.add(*p)
             if use:
-                applied.append((a, b, new))
-        words = words.withColumn("ids", _replace_column(F.col("ids"), applied))
-        pending += len(applied)
-        if pending >= 20:
-            path = f"{folder}/words-{uuid.uuid4().hex}"
-            words.write.parquet(path)
-            words, pending = spark.read.schema(words.schema).parquet(path), 0
+                applied.append((*p, new))
+            if state.remade:
+                break  # pairs merged before may be adjacent again
+        tables.apply(applied)
+        while state.remade and tables.adjacent([p for p in state.done if p not in state.unused]):
+            tables.apply([(*p, new) for p, new in state.done.items() if p not in state.unused])
+    tables.close()
 
 
 def train(counts: DataFrame, o: TrainerOptions, options: Options | None = None, local_words: int = 2_000_000, folder: str | None = None) -> Bpe:
     """A model from word counts (word, n). Nothing counted is an error.
 
-    The driver holds at most local_words distinct words; with more, folder (shared by the executors)
-    takes the words and each round is a job.
+    The driver holds at most local_words distinct words; with more, folder (shared by the executors, by
+    default the one of shared_dir()) takes the words and each round is a job. The alphabet is at most all
+    of Unicode, and it and its forms with prefix and suffix are all else that the driver holds.
     """
     distinct = counts.count()
     if not distinct:
@@ -256,27 +314,37 @@ def train(counts: DataFrame, o: TrainerOptions, options: Options | None = None,
     chars = [r["c"] for r in alphabet(counts, o).collect()]
     state = _State(o, chars)
     prefix, suffix = o.continuing_subword_prefix or "", o.end_of_word_suffix or ""
-    known = F.array(*(F.lit(c) for c in sorted(state.kept))) if state.kept else F.array().cast("array<string>")
-    units = F.filter(F.split("word", ""), lambda c: F.array_contains(known, c))
+    own = {(c, c): 0 for c in state.kept}
     if prefix or suffix:
         at = F.split("word", "")
         shaped = F.transform(at, lambda c, i: F.struct(c.alias("c"), F.concat(F.when(i > 0, prefix).otherwise(""), c, F.when(i == F.size(at) - 1, suffix).otherwise("")).alias("t")))
-        units = F.transform(F.filter(shaped, lambda x: F.array_contains(known, x["c"])), lambda x: x["t"])
-    words = counts.select(units.alias("units"), "n")
-    totals = {r["u"]: r["n"] for r in words.select(F.explode("units").alias("u"), "n").groupBy("u").agg(F.sum("n").alias("n")).collect()}
+        forms = counts.select(F.explode(shaped).alias("x"), "n").groupBy("x.c", "x.t").agg(F.sum("n").alias("n"))
+        own = {(r["c"], r["t"]): r["n"] for r in forms.collect() if r["c"] in state.kept}
+    totals: dict[str, int] = defaultdict(int)
+    for (_, t), n in own.items():
+        totals[t] += n
     state.composites(totals)
-    for t in totals:
-        core = t[len(prefix) :] if prefix and t not in state.kept and t.startswith(prefix) else t
-        core = core[: -len(suffix)] if suffix and core not in state.kept and core.endswith(suffix) else core
-        state.bytes.setdefault(state.vocab[t], len(core.encode("utf-8")))
+    for c, t in own:
+        state.bytes.setdefault(state.vocab[t], len(c.encode("utf-8")))
+    ids = {t: state.vocab[t] for _, t in own}
+
+    def spelled(word: str, ids: dict[str, int], kept: Container[str]) -> list[int]:
+        last = len(word) - 1
+        return [ids[prefix * (i > 0) + c + suffix * (i == last)] for i, c in enumerate(word) if c in kept]
+
     if distinct <= local_words:
-        _local(state, [([state.vocab[t] for t in r["units"]], r["n"]) for r in words.filter(F.size("units") > 0).toLocalIterator()])
-    else:
-        ids = F.create_map(*(F.lit(x) for t in sorted(totals) for x in (t, state.vocab[t])))
-        rows = words.filter(F.size("units") > 0).select(F.transform("units", lambda t: F.element_at(ids, t)).alias("ids"), "n")
-        path = f"{folder}/words-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        _spark(state, counts.sparkSession.read.parquet(path), folder)
+        words = ((spelled(r["word"], ids, state.kept), r["n"]) for r in counts.toLocalIterator())
+        _local(state, [(w, n) for w, n in words if w])
+        return state.model(options)
+    spark = counts.sparkSession
+    sent = spark.sparkContext.broadcast((ids, set(state.kept)))
+
+    @F.pandas_udf("string")
+    def written(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(["".join(f"<{i}>" for i in spelled(w, *sent.value)) for w in batch], dtype=object)
+
+    _spark(state, counts.select(written("word").alias("e"), "n").filter("e <> ''"), folder or shared_dir(spark))
     return state.model(options)
 
 

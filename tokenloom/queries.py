@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import string
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,7 +19,7 @@ from .operators.encode import encode, encode_pieces, native_tokens
 from .operators.model import Bpe, Options, resolve_merges
 from .plans.tokenizer import Tokenizer
 from .sources import files
-from .sources.tables import read_table
+from .sources.tables import read_table, shared_dir
 from .streaming.counts import stream_word_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -320,8 +319,7 @@ register("train_suffix", train_sql(8, suffix="</w>"))(trained(tr.TrainerOptions(
 
 @register("train_distributed", train_sql(12))
 def train_distributed(spark, sf_dir):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tokenloom-")
-    return trained(tr.TrainerOptions(min_frequency=1), 12, local_words=0, folder=folder)(spark, sf_dir)
+    return trained(tr.TrainerOptions(min_frequency=1), 12, local_words=0)(spark, sf_dir)
 
 
 # ---- encoding ----------------------------------------------------------------------------------
@@ -540,7 +538,7 @@ def decode_skip_special_documents(spark, sf_dir):
 # ---- files, streams, flagship ------------------------------------------------------------------
 @register("model_io_roundtrip", f"WITH {ENCODED} SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id")
 def model_io_roundtrip(spark, sf_dir):
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tokenloom-')).rstrip('/')}/model-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
     tokenizer = Tokenizer(fixed_model(), nz.sequence(nz.identity()), GPT2, GPT2)
     tokenizer.to_file(spark, f"{folder}/tokenizer.json")
     tokenizer.to_vocab_merges(spark, folder)

@@ -1,7 +1,10 @@
-"""Tables as they are read by the queries."""
+"""Tables as they are read by the queries, and tables in the folder that all executors share."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a table for each core below which its files may not feed all cores.
@@ -21,3 +24,44 @@ def spread(df: DataFrame, small: int = SMALL) -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df.select(*columns) if columns else df)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or the checkpoint folder of the context.
+
+    Where neither is set, a local master gets a temporary folder; on a cluster that is an error, for a
+    folder of the driver's machine is not the executors'.
+    """
+    sc = spark.sparkContext
+    told = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if told:
+        return told.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tokenloom-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def _filed(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def cut(df: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
+    """Write df as a table in the shared folder and read it back: (frame without lineage, path).
+
+    The table goes with forget(), or when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{folder or shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    where, files = _filed(spark, path)
+    files.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table that cut() wrote."""
+    where, files = _filed(spark, path)
+    files.delete(where, True)
+    files.cancelDeleteOnExit(where)
