@@ -1,38 +1,13 @@
-"""What the operators of this subpackage share: the shared folder, lineage cuts, components."""
+"""What the operators of this subpackage share: tables in the shared folder, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut, forget, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tokenloom-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def cut(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and read it back: (frame without lineage, path)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a table that cut() wrote."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["components", "cut", "forget", "shared_dir"]
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -40,7 +15,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star rounds: each node hands its neighbours to the smallest node
     it knows, so a path of n nodes is done in about log n rounds. Every round is a partial aggregate
-    and an equi-join and is written to the shared folder; nothing reaches the driver but two sums.
+    and an equi-join and is written to the shared folder; it is done when a round gives the edges it had.
     Self loops and repeated edges are harmless; nodes without edges do not appear.
     """
     spark = edges.sparkSession
@@ -56,19 +31,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             out = told.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return out.filter(F.col("u") != F.col("v")).distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+    def settled(new: DataFrame, old: DataFrame) -> bool:
+        sides = new.withColumn("side", F.lit(1)).unionByName(old.withColumn("side", F.lit(-1)))
+        return sides.groupBy("u", "v").agg(F.sum("side").alias("side")).filter("side <> 0").isEmpty()
 
     now, path = cut(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v").distinct())
-    seen = mark(now)
-    for _ in range(most_rounds if seen[0] else 0):
-        new, new_path = cut(star(star(now, True), False))
-        forget(spark, path)
-        now, path, before, seen = new, new_path, seen, mark(new)
-        if seen == before:
-            break
-    else:
-        if seen[0]:
+    if not now.isEmpty():
+        for _ in range(most_rounds):
+            new, new_path = cut(star(star(now, True), False))
+            same = settled(new, now)
+            forget(spark, path)
+            now, path = new, new_path
+            if same:
+                break
+        else:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -8,8 +8,6 @@ queries in the query node. Equal scores go to the smaller id, so only strictly l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 LEAF = 16
-#: Rows of one candidate tree, and bytes of query vectors that one pass sends to the executors.
-BLOCK, PASS_BYTES = 4096, 32 << 20
+#: Rows of one candidate tree, and bytes of the vectors of one block of queries or candidates.
+TREE, BLOCK_BYTES = 4096, 32 << 20
 EXACT = 2**53
 
 
@@ -60,16 +58,20 @@ def tree(x: np.ndarray) -> Node:
 
 
 class Search:
-    """Best k candidates of each query so far, kept while candidate blocks come in."""
+    """Best k candidates of each query so far, kept while candidate trees come in.
+
+    Rows are told apart by a number, candidates of equal score ordered by id, then by number.
+    """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, k: int):
+        self.rows, self.vectors, self.k = rows, vectors, k
         self.x = vectors.astype(np.float64)
         self.root = tree(self.x)
-        self.kth = np.full(len(ids), -np.inf)
-        self.best: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), sorted
+        self.kth = np.full(len(rows), -np.inf)
+        self.best: list[list[tuple[int, int, int]]] = [[] for _ in rows]  # (-score, id, row), sorted
+        self.work = 0  # inner products: of points, and of centres for bounds
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         if not len(ids):
             return
         width = max(vectors.shape[1], self.vectors.shape[1])
@@ -78,7 +80,7 @@ class Search:
             self.vectors = wide(self.vectors)
             self.x = self.vectors.astype(np.float64)
             self.root = tree(self.x)
-        self.c_ids, self.c = ids, wide(vectors)
+        self.c_rows, self.c_ids, self.c = rows, ids, wide(vectors)
         self.y = self.c.astype(np.float64)
         reach = np.abs(self.x).max(initial=0) * np.abs(self.y).max(initial=0) * max(width, 1)
         self.small = reach < EXACT
@@ -93,15 +95,18 @@ class Search:
         if not r.kids and not q.kids:
             self.compare(q.rows, r.rows)
         elif not r.kids:
+            self.work += len(q.kids)
             bound = q.centres @ r.centre + r.radius * q.norms + q.radii * (r.norm + r.radius) + self.slack
             for kid, b in zip(q.kids, bound):
                 if b >= self.worst(kid):
                     self.visit(kid, r)
         elif not q.kids:
+            self.work += len(r.kids)
             self.descend(q, r, r.centres @ q.centre + q.radius * r.norms + r.radii * (q.norm + q.radius) + self.slack)
         else:
             for at in range(0, len(q.kids), 512):
                 some = slice(at, at + 512)
+                self.work += len(q.kids[some]) * len(r.kids)
                 bound = q.centres[some] @ r.centres.T + q.radii[some, None] * r.norms + (q.norms + q.radii)[some, None] * r.radii + self.slack
                 for kid, row in zip(q.kids[some], bound):
                     self.descend(kid, r, row)
@@ -123,18 +128,19 @@ class Search:
                     self.visit(q, kid)
 
     def compare(self, qs: np.ndarray, cs: np.ndarray) -> None:
+        self.work += len(qs) * len(cs)
         if self.small:
             scores = self.x[qs] @ self.y[cs].T
         else:
             scores = self.vectors[qs].astype(object) @ self.c[cs].T.astype(object)
-        ids = self.c_ids[cs]
+        ids, rows = self.c_ids[cs], self.c_rows[cs]
         for q, row in zip(qs, scores):
-            hit = np.flatnonzero((row >= self.kth[q]) & (ids != self.ids[q]))
+            hit = np.flatnonzero((row >= self.kth[q]) & (rows != self.rows[q]))
             if self.small and len(hit) > 4 * self.k:
                 least = np.partition(row[hit], len(hit) - self.k)[len(hit) - self.k]
                 hit = hit[row[hit] >= least]
             if len(hit):
-                self.best[q] = sorted([*self.best[q], *((-int(row[i]), int(ids[i])) for i in hit)])[: self.k]
+                self.best[q] = sorted([*self.best[q], *((-int(row[i]), int(ids[i]), int(rows[i])) for i in hit)])[: self.k]
                 if len(self.best[q]) == self.k:
                     self.kth[q] = -self.best[q][-1][0]
 
@@ -145,6 +151,11 @@ def whole_numbers(vector: Column, scale: int = 1024) -> Column:
     return F.when(fine, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double"))))
 
 
+def flat(column: pa.ChunkedArray) -> pa.Array:
+    whole = column.combine_chunks()
+    return pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """(rows, longest) integers of a list column; shorter lists end in zeros."""
     lengths = np.diff(column.offsets.to_numpy())
@@ -157,50 +168,52 @@ def matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
+def dealt(rows: DataFrame, name: str, blocks: int) -> DataFrame:
+    """rows with the number of a block, by a hash of their row number."""
+    return rows.withColumn(name, F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int"))
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """vectors (vec_id long, v array<long>) -> query_id, rank (from 1), vec_id, score.
 
-    Each query row against every row of another vec_id; ties go to the smaller vec_id; fewer rows give
-    fewer results. Null ids and vectors take no part; a vec_id that repeats keeps its smallest vector;
-    a shorter vector counts as ending in zeros. Scores beyond a long are cut to its ends. Queries are a
-    stated set, sent in passes of bounded size; candidates are indexed block by block where they lie,
-    and each task returns k rows a query.
+    Each query row against every other row; ties go to the smaller vec_id; fewer rows give fewer
+    results. Null ids and vectors take no part. Rows that repeat a vec_id are queries and candidates of
+    their own, also for each other, so a repeated query's ranks repeat. A shorter vector counts as ending
+    in zeros. Scores beyond a long are cut to its ends. An empty table or query set gives no rows.
+
+    Queries are a stated set. They and the candidates are dealt into blocks of bounded bytes, each pair
+    of blocks is one task, in which a tree of the queries meets trees of candidates, and gives k rows a
+    query. Vectors move once for each block of the other side; none of them reaches the driver.
     """
     spark = vectors.sparkSession
-    own, _ = cut(vectors.filter("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v")))
-    own = own.repartition("vec_id")
+    own, _ = cut(vectors.filter("vec_id IS NOT NULL AND v IS NOT NULL").select("vec_id", "v", F.monotonically_increasing_id().alias("_row")))
+    size = F.sum(8 * F.size("v") + 32)
     asked = own.filter(queries)
-    n, width = own.filter(queries).agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    passes = max(1, -(-n * max(width or 1, 1) * 8 // PASS_BYTES))
+    bytes_asked, bytes_own = (df.agg(size).first()[0] or 0 for df in (asked, own))
+    in_queries = max(1, -(-bytes_asked // BLOCK_BYTES))
+    in_own = max(3 * spark.sparkContext.defaultParallelism, -(-bytes_own // BLOCK_BYTES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = dealt(asked, "q", in_queries).withColumn("c", every(in_own))
+    right = dealt(own, "c", in_own).withColumn("q", every(in_queries))
     end = np.iinfo(np.int64)
-    schema = "query_id long, vec_id long, score long"
-    parts = []
-    for i in range(passes):
-        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).orderBy("vec_id").toArrow().combine_chunks()
-        if not part.num_rows:
-            continue
-        column = part["v"].combine_chunks() if isinstance(part["v"], pa.ChunkedArray) else part["v"]
-        sent = spark.sparkContext.broadcast((part["vec_id"].to_numpy(), matrix(column)))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            search = None
-            for b in batches:
-                for at in range(0, b.num_rows, BLOCK):
-                    search = search or Search(*sent.value, k)
-                    some = b.slice(at, BLOCK)
-                    search.add(some["vec_id"].to_numpy(), matrix(some["v"]))
-            if search:
-                rows = [(int(q), i, min(max(-s, end.min), end.max)) for q, best in zip(search.ids, search.best) for s, i in best]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ((), (), ()))], ["query_id", "vec_id", "score"])
-
-        parts.append(own.mapInArrow(scan, schema))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for x in parts[1:]:
-        found = found.unionByName(x)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    names = ["query_row", "query_id", "_row", "vec_id", "score"]
+
+    def search(some: pa.Table, others: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if some.num_rows and others.num_rows:
+            some, others = some.combine_chunks(), others.combine_chunks()
+            ids = dict(zip(some["_row"].to_pylist(), some["vec_id"].to_pylist()))
+            found = Search(some["_row"].to_numpy(), matrix(flat(some["v"])), k)
+            for at in range(0, others.num_rows, TREE):
+                part = others.slice(at, TREE)
+                found.add(part["_row"].to_numpy(), part["vec_id"].to_numpy(), matrix(flat(part["v"])))
+            out = [(int(q), ids[int(q)], row, i, min(max(-s, end.min), end.max)) for q, best in zip(found.rows, found.best) for s, i, row in best]
+        columns = zip(*out) if out else ((),) * len(names)
+        return pa.table([pa.array(x, pa.int64()) for x in columns], names)
+
+    pairs = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(search, ", ".join(f"{x} long" for x in names))
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "_row")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,13 +223,13 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
