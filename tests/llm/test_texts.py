@@ -1,5 +1,7 @@
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -72,39 +74,115 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 WANT = "Title & more\nFirst bold para graph. Same block\nSecond <p> one\nThird, unclosed"
 
 
+def learned(pages):
+    seen = {}
+    for p in pages:
+        for k, (i, o) in ht.labelled(p).items():
+            at = seen.get(k, (0, 0))
+            seen[k] = (at[0] + i, at[1] + o)
+    return ht.weights_of(seen)
+
+
+def text_of(page, weights=None):
+    return ht.Page(page, weights or {}).main_text()
+
+
 def test_page():
-    weights = ht.learn_weights([PAGE] * 3)
-    assert ht.Page(PAGE).text(weights) == WANT and ht.Page(PAGE).text({}) == WANT
+    weights = learned([PAGE] * 3)
+    assert text_of(PAGE, weights) == WANT == text_of(PAGE)
     plain = "<body><nav><a>x</a> <a>y</a></nav><div><p>" + "many words here " * 20 + "</p><p>and more</p></div><div class='footer'>z</div></body>"
-    assert ht.Page(plain).text(weights) == ("many words here " * 20).strip() + "\nand more"
+    assert text_of(plain, weights) == ("many words here " * 20).strip() + "\nand more"
     for n in range(len(PAGE)):
-        ht.Page(PAGE[:n]).text(weights)
-    for odd in ("", "<", "a < b", "<p", "<!--", "<script>", "</p>", "<a href='" + "\"" * 5000, "<b>" * 3000 + "x"):
-        ht.Page(odd).text(weights)
+        text_of(PAGE[:n], weights)
+    for odd in ("", "<", "a < b", "<p", "<!--", "<script>", "</p>", "<a href='" + "\"" * 5000, "<b>" * 3000 + "x", "<<<p>x"):
+        text_of(odd, weights)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<main><h1>Title</h1><p>lead</p><article><p>body text</p></article></main>", "Title\nlead\nbody text"),
+        ("<article><p>one here</p></article><article><p>two here</p></article>", "one here\ntwo here"),
+        ("<article><p>up <span class='share-price'>12 pounds</span> now</p><div class='social-science'>A field</div></article>", "up 12 pounds now\nA field"),
+        ("<article><header class='entry-header'><h1>Head line</h1></header><p class='overflow-hidden' style='overflow:hidden'>kept words</p></article>", "Head line\nkept words"),
+        ("<article><p>kept words</p><p hidden>not this</p><p style='display: none'>nor this</p><p aria-hidden='true'>nor that</p></article>", "kept words"),
+        ("<header><h1>Site name</h1></header><article><p>own words</p><div class='comment-list'><p>said a reader</p></div></article>", "own words"),
+        ("<body><div><p>" + "first half " * 30 + "</p><aside>" + "side " * 100 + "</aside><p>" + "second half " * 30 + "</p></div></body>", ("first half " * 30).strip() + "\n" + ("second half " * 30).strip()),
+        ("<nav><ul><li>Menu</li><article><p>after an open menu</p></article>", "after an open menu"),
+        ("<p>\u4e2d\u6587" + "\u5b57" * 60 + "</p>", "\u4e2d\u6587" + "\u5b57" * 60),
+    ],
+)
+def test_what_is_content(page, want):
+    assert text_of(page) == want
+
+
+def test_names_are_learned():
+    teaser = "<div class='xq-teaser'>" + "other pages say this " * 5 + "</div>"
+    labelled = f"<body>{teaser}<article class='wide'><p>" + "own words of the page " * 20 + "</p></article></body>"
+    page = f"<body><div class='wide'><p>main words are here</p>{teaser}<p>and some more of them</p></div></body>"
+    assert "other pages" in text_of(page) and "other pages" not in text_of(page, learned([labelled] * 3))
+    assert text_of(page, learned([labelled] * 3)) == "main words are here\nand some more of them"
+    assert ht.labelled("<body><p>no mark</p></body>") == {}
+
+
+@pytest.mark.parametrize("unit", ["<b>", "</b>", "<b>x</i>", "<div></p>", "<a b='\"", "<", "<!", "<script>", "<p "])
+def test_long_pages_take_linear_time(unit):
+    at = time.process_time()
+    text_of(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - at < 2  # under 1 s on a free core
 
 
 def test_scan_is_the_maximum():
     rng = random.Random(2)
     for _ in range(200):
-        page = ht.Page("".join(rng.choice(["<i>", "</i>", "w w w ", "<p>", "</p>", "x ", "<li>"]) for _ in range(rng.randint(1, 25))))
-        s = list(page.scores({"word in p": 0.7}))
-        a, b = page.region({"word in p": 0.7})
+        page = ht.Page("".join(rng.choice(["<i>", "</i>", "w w w ", "<p>", "</p>", "x ", "<li>", "<aside>", "</aside>"]) for _ in range(rng.randint(1, 25))), {"word in p": 0.7})
+        s = page.scores
         sums = [sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)]
-        assert sum(s[a:b]) == pytest.approx(max([0, *sums]))
+        assert sum(s[page.start : page.end]) == pytest.approx(max([0, *sums]))
 
 
 def test_extract_edges(spark):
     df = spark.createDataFrame([(1, "u", None), (1, "u", ""), (2, None, PAGE), (2, None, PAGE)], "page_id long, url string, html string").withColumn("text", F.lit(5)).withColumn("n_chars", F.lit("x"))
     got = [(r["text"], r["n_chars"]) for r in ht.extract_text(df, {}).collect()]
     assert got == [("", 0), ("", 0), (WANT, len(WANT)), (WANT, len(WANT))]
-    assert ht.extract_text(df.limit(0), {}).count() == 0 and ht.sample_pages(df.limit(0)) == []
+    assert ht.extract_text(df.limit(0), {}).count() == 0 and ht.learn_weights(df.limit(0)) == {}
+
+
+def test_labelled_pages_come_from_the_whole_table(spark):
+    few = "<body><div class='ad'>" + "buy now " * 20 + "</div><article><p>words</p></article></body>"
+    rows = [(i, "u", few if i == 1500 else "<body><p>no mark</p></body>") for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert ht.learn_weights(df)["named ad"] < ht.OUTSIDE
+
+
+class Plain(HTMLParser):
+    """The article's blocks, by the library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.blocks, self.on = [[]], False
+
+    def handle_starttag(self, tag, attrs):
+        self.on |= tag == "article"
+        self.blocks[-1].append(" ") if tag == "br" else None if tag in ht.INLINE else self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        self.on &= tag != "article"
+        None if tag in ht.INLINE else self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.on:
+            self.blocks[-1].append(data)
 
 
-def test_op9(spark, sf_dir):
-    html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    for r in ht.op9_html_extraction(spark, sf_dir).collect():
-        own = html[r["page_id"]].split("<article>")[1].split("</article>")[0]
-        assert r["n_chars"] == len(r["text"]) > 0 and r["text"].split("\n")[0].split()[0][:2] in own and "var t" not in r["text"]
+def test_op9_by_hand(spark, sf_dir):
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        p = Plain()
+        p.feed(r["html"])
+        want[r["page_id"]] = "\n".join(b for x in p.blocks if (b := " ".join("".join(x).split())))
+    got = ht.op9_html_extraction(spark, sf_dir).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
 def test_nn_risk_separates(tmp_path):
