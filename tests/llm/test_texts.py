@@ -43,26 +43,56 @@ def test_counts_and_prefixes_equal_the_library(lib, counter):
                 assert table.count_at(n) == tokens_of(lib, text[:n]), (text, n)
 
 
+def longest(lib, text, budget):
+    return max(n for n in range(len(text) + 1) if tokens_of(lib, text[:n]) <= budget)
+
+
 def test_long_pieces_and_truncation(lib, counter):
     for text in ("a" * 20_000, "ab" * 3000 + "!" * 500, "x" * 700 + " " * 900 + "y"):
         assert counter.count(text) == tokens_of(lib, text)
-    text = "The quick brown fox, it's 12345 jumping  over\n\nthe lazy dog."
+    rng = random.Random(3)
+    texts = ["The quick brown fox, it's 12345 jumping  over\n\nthe lazy dog.", "we're you've they'll 're", "a  \n <|endoftext|>  b!!<|endoftext|><|endo"]
+    texts += ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+    for text in texts:
+        table = counter.prefixes(text)
+        for budget in range(table.total + 2):
+            assert table.truncate(budget) == longest(lib, text, budget) == counter.truncate(text, budget), (text, budget)
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "!", " ", "\n", "\u4e2d"])
+def test_a_very_long_piece_is_looked_up_in_linear_time(lib, counter, unit):
+    text = unit * (100_000 // len(unit))
+    at = time.process_time()
     table = counter.prefixes(text)
-    for budget in range(table.total + 2):
-        n = table.truncate(budget)
-        assert table.count_at(n) <= budget and (budget < table.total or n == len(text))
+    cuts = [table.truncate(b) for b in range(0, table.total, max(1, table.total // 50))]
+    assert time.process_time() - at < 10 and cuts == sorted(cuts) and table.count_at(len(text)) == tokens_of(lib, text)
+    for n in (1, 17, 4_999, 60_001):
+        assert table.count_at(n) == tokens_of(lib, text[:n])
+
+
+def test_stored_prefixes(spark, lib):
+    texts = ["The quick  brown\n\nfox", "", None, "a<|endoftext|>b"]
+    df = tk.with_prefix_tokens(spark.createDataFrame([(t,) for t in texts], "text string"), tk.vocabulary())
+    for r in df.select("text", "prefix_tokens", tk.tokens_at(6).alias("six"), tk.chars_within(2).alias("two")).collect():
+        t = r["text"] or ""
+        assert r["prefix_tokens"] == [tokens_of(lib, t[:n]) for n in range(len(t) + 1)]
+        assert r["six"] == tokens_of(lib, t[:6]) and r["two"] == longest(lib, t, 2)
 
 
 def test_op8(spark, sf_dir, lib):
-    want = {r["doc_id"]: tokens_of(lib, r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = {i: tokens_of(lib, t) for i, t in texts.items()}
     got = {r["doc_id"]: r for r in tk.op8_token_counts(spark, sf_dir).collect()}
     assert {i: r["n_tokens"] for i, r in got.items()} == want and all(r["over_limit"] == (r["n_tokens"] > 1024) for r in got.values())
+    cut = [(texts[i], r["fits_chars"]) for i, r in got.items() if r["over_limit"]]
+    assert cut and all(tokens_of(lib, t[:n]) <= 1024 < min(tokens_of(lib, t[:k]) for k in range(n + 1, min(n + 40, len(t)) + 1)) for t, n in cut)
+    assert all(r["fits_chars"] == len(texts[i]) for i, r in got.items() if not r["over_limit"])
 
 
 def test_op8_edges(spark):
     df = spark.createDataFrame([(1, None), (1, ""), (None, "a b"), (None, "a b")], "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
-    got = [(r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tk.count_tokens(df, tk.vocabulary(), 1).collect()]
-    assert got == [(0, 0, False), (0, 0, False), (3, 2, True), (3, 2, True)]
+    got = [(r["n_bytes"], r["n_tokens"], r["over_limit"], r["fits_chars"]) for r in tk.count_tokens(df, tk.vocabulary(), 1).collect()]
+    assert got == [(0, 0, False, 0), (0, 0, False, 0), (3, 2, True, 1), (3, 2, True, 1)]
     assert tk.count_tokens(df.limit(0), tk.vocabulary()).count() == 0
 
 

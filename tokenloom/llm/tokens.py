@@ -3,8 +3,8 @@ r"""Exact token counts of byte-level BPE by prefix dynamic programming.
 For every prefix of a piece of text the table holds its last token and its token count. The last
 token of a prefix is the one vocabulary entry that ends it, follows the last token of the prefix
 before it, and stays apart from that token when the two are encoded together; the count is one more
-than that prefix's. So the table is filled in one pass, and truncation and budget questions are
-look-ups. Pieces are what the vocabulary's pattern splits off; special strings stand for one token.
+than that prefix's. So the table is filled in one pass and kept, and truncation and budget questions are
+look-ups in it. Pieces are what the vocabulary's pattern splits off; special strings stand for one token.
 """
 
 from __future__ import annotations
@@ -12,24 +12,20 @@ from __future__ import annotations
 import json
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bytechars import BACK
+from ..functions.regex_compat import GPT2
 from ..sources.tables import read_table
 
-#: Fixed value: the pattern that the vocabulary's byte-level splitter uses.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose counts a worker keeps; beyond, the memory is emptied and filled anew.
 KEPT_PIECES = 600_000
-
-
-def byte_chars() -> dict[str, int]:
-    """The printable character that stands for each byte in vocabulary files."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+SPACES = regex.compile(r"\s+")
 
 
 class PrefixCounter:
@@ -37,7 +33,7 @@ class PrefixCounter:
 
     def __init__(self, file_text: str):
         told = json.loads(file_text)
-        model, back = told["model"], byte_chars()
+        model, back = told["model"], BACK
         if (told["pre_tokenizer"] or {}).get("type") != "ByteLevel" or told["normalizer"] or told["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("only byte-level vocabularies without normalizer or prefix space are handled")
         special = {x["content"]: x["id"] for x in told["added_tokens"]}
@@ -55,11 +51,12 @@ class PrefixCounter:
         self.made = {new: (rank, a, b) for (a, b), (rank, new) in self.merges.items()}
         rank_of = {t: rank for t, (rank, _, _) in self.made.items()}
         self.one_way = len(self.made) == len(self.merges) and all(max(rank_of.get(a, -1), rank_of.get(b, -1)) < rank for rank, a, b in self.made.values())
-        self.split = regex.compile(PATTERN)
+        self.split = regex.compile(GPT2)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.apart: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.counts: dict[str, int] = {}
+        self.tables: dict[str, tuple[int, ...]] = {}
 
     def encode(self, b: bytes) -> list[int]:
         """Reference encoding of a short byte string: merge the lowest rank, leftmost first."""
@@ -159,54 +156,103 @@ class PrefixCounter:
                 total += self.piece_count(piece) if n is None else n
         return total
 
+    def prefix_counts(self, piece: str) -> tuple[int, ...]:
+        """Token counts of the prefixes of a piece in code points, from the empty one on, each a text of its own."""
+        if (known := self.tables.get(piece)) is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            counts = self.table(raw)
+            if len(raw) == len(piece):
+                known = tuple(counts)
+            else:
+                ends = accumulate((len(c.encode("utf-8", "surrogatepass")) for c in piece), initial=0)
+                known = tuple(counts[e] for e in ends)
+            if len(piece) == 3 and piece[0] == "'" and len(self.split.findall(piece[:2])) > 1:
+                known = (*known[:2], self.count(piece[:2]), known[3])  # "'re" cut short is two pieces
+            if len(piece) < 200:
+                if len(self.tables) >= KEPT_PIECES // 8:
+                    self.tables.clear()
+                self.tables[piece] = known
+        return known
+
     def prefixes(self, text: str) -> "PrefixTable":
         return PrefixTable(self, text)
 
+    def truncate(self, text: str, budget: int) -> int:
+        """Code points of the longest prefix that is a text of at most so many tokens.
+
+        Counts at the ends of pieces never fall, so what follows the first piece over the budget is not read.
+        """
+        total = 0
+        for at, part, special in self.parts(text):
+            if special:
+                total += 1
+                if total > budget:
+                    return PrefixTable(self, text[: at + len(part)]).truncate(budget)
+                continue
+            for m in self.split.finditer(part):
+                total += self.piece_count(m[0])
+                # white space may go with what follows it, so only the end of another piece settles it
+                if total > budget and not m[0].isspace():
+                    return PrefixTable(self, text[: at + m.end()]).truncate(budget)
+        return PrefixTable(self, text).truncate(budget) if total > budget else len(text)
+
 
 class PrefixTable:
-    """Exact token counts of all prefixes (in code points) of one text, taken as texts of their own."""
+    """Exact token counts of all prefixes (in code points) of one text, each taken as a text of its own.
+
+    The counts of a piece's prefixes are stored once for each different piece, and a prefix's count is
+    that of the pieces before plus one stored number, so answers are look-ups. A run of white space has a
+    table of its own: a text that ends within it takes the run as one piece, and one that goes on leaves
+    its last character to what follows. Prefixes that end inside a special string are ordinary text there.
+    """
 
     def __init__(self, counter: PrefixCounter, text: str):
         self.counter, self.text = counter, text
-        self.starts, self.before = [0], [0]  # safe cuts and the counts up to them
-        total = 0
+        # entry: first prefix it answers, where its piece starts, tokens before that, counts of its prefixes
+        self.entries: list[tuple[int, int, int, tuple[int, ...]]] = []
+        total, tail = 0, (0, 0)  # the last place that no longer text can split elsewhere, and tokens before it
         for at, part, special in counter.parts(text):
             if special:
+                start, before = tail if tail[0] < at else (at, total)
+                cut = [counter.count(text[start : at + k]) - total + before for k in range(1, len(part))]
                 total += 1
-                self._add(at + len(part), total)
+                self.entries.append((at + 1, at, total - 1, (0, *cut, 1)))
+                tail = (at + len(part), total)
                 continue
+            run_end = 0
             for m in counter.split.finditer(part):
+                a, b = m.span()
+                if a >= run_end and (run := SPACES.match(part, a)):
+                    run_end = run.end()
+                    tail = (at + a, total)
+                    self.entries.append((at + a + 1, at + a, total, counter.prefix_counts(part[a:run_end])))
+                if b > run_end:
+                    if a >= run_end:
+                        tail = (at + a, total)
+                    self.entries.append((at + max(a, run_end) + 1, at + a, total, counter.prefix_counts(m[0])))
                 total += counter.piece_count(m[0])
-                # a run of white space may split elsewhere once the text ends within it
-                if not m[0].isspace():
-                    self._add(at + m.end(), total)
         self.total = total
-
-    def _add(self, end: int, total: int) -> None:
-        self.starts.append(end)
-        self.before.append(total)
+        self.firsts = [e[0] for e in self.entries]
+        self.befores = [e[2] for e in self.entries]
 
     def count_at(self, n: int) -> int:
-        """Tokens of text[:n]; only what follows the last safe cut is split again, then looked up."""
+        """Tokens of text[:n]."""
         n = min(max(n, 0), len(self.text))
-        if n == len(self.text):
-            return self.total
-        k = max(0, bisect_right(self.starts, n - 1) - 1)
-        # the prefix may end in the first part of a special string, which then is ordinary text
-        tail = self.text[self.starts[k] : n]
-        return self.before[k] + self.counter.count(tail)
+        if not n:
+            return 0
+        _, start, before, counts = self.entries[bisect_right(self.firsts, n) - 1]
+        return before + counts[n - start]
 
     def truncate(self, budget: int) -> int:
-        """The longest prefix whose own count, and that of every safe cut before it, fits the budget."""
-        if self.total <= budget:
-            return len(self.text)
-        k = max(0, bisect_right(self.before, budget) - 1)
-        best = self.starts[k]
-        stop = self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text)
-        for n in range(best, stop + 1):
-            if self.count_at(n) <= budget:
-                best = n
-        return best
+        """The longest prefix of at most so many tokens."""
+        last = len(self.text)
+        for k in range(bisect_right(self.befores, budget) - 1, -1, -1):
+            first, start, before, counts = self.entries[k]
+            end = self.firsts[k + 1] - 1 if k + 1 < len(self.entries) else last
+            for n in range(end, first - 1, -1):
+                if before + counts[n - start] <= budget:
+                    return n
+        return 0
 
 
 _COUNTERS: dict[int, PrefixCounter] = {}
@@ -221,26 +267,62 @@ def counter_for(file_text: str) -> PrefixCounter:
 
 
 def count_tokens(docs: DataFrame, file_text: str, limit: int = 1024, text: str = "text") -> DataFrame:
-    """Adds n_bytes, n_tokens and over_limit (n_tokens > limit) to every row.
+    """Adds n_bytes, n_tokens, over_limit (n_tokens > limit) and fits_chars to every row.
 
-    Null texts count as empty (0 tokens). Rows and other columns stay; columns of those three names
-    are replaced. The vocabulary file (a few MB, its size fixed by the tokenizer) is broadcast.
+    fits_chars: code points of the longest prefix of at most limit tokens, looked up in the stored counts.
+    Null texts count as empty (0 tokens, prefix 0). Rows and other columns stay, repeated rows too; columns
+    of those four names are replaced; an empty table gives no rows. Very long texts, and very long pieces
+    of them, take time in proportion to their length. The vocabulary file (a few MB, its size fixed by the
+    tokenizer) is broadcast; each worker keeps a bounded number of pieces.
     """
     told = docs.sparkSession.sparkContext.broadcast(file_text)
 
-    @F.pandas_udf("long")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("n long, fits long")
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         counter = counter_for(told.value)
         for texts in batches:
-            yield pd.Series([counter.count(t) if t else 0 for t in texts], dtype="int64")
+            counts = [counter.count(t) if t else 0 for t in texts]
+            fits = [len(t or "") if n <= limit else counter.truncate(t, limit) for n, t in zip(counts, texts)]
+            yield pd.DataFrame({"n": pd.Series(counts, dtype="int64"), "fits": pd.Series(fits, dtype="int64")})
 
+    counted = docs.select(*(c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit", "fits_chars")), tokens(F.col(text)).alias("_told"))
     return (
-        docs.withColumn("n_bytes", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"))
-        .withColumn("n_tokens", tokens(F.col(text)))
+        counted.withColumn("n_bytes", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"))
+        .withColumn("n_tokens", F.col("_told.n"))
         .withColumn("over_limit", F.col("n_tokens") > limit)
+        .withColumn("fits_chars", F.col("_told.fits"))
+        .drop("_told")
     )
 
 
+def with_prefix_tokens(docs: DataFrame, file_text: str, text: str = "text") -> DataFrame:
+    """Adds prefix_tokens, array<int>: the count at every prefix of the text, the empty one first.
+
+    Questions of budget are then expressions on the array: tokens_at(), chars_within(). Null is like empty.
+    """
+    told = docs.sparkSession.sparkContext.broadcast(file_text)
+
+    @F.pandas_udf("array<int>")
+    def stored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        counter = counter_for(told.value)
+        for texts in batches:
+            tables = (counter.prefixes(t or "") for t in texts)
+            yield pd.Series([[x.count_at(n) for n in range(len(x.text) + 1)] for x in tables], dtype=object)
+
+    return docs.withColumn("prefix_tokens", stored(F.col(text)))
+
+
+def tokens_at(n: int) -> Column:
+    """Tokens of the first n code points, from prefix_tokens."""
+    return F.element_at("prefix_tokens", F.least(F.lit(n + 1), F.size("prefix_tokens")))
+
+
+def chars_within(budget: int) -> Column:
+    """Code points of the longest prefix of at most so many tokens, from prefix_tokens."""
+    fits = F.transform(F.reverse("prefix_tokens"), lambda x: x <= budget)
+    return F.size("prefix_tokens") - F.array_position(fits, True).cast("int")
+
+
 def vocabulary(name: str = "byte_bpe_50k.json", path: str | None = None) -> str:
     """The text of a tokenizer file: of path if given, else of the installed public tokenizers."""
     if path is None:
@@ -253,4 +335,4 @@ def vocabulary(name: str = "byte_bpe_50k.json", path: str | None = None) -> str:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return count_tokens(docs, vocabulary(), 1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return count_tokens(docs, vocabulary(), 1024).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars")
