@@ -1,8 +1,8 @@
 """Chat formatting with typed content parts, native DataFrame functions only.
 
 A message holds typed parts (text, image, audio, document). A visitor, one column builder for each
-kind, flattens them in order: text is escaped, an attachment becomes its placeholder, and its
-reference and expanded token count go to the attachment list.
+kind, flattens them in order: texts that stand together are joined and escaped, an attachment becomes its
+placeholder, and its reference and expanded token count go to the attachment list.
 
 Template of a turn:  <|turn|> role <|text|> content <|end|> newline  (without the spaces).
 Escaping: in texts and roles each "<", backslashes, "|" gets one backslash more, and unescape() takes
@@ -41,27 +41,32 @@ def document_tokens(part: Column, per_page: int = 512) -> Column:
 
 
 ATTACHMENTS: dict[str, Callable[[Column], Column]] = {"image": image_tokens, "audio": audio_tokens, "document": document_tokens}
+PLACEHOLDER = r"<\|(" + "|".join(ATTACHMENTS) + r")\|>"
 
 
 def visit(parts: Column) -> tuple[Column, Column]:
     """(flattened content, attachments array<struct<kind, ref, tokens>>) of an array of parts."""
 
-    def flat(p: Column) -> Column:
-        out = F.when(p["kind"] == "text", escape(F.coalesce(p["text"], F.lit(""))))
-        for kind in ATTACHMENTS:
-            out = out.when(p["kind"] == kind, F.lit(f"<|{kind}|>"))
-        return out.otherwise(F.lit(""))
-
     def tokens(p: Column) -> Column:
         out = F.when(F.lit(False), F.lit(0).cast("long"))
         for kind, count in ATTACHMENTS.items():
             out = out.when(p["kind"] == kind, count(p))
         return out
 
+    def flat(done: Column, p: Column) -> Column:
+        """done: the content so far, and the text not yet escaped, for a control string may span parts."""
+        text = F.when(p["kind"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise("")
+        mark = F.concat(F.lit("<|"), p["kind"], F.lit("|>"))
+        attached = F.coalesce(p["kind"].isin(*ATTACHMENTS), F.lit(False))
+        return F.struct(
+            F.when(attached, F.concat(done["content"], escape(done["text"]), mark)).otherwise(done["content"]).alias("content"),
+            F.when(attached, F.lit("")).otherwise(F.concat(done["text"], text)).alias("text"),
+        )
+
     kept = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
     held = F.filter(kept, lambda p: p["kind"].isin(*ATTACHMENTS))
     return (
-        F.array_join(F.transform(kept, flat), ""),
+        F.aggregate(kept, F.struct(F.lit("").alias("content"), F.lit("").alias("text")), flat, lambda x: F.concat(x["content"], escape(x["text"]))),
         F.transform(held, lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), tokens(p).alias("tokens"))),
     )
 
@@ -107,29 +112,47 @@ def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
     ).withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]))
 
 
+def texts_of(content: Column) -> Column:
+    """The texts between the placeholders of a content, as they were."""
+    return F.transform(F.split(content, PLACEHOLDER, -1), unescape)
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse format_chats() output: adds messages array<struct<role, text>> and loss_text.
+    """Parse format_chats() output: adds messages array<struct<role, text, parts>> and loss_text.
 
-    Only the formatted string is parsed for messages; loss_text takes the code points that the loss
-    spans name, unescaped. Linear in the length of the conversation: each span is cut from its turn.
+    Only the formatted string is parsed for messages. parts array<struct<kind, text>> tells a placeholder
+    (its kind, no text) from a text that looks like one; text is that of the text parts, joined. loss_text
+    takes the code points that the loss spans name, without placeholders, unescaped. Linear in the length
+    of the conversation: each span is cut from its turn.
     """
     pieces = F.split("formatted", r"<\|end\|>\n")
     bodies = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
     mark = F.lit(TEXT)
 
-    def message(p: Column) -> Column:
+    def split_at(p: Column) -> Column:
         at = F.instr(p, TEXT)
         return F.struct(
             unescape(F.substring(p, F.lit(len(TURN) + 1), at - 1 - len(TURN))).alias("role"),
-            unescape(F.substring(p, at + F.length(mark), F.length(p))).alias("text"),
+            F.substring(p, at + F.length(mark), F.length(p)).alias("content"),
         )
 
+    def part(text: Column, kind: Column) -> Column:
+        none = F.lit(None).cast("string")
+        return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text")), F.struct(kind.alias("kind"), none.alias("text")))
+
+    def message(m: Column) -> Column:
+        texts = texts_of(m["content"])
+        parts = F.flatten(F.zip_with(texts, F.regexp_extract_all(m["content"], F.lit(PLACEHOLDER), F.lit(1)), part))
+        real = F.filter(parts, lambda x: x["kind"].isNotNull() & (F.coalesce(x["text"], F.lit("-")) != ""))
+        return F.struct(m["role"].alias("role"), F.array_join(texts, "").alias("text"), real.alias("parts"))
+
     spans = F.filter(F.arrays_zip(bodies.alias("body"), F.col("turns").alias("turn")), lambda x: x["turn"]["loss"])
     loss = F.transform(
         spans,
-        lambda x: unescape(F.substring(x["body"], (x["turn"]["content_start"] - x["turn"]["start"] + 1).cast("int"), x["turn"]["content_chars"].cast("int"))),
+        lambda x: F.array_join(texts_of(F.substring(x["body"], (x["turn"]["content_start"] - x["turn"]["start"] + 1).cast("int"), x["turn"]["content_chars"].cast("int"))), ""),
     )
-    return formatted.select("*", F.transform(bodies, message).alias("messages"), F.array_join(loss, "").alias("loss_text"))
+    split = F.transform(bodies, split_at)
+    return formatted.select("*", F.transform(split, message).alias("messages"), F.array_join(loss, "").alias("loss_text"))
 
 
 def control_case(spark: SparkSession) -> DataFrame:
