@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline as cp
 from tokenloom.llm import decontaminate as dc
 from tokenloom.llm import lines, mixing, quality
-from tokenloom.llm import simhash as sh
 
 from .test_chat_and_lines import dedup_by_hand
+from .test_verified_links import components_by_hand
 
 
 @pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 1}, {"a": 97, "b": 2, "c": 1}, {"a": 7}])
@@ -66,11 +66,9 @@ def test_stages(spark, sf_dir):
             assert {r["doc_id"]: r["text"] for r in out.collect()} == {k[0]: t for k, t in want.items() if t == k[1] or t.strip(" \t\r\n\x0b\x0c")}
             assert out.filter("n_chars <> length(text)").count() == 0
         elif name == "simhash_near_dedup":
-            p = sh.SimHash.for_similarity(0.8)
-            fp = {r["doc_id"]: int.from_bytes(sh.fingerprint(r["text"], 5, 8), "big") for r in rows}
-            near = {(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= p.radius}
-            gone = ids(docs) - ids(out)
-            assert gone <= {b for _, b in near} and len(gone) >= 0.9 * len({b for _, b in near})
+            kept = ids(out)
+            of = components_by_hand([(r["doc_id"], r["text"]) for r in rows], 0.8)
+            assert kept >= set(of.values()) and len(kept) <= len(set(of.values())) + 0.02 * (len(of) - len(set(of.values())))
         elif name == "benchmark_decontamination":
             items = dc.ItemBlock([tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()], dc.Cgk())
             assert ids(out) == {r["doc_id"] for r in rows if not items.matches(r["text"])} < ids(docs)

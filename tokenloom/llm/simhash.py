@@ -2,10 +2,13 @@
 
 Every document gets a fingerprint of 64 bits or a multiple. Distinct fingerprints meet in buckets:
 for 64 bits, pairs of five blocks (two fingerprints that differ in at most 3 bits agree in two blocks
-at least, so no link is lost); for wide ones, sampled bits. In a bucket, a pair is discarded when its
-Hamming distances to the reference fingerprints (the pivots, tabled beforehand) differ by more than
-the radius in any coordinate, and survivors are verified on all bits. A bucket gives the edges of a
-spanning forest, never all its pairs; very large buckets are dealt out in pairs of blocks.
+at least, so no link is lost); for wide ones, sampled bits. In a bucket, Hamming distances to the
+reference fingerprints (the pivots) are tabled beforehand, and a pair is discarded when the largest
+difference of its coordinates is over the radius; survivors are verified on all bits. Where the radius is
+wide, whole fingerprints are too far from any pivot for that to tell much; so their bits are cut into
+parts, each part has its own coordinates, and the largest differences of the parts, which bound the parts'
+distances from below, are added up. A bucket gives the edges of a spanning forest, never all its pairs;
+very large buckets are dealt out in pairs of blocks, so their work grows with the square of the bucket.
 
 Where a similarity is asked for, these links only propose: the documents of each component of them are
 brought together with their sets of shingles, and a forest of links of that Jaccard similarity is taken.
@@ -38,6 +41,9 @@ class SimHash:
 
     With a similarity above 0, each distinct shingle has one vote, and links are those of this Jaccard
     similarity of the sets of shingles among the ones within the radius.
+
+    carried: words that the radius is about and that go to the buckets, all if 0; keys are sampled from all.
+    parts: how many parts of equal size the pivots' distances are kept for.
     """
 
     shingle: int = 3
@@ -49,6 +55,12 @@ class SimHash:
     block: int = 8192
     seed: int = 42
     similarity: float = 0.0
+    carried: int = 0
+    parts: int = 1
+
+    @property
+    def held(self) -> int:
+        return self.carried or self.words
 
     @property
     def exact(self) -> bool:
@@ -59,26 +71,21 @@ class SimHash:
         return 1.0 if self.exact else 1 - (1 - (1 - share) ** self.key_bits) ** self.tables
 
     @staticmethod
-    def for_similarity(similarity: float = 0.8, shingle: int = 5, words: int = 8, **more) -> "SimHash":
-        """A radius for a Jaccard similarity of the shingles: the bits in which such texts are expected to
-        differ, and one standard deviation more, so that few pairs above the similarity are lost."""
-        share = differing(similarity)
-        bits = 64 * words
-        return SimHash(shingle=shingle, words=words, radius=round(bits * share + math.sqrt(bits * share * (1 - share))), pivots=4, **more)
-
-    @staticmethod
-    def for_jaccard(similarity: float = 0.8, shingle: int = 5, words: int = 8, tables: int = 96, key_bits: int = 16, **more) -> "SimHash":
-        """Links of a Jaccard similarity of the shingles, verified; a radius of three standard deviations
-        more than the bits in which such texts are expected to differ. expected_recall(0.8) is over 0.99."""
+    def for_similarity(similarity: float = 0.8, shingle: int = 5, words: int = 8, carried: int = 4, tables: int = 96, key_bits: int = 16, **more) -> "SimHash":
+        """Links of a Jaccard similarity of the shingles, verified; a radius of three standard deviations more
+        than the bits in which such texts are expected to differ. expected_recall(0.8) is 0.99."""
         share = differing(similarity)
-        bits = 64 * words
-        return SimHash(shingle=shingle, words=words, radius=round(bits * share + 3 * math.sqrt(bits * share * (1 - share))), pivots=4, tables=tables, key_bits=key_bits, similarity=similarity, **more)
+        bits = 64 * carried
+        radius = round(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+        return SimHash(shingle=shingle, words=words, carried=carried, radius=radius, pivots=6, parts=4 * carried, tables=tables, key_bits=key_bits, similarity=similarity, **more)
 
     def expected_recall(self, similarity: float) -> float:
         """Chance that texts of this similarity are within the radius and meet in a table."""
-        bits, share = 64 * self.words, differing(similarity)
-        chance = (math.comb(bits, d) * share**d * (1 - share) ** (bits - d) * self.recall(d / bits) for d in range(self.radius + 1))
-        return sum(chance)
+        share = differing(similarity)
+        chance = lambda bits, d: math.comb(bits, d) * share**d * (1 - share) ** (bits - d)
+        bits = 64 * self.words
+        met = sum(chance(bits, d) * self.recall(d / bits) for d in range(bits + 1))
+        return met * sum(chance(64 * self.held, d) for d in range(self.radius + 1))
 
 
 def differing(similarity: float) -> float:
@@ -154,14 +161,16 @@ def unpack(column: pa.Array, width: int) -> np.ndarray:
 
 
 def pivot_bits(p: SimHash) -> np.ndarray:
-    return np.random.default_rng(p.seed).integers(0, 1 << 64, (p.pivots, p.words), dtype=np.uint64)
+    return np.random.default_rng(p.seed).integers(0, 1 << 64, (p.pivots, p.held), dtype=np.uint64)
 
 
 def pivot_table(words: np.ndarray, p: SimHash) -> np.ndarray:
-    """(rows, pivots) Hamming distances to the reference fingerprints."""
-    out = np.empty((len(words), p.pivots), np.int16)
+    """(rows, pivots, parts) Hamming distances to the reference fingerprints."""
+    short = np.ascontiguousarray(words).view(np.uint16)
+    out = np.empty((len(words), p.pivots, p.parts), np.int16 if p.parts < 4 * p.held else np.int8)
     for k, ref in enumerate(pivot_bits(p)):
-        out[:, k] = np.bitwise_count(words ^ ref).sum(axis=1)
+        differs = np.bitwise_count(short ^ ref.view(np.uint16))
+        out[:, k] = differs.reshape(len(words), p.parts, -1).sum(axis=2)
     return out
 
 
@@ -182,7 +191,7 @@ def bucket_keys(fp: np.ndarray, p: SimHash) -> np.ndarray:
 
 def near(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, radius: int) -> np.ndarray:
     """Which rows of a and b (or a row and rows) are within the radius: pivots first, then all bits."""
-    ok = np.abs(pa_ - pb).max(axis=1) <= radius
+    ok = np.abs(pa_ - pb).max(axis=1).sum(axis=1, dtype=np.int32) <= radius
     at = np.flatnonzero(ok)
     if len(at):
         left, right = (x if x.ndim == 1 else x[at] for x in (a, b))
@@ -242,13 +251,16 @@ def links(classes: DataFrame, p: SimHash) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = bucket_keys(unpack(b["fp"], width), p).ravel()
+            bits = unpack(b["fp"], width)
+            keys = bucket_keys(bits, p).ravel()
             if not full:
                 yield pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
                 continue
+            ends = np.arange(b.num_rows + 1, dtype=np.int32) * (8 * p.held)
+            fp = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(bits[:, : 8 * p.held]))])
             for at in range(0, b.num_rows, 2000):
                 own = pa.array(np.repeat(np.arange(at, min(at + 2000, b.num_rows)), number))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at * number : (at + 2000) * number]), b["node"].take(own), b["fp"].take(own)], ["key", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at * number : (at + 2000) * number]), b["node"].take(own), fp.take(own)], ["key", "node", "fp"])
 
     rows = classes.mapInArrow(lambda x: emit(x, True), "key long, node long, fp binary")
     counts = classes.mapInArrow(lambda x: emit(x, False), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -275,7 +287,7 @@ def links(classes: DataFrame, p: SimHash) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            words = np.ascontiguousarray(unpack(b["fp"], width)).view(">u8").astype(np.uint64)
+            words = unpack(b["fp"], 8 * p.held).view(">u8").astype(np.uint64)
             now = (*(b[c].to_numpy() for c in ("key", "lo", "hi", "node")), words)
             # the last group of a batch may go on in the next
             same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
@@ -317,7 +329,7 @@ def verified(docs: DataFrame, classes: DataFrame, found: DataFrame, p: SimHash,
     Only documents of those components are read again, one for each set of shingles. Components of more
     than MEMBERS are dealt out in pairs of blocks.
     """
-    members, _ = cut(classes.join(found, "node").select("node", "fp", "name", "component"))
+    members, _ = cut(classes.join(found, "node").select("node", F.substring("fp", 1, 8 * p.held).alias("fp"), "name", "component"))
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
     members, _ = cut(members.join(sizes, "component"))
     own = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("_text"))
@@ -340,7 +352,7 @@ def verified(docs: DataFrame, classes: DataFrame, found: DataFrame, p: SimHash,
         first = list({x: i for i, x in enumerate(group["name"].to_pylist())}.values())
         group = group.take(pa.array(first, pa.int64()))
         nodes = group["node"].to_numpy()
-        words = np.ascontiguousarray(unpack(group["fp"], 8 * p.words)).view(">u8").astype(np.uint64)
+        words = unpack(group["fp"], 8 * p.held).view(">u8").astype(np.uint64)
         sets = [np.frombuffer(x, np.uint64) if x else np.zeros(1, np.uint64) for x in group["shingles"].to_pylist()]
 
         def close(i: int, left: np.ndarray) -> np.ndarray:
@@ -393,10 +405,3 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     found = near_duplicates(docs, SimHash(shingle=3, words=1, radius=3))
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
-
-
-def op2_verified_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of five-word shingles at a Jaccard similarity of 0.8."""
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    return near_duplicates(docs, SimHash.for_jaccard(0.8)).select("doc_id", "component_id")
