@@ -98,12 +98,12 @@ def chunks_by_hand(text):
     return out
 
 
-def dedup_by_hand(rows, long=50):
+def dedup_by_hand(rows):
     seen, out = set(), {}
     for key in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         kept = []
         for c in chunks_by_hand(key[1] or ""):
-            if c.strip(" \t\r\n\x0b\x0c") and ("\n" in c or c.count(" ") >= long):
+            if c.strip(" \t\r\n\x0b\x0c") and "\n" in c:
                 if c in seen:
                     continue
                 seen.add(c)

@@ -2,12 +2,10 @@
 
 A rolling hash over the hashes of two successive lines is taken at each line; a chunk ends after a line
 whose rolling hash is smaller than its neighbours'. So boundaries depend on nearby lines alone and come
-back wherever the same lines come back, and chunks hold two lines at least. Chunks of several lines (or
-one line of very many words) that occur more than once anywhere are compared byte for byte with their
-first occurrence, which stays; the others are removed.
-
-Such chunks miss passages that start or end inside one. dedup_passages() has no boundaries: every pair of
-successive lines, and every line of very many words, is looked for by itself.
+back wherever the same lines come back, and chunks hold two lines at least. Chunks of several lines that
+occur more than once anywhere are compared byte for byte with their first occurrence, which stays; the
+others are removed. A repeated passage goes where it holds a whole chunk: shorter ones, and passages
+within a line, are not what this finds.
 """
 
 from __future__ import annotations
@@ -18,13 +16,13 @@ from pyspark.sql import functions as F
 from ..sources.tables import read_table
 from .common import cut
 
-LONG = 50
 #: Of the rows of chunks, the share above which a hash is joined apart is one in so many.
 HOT = 2000
 
 
-def chunked(docs: DataFrame, text: str = "text", long: int = LONG) -> DataFrame:
-    """Adds chunks: array<struct<text, eligible>> whose texts, joined by newlines, are the text.
+def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds chunks: array<struct<text, eligible>> whose texts, joined by newlines, are the text; chunks of
+    one line, and blank ones, are not eligible.
 
     Each step is a column that the next uses more than once, so none is worked out twice; no function
     of an element refers to another array, so the work is linear in the text.
@@ -49,9 +47,7 @@ def chunked(docs: DataFrame, text: str = "text", long: int = LONG) -> DataFrame:
 
     def described(c: Column) -> Column:
         own = F.replace(c, F.lit("\n+"), F.lit("\n"))
-        spaces = F.length(own) - F.length(F.replace(own, F.lit(" "), F.lit("")))
-        weighty = F.when(F.contains(c, F.lit("\n+")), True).otherwise(spaces >= long)
-        return F.struct(own.alias("text"), (weighty & (F.ltrim(own, F.lit(" \t\r\n\x0b\f")) != "")).alias("eligible"))
+        return F.struct(own.alias("text"), (F.contains(c, F.lit("\n+")) & (F.ltrim(own, F.lit(" \t\r\n\x0b\f")) != "")).alias("eligible"))
 
     return df.withColumn("chunks", F.transform(chunks, described)).drop("_lines", "_hashes", "_rolling")
 
@@ -60,34 +56,13 @@ def line_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
 
-def paired(docs: DataFrame, text: str = "text", long: int = LONG) -> DataFrame:
-    """Adds segments: array<string> that, joined by newlines, are the text, each one line that is not blank
-    and the blank lines after it (blank lines that lead the text are a segment of their own); and chunks as
-    chunked() does: of segment i, at 2i its line, at 2i + 1 its line and the next, with what is between.
-    """
-    segments = F.split(F.coalesce(F.col(text), F.lit("")), r"\n(?=[ \t\r\x0b\f]*+[^ \t\r\n\x0b\f])", -1)
-    df = docs.withColumn("segments", segments)
-    after = F.slice(F.concat(F.col("segments"), F.array(F.lit(None).cast("string"))), F.lit(2), F.size("segments"))
-
-    def line(x: Column) -> Column:
-        return F.substring_index(x, "\n", 1)
-
-    def units(x: Column, y: Column) -> Column:
-        own, weighty = line(x), F.ltrim(x, F.lit(" \t\r\n\x0b\f")) != ""
-        spaces = F.length(own) - F.length(F.replace(own, F.lit(" "), F.lit("")))
-        single = F.struct(own.alias("text"), (weighty & (spaces >= long)).alias("eligible"))
-        return F.array(single, F.struct(F.concat(x, F.lit("\n"), line(y)).alias("text"), (weighty & y.isNotNull()).alias("eligible")))
-
-    return df.withColumn("chunks", F.flatten(F.zip_with("segments", after, units)))
-
-
-def repeated_by_hash(keyed: DataFrame, long: int, hash_bits: int, split=chunked) -> DataFrame:
+def repeated_by_hash(keyed: DataFrame, hash_bits: int) -> DataFrame:
     """keyed (_id, _key, text) -> (_id, _key, found array<struct<number, hash, first>>) of the documents
     that hold a chunk whose hash occurs elsewhere. Texts stay where they are; only hashes are shuffled.
 
     Occurrences are ordered by _id (null first), _key and number.
     """
-    rows = split(keyed, "text", long).select("_id", "_key", F.posexplode(F.transform("chunks", lambda x: F.when(x["eligible"], F.xxhash64(x["text"]) % (1 << hash_bits)))).alias("number", "hash"))
+    rows = chunked(keyed).select("_id", "_key", F.posexplode(F.transform("chunks", lambda x: F.when(x["eligible"], F.xxhash64(x["text"]) % (1 << hash_bits)))).alias("number", "hash"))
     rows, _ = cut(rows.filter("hash IS NOT NULL"))
     at = F.struct("_id", "_key", "number")
     seen = rows.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n")).filter("NOT first <=> last")
@@ -103,18 +78,18 @@ def own_columns(docs: DataFrame) -> list[str]:
     return [c for c in docs.columns if c not in ("removed_lines", "removed_chunks")]
 
 
-def marked(docs: DataFrame, text: str, long: int, hash_bits: int, split) -> DataFrame:
-    """docs as _row, with gone: the numbers of the chunks that split() makes and that occur before."""
+def marked(docs: DataFrame, text: str, hash_bits: int) -> DataFrame:
+    """docs as _row, with gone: the numbers of the chunks that occur before."""
     own = own_columns(docs)
     # documents ride in a struct, so that no column of theirs can clash with the working ones
     base = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("text"))
-    found = repeated_by_hash(base.filter("text <> ''").select("_id", "_key", "text"), long, hash_bits, split)
+    found = repeated_by_hash(base.filter(F.contains("text", F.lit("\n"))).select("_id", "_key", "text"), hash_bits)
     right = found.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "found")
     joined = base.select("_row", "_id", "_key").join(right.hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left").drop("_i", "_k")
     joined = joined.withColumn("found", F.when(F.col(f"_row.{text}") != "", F.col("found")))
     joined, _ = cut(joined)
     held = joined.filter("found IS NOT NULL").select("_id", "_key", "found", F.col(f"_row.{text}").alias("text"))
-    some = split(held, "text", long).select("_id", "_key", F.explode(F.transform("found", lambda x: F.struct(x["number"].alias("number"), x["hash"].alias("hash"), x["first"].alias("first"), F.get("chunks", x["number"])["text"].alias("bytes")))).alias("c")).select("_id", "_key", "c.*")
+    some = chunked(held).select("_id", "_key", F.explode(F.transform("found", lambda x: F.struct(x["number"].alias("number"), x["hash"].alias("hash"), x["first"].alias("first"), F.get("chunks", x["number"])["text"].alias("bytes")))).alias("c")).select("_id", "_key", "c.*")
     kinds = some.groupBy("hash", "bytes").agg(F.min(F.struct("_id", "_key", "number")).alias("first"))
     clashes, _ = cut(kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"))
     if not clashes.isEmpty():
@@ -128,21 +103,20 @@ def marked(docs: DataFrame, text: str, long: int, hash_bits: int, split) -> Data
     return joined.withColumn("gone", F.coalesce(F.array_except(gone, F.coalesce("kept", F.array().cast("array<int>"))), F.array().cast("array<int>")))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", long: int = LONG, hash_bits: int = 62) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", hash_bits: int = 62) -> DataFrame:
     """docs with repeated chunks removed from text, plus removed_lines and removed_chunks.
 
-    Null and empty texts stay as they are and count for nothing; blank chunks, and single lines with
-    fewer than `long` spaces, are never removed. Rows that repeat doc_id and text are one document: what
-    the first occurrence keeps, all of them keep. Other columns stay; removed_lines and removed_chunks
-    are replaced.
+    Null and empty texts stay as they are and count for nothing; blank chunks, and chunks of one line, are
+    never removed. Rows that repeat doc_id and text are one document: what the first occurrence keeps, all
+    of them keep. Other columns stay; removed_lines and removed_chunks are replaced.
 
     Chunks are found by hash and joined to their documents, the one shuffle of whole texts; then the
     bytes of the chunks of each hash are compared. Where they differ (a clash of hashes), the chunks of
     that hash are worked out again by their bytes.
     """
     own = own_columns(docs)
-    joined = marked(docs, text, long, hash_bits, chunked)
-    split = chunked(joined.withColumn("_text", F.when(F.size("gone") > 0, F.col(f"_row.{text}"))), "_text", long)
+    joined = marked(docs, text, hash_bits)
+    split = chunked(joined.withColumn("_text", F.when(F.size("gone") > 0, F.col(f"_row.{text}"))), "_text")
     left = F.filter("chunks", lambda x, i: ~F.array_contains(F.col("gone"), i))
     removed = F.filter("chunks", lambda x, i: F.array_contains(F.col("gone"), i))
     touched = F.size("gone") > 0
@@ -151,38 +125,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", long: int = LONG, hash_bits
     return split.select(*[new.alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in own], lines.alias("removed_lines"), F.size("gone").alias("removed_chunks"))
 
 
-def dedup_passages(docs: DataFrame, text: str = "text", long: int = LONG, hash_bits: int = 62) -> DataFrame:
-    """dedup_lines() for passages wherever they start: a line goes if it and a neighbour (blank lines do not
-    count) stood together before, in this document or an earlier one, or if it has `long` spaces or more and
-    stood before. Blank lines go with the line they follow; removed_chunks counts runs of removed lines.
-
-    Each line that goes is still there in an earlier place, for the chunks that remove it stood there.
-    """
-    own = own_columns(docs)
-    joined = marked(docs, text, long, hash_bits, paired)
-    at = F.transform("gone", lambda x: F.shiftright(x, 1))
-    ends = F.transform(F.filter("gone", lambda x: x % 2 == 1), lambda x: F.shiftright(x, 1) + 1)
-    joined = joined.withColumn("gone", F.sort_array(F.array_distinct(F.concat(at, ends))))
-    touched = F.size("gone") > 0
-    split = paired(joined.withColumn("_text", F.when(touched, F.col(f"_row.{text}"))), "_text", long)
-    # one flag for each segment, worked out from the gaps between the numbers, so linear in the text
-    gaps = F.zip_with(F.concat(F.array(F.lit(-1)), "gone"), F.concat("gone", F.array(F.size("segments"))), lambda a, b: F.concat(F.array_repeat(F.lit(False), b - a - 1), F.array(F.lit(True))))
-    split = split.withColumn("_flagged", F.arrays_zip(F.col("segments").alias("text"), F.slice(F.flatten(gaps), F.lit(1), F.size("segments")).alias("gone")))
-    left = F.transform(F.filter("_flagged", lambda x: ~x["gone"]), lambda x: x["text"])
-    new = F.when(touched, F.array_join(left, "\n")).otherwise(F.col(f"_row.{text}"))
-    lines = F.when(touched, F.aggregate(F.filter("_flagged", lambda x: x["gone"]), F.lit(0), lambda a, x: a + line_count(x["text"]))).otherwise(0)
-    runs = F.size(F.filter(F.zip_with("gone", F.concat(F.array(F.lit(-2)), F.slice("gone", F.lit(1), F.greatest(F.size("gone") - 1, F.lit(0)))), lambda x, before: x - before), lambda x: x > 1))
-    return split.select(*[new.alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in own], lines.alias("removed_lines"), runs.alias("removed_chunks"))
-
-
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(dedup_lines(read_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
-def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary(dedup_passages(read_table(spark, sf_dir, "documents", "doc_id", "text")))
-
-
 def summary(out: DataFrame) -> DataFrame:
     return out.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("kept_chars"), F.col("removed_lines").cast("long").alias("removed_lines"), F.col("removed_chunks").cast("long").alias("removed_chunks"))
 
@@ -197,8 +143,7 @@ e AS (SELECT doc_id, text, ls, list_filter(range(1, n + 1), lambda i: i = n OR (
 x AS (SELECT doc_id, text, ls, ends, unnest(range(1, len(ends) + 1)) AS i FROM e),
 c AS (SELECT doc_id, text, i - 1 AS number, ends[i] - CASE WHEN i > 1 THEN ends[i - 1] ELSE 0 END AS n_lines,
   array_to_string(ls[CASE WHEN i > 1 THEN ends[i - 1] ELSE 0 END + 1 : ends[i]], chr(10)) AS chunk FROM x),
-o AS (SELECT *, trim(chunk, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
-    AND (n_lines > 1 OR length(chunk) - length(replace(chunk, ' ', '')) >= {LONG}) AS eligible FROM c),
+o AS (SELECT *, n_lines > 1 AND trim(chunk, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' AS eligible FROM c),
 d AS (SELECT *, eligible AND row_number() OVER (PARTITION BY eligible, chunk ORDER BY doc_id, number) > 1 AS gone FROM o),
 line_dedup AS (SELECT doc_id, text, coalesce(string_agg(chunk, chr(10) ORDER BY number) FILTER (NOT gone), '') AS new_text,
   coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS removed_lines, count(*) FILTER (gone) AS removed_chunks FROM d GROUP BY doc_id, text)"""
@@ -207,18 +152,3 @@ line_dedup AS (SELECT doc_id, text, coalesce(string_agg(chunk, chr(10) ORDER BY
 OP5_SQL = f"""WITH {lines_sql("documents", "doc_id")}
 SELECT doc_id, md5(new_text) AS text_md5, length(new_text) AS kept_chars, removed_lines, removed_chunks
 FROM documents JOIN line_dedup USING (doc_id, text)"""
-
-_FULL = "trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''"
-PASSAGE_SQL = f"""WITH a AS (SELECT DISTINCT doc_id, text FROM documents),
-l AS (SELECT doc_id, text, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT *, string_split(text, chr(10)) AS ls FROM a)),
-s AS (SELECT *, sum(({_FULL})::INT) OVER (PARTITION BY doc_id, text ORDER BY i) AS k FROM l),
-g AS (SELECT doc_id, text, k, string_agg(line, chr(10) ORDER BY i) AS segment, min_by(line, i) AS line, count(*) AS n FROM s GROUP BY doc_id, text, k),
-p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id, text ORDER BY k) AS after FROM g),
-u AS (SELECT doc_id, text, k, 0 AS more, line AS unit FROM p WHERE k > 0 AND length(line) - length(replace(line, ' ', '')) >= {LONG}
-  UNION ALL SELECT doc_id, text, k, 1, segment || chr(10) || after FROM p WHERE k > 0 AND after IS NOT NULL),
-d AS (SELECT doc_id, text, k, more FROM u QUALIFY row_number() OVER (PARTITION BY unit ORDER BY doc_id, k, more) > 1),
-x AS (SELECT doc_id, text, k FROM d UNION SELECT doc_id, text, k + 1 FROM d WHERE more = 1),
-m AS (SELECT g.*, x.k IS NOT NULL AS gone, coalesce(lag(x.k IS NOT NULL) OVER (PARTITION BY g.doc_id, g.text ORDER BY g.k), false) AS before FROM g LEFT JOIN x ON x.doc_id = g.doc_id AND x.text = g.text AND x.k = g.k),
-r AS (SELECT doc_id, text, coalesce(string_agg(segment, chr(10) ORDER BY k) FILTER (NOT gone), '') AS new_text,
-  coalesce(sum(n) FILTER (gone), 0)::BIGINT AS removed_lines, count(*) FILTER (gone AND NOT before) AS removed_chunks FROM m GROUP BY doc_id, text)
-SELECT doc_id, md5(new_text) AS text_md5, length(new_text) AS kept_chars, removed_lines, removed_chunks FROM documents JOIN r USING (doc_id, text)"""
