@@ -107,7 +107,7 @@ def test_rules(spark):
     assert urls.judge_urls(df.limit(0), urls.rules_frame(spark, urls.RULES)).count() == 0
 
 
-def rank_by_hand(links, seeds, forward, damping=0.85, rounds=12):
+def rank_by_hand(links, seeds, forward, damping=0.85, rounds=300):
     total = sum(seeds.values()) or 1
     start = {h: s / total for h, s in seeds.items()}
     edges = links if forward else {(b, a): n for (a, b), n in links.items()}
@@ -135,6 +135,19 @@ def test_propagation_by_hand(spark):
     assert got["farm"]["distrust"] > 0 == got["farm"]["trust"]
 
 
+def test_distrust_reaches_far(spark):
+    """A chain of 30 hosts to a blocked one: all are blocked, whatever the number of rounds that takes."""
+    rows = [(i, f"http://h{i}.com/x", f"<a href='http://h{i + 1}.com/x'>") for i in range(30)] + [(30, "http://h30.com/x", "<a href='http://bad.net/x'>"), (31, "http://lone.com/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    # a rule makes a seed of a host with pages of its own
+    got = urls.judge_urls(df.unionByName(spark.createDataFrame([(32, "http://bad.net/x", "")], df.schema)), urls.rules_frame(spark, urls.RULES)).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "allow"} == {31} and len(got) == 33
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [*map(list, rows), [32, "http://bad.net/x", ""]])
+    assert {r[0]: r[4] for r in con.sql(urls.OP6_SQL).fetchall()} == {r["page_id"]: r["verdict"] for r in got}
+
+
 def test_links(spark):
     html = """<a href="/x">a</a><A HREF='http://Other.org/p'>b</A><a href=//third.net/q>c</a><a href="mailto:x@y">d</a> <a href="#top">e</a>"""
     df = spark.createDataFrame([("http://own.com/1", html), ("http://own.com/2", html), ("bad", html), (None, None)], "url string, html string")

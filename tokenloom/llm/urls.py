@@ -7,12 +7,13 @@ blocked when its host's distrust exceeds its trust by the threshold.
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 LOWER = (string.ascii_uppercase, string.ascii_lowercase)
 
@@ -49,12 +50,22 @@ def host_links(pages: DataFrame) -> DataFrame:
     return per_page.select(F.col("host").alias("src"), to.alias("dst")).filter("src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 4) -> DataFrame:
+DAMPING, TOLERANCE = 0.85, 1e-9
+
+
+def most_rounds(damping: float = DAMPING, tolerance: float = TOLERANCE) -> int:
+    """Rounds after which less than the tolerance of all trust can still move, whatever the graph."""
+    return math.ceil(math.log(tolerance) / math.log(damping))
+
+
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, cut_every: int = 6) -> DataFrame:
     """Personalised PageRank of seeds (host, trust, distrust): (host, trust, distrust).
 
     Trust walks along links, distrust against them; each starts from its seeds, normalised to sum 1,
-    and is damped. A host that no walk reaches has no row. Lineage is cut every few rounds.
+    and is damped. Rounds go on until all hosts together are within the tolerance of where they would end;
+    this is looked at, and lineage cut, every few rounds. A host that no walk reaches has no row.
     """
+    spark = links.sparkSession
     whole = seeds.agg(F.sum("trust").alias("all_t"), F.sum("distrust").alias("all_d"))
     start = seeds.crossJoin(F.broadcast(whole)).select(  # whole is one row
         "host",
@@ -66,18 +77,33 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     into = links.groupBy("dst").agg(F.sum("n").alias("all_in"))
     steps = links.join(out, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("all_out")).alias("wt"), F.lit(0.0).alias("wd"))
     back = links.join(into, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("wt"), (F.col("n") / F.col("all_in")).alias("wd"))
-    edges, _ = cut(steps.unionByName(back).groupBy("host", "to").agg(F.sum("wt").alias("wt"), F.sum("wd").alias("wd")))
+    edges, edges_path = cut(steps.unionByName(back).groupBy("host", "to").agg(F.sum("wt").alias("wt"), F.sum("wd").alias("wd")))
     base = start.select("host", (F.col("t") * (1 - damping)).alias("t"), (F.col("d") * (1 - damping)).alias("d"))
-    now = start
-    for i in range(rounds):
-        moved = edges.join(now, "host").select(F.col("to").alias("host"), (F.col("t") * F.col("wt") * damping).alias("t"), (F.col("d") * F.col("wd") * damping).alias("d"))
-        now = moved.unionByName(base).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        if (i + 1) % cut_every == 0:
-            now, _ = cut(now)
+
+    def moved(now: DataFrame) -> DataFrame:
+        along = edges.join(now, "host").select(F.col("to").alias("host"), (F.col("t") * F.col("wt") * damping).alias("t"), (F.col("d") * F.col("wd") * damping).alias("d"))
+        return along.unionByName(base).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+
+    now, path = start, None
+    for at in range(cut_every, most_rounds(damping, tolerance) + cut_every, cut_every):
+        for _ in range(cut_every - 1):
+            now = moved(now)
+        last, last_path = cut(now)
+        new, new_path = cut(moved(last))
+        sides = new.unionByName(last.select("host", (-F.col("t")).alias("t"), (-F.col("d")).alias("d")))
+        gap = sides.groupBy("host").agg(F.abs(F.sum("t")).alias("t"), F.abs(F.sum("d")).alias("d")).agg(F.greatest(F.sum("t"), F.sum("d"))).first()[0]
+        for old in (path, last_path):
+            if old:
+                forget(spark, old)
+        now, path = new, new_path
+        # what is still to come is at most the last change, damped again and again
+        if (gap or 0.0) * damping / (1 - damping) <= tolerance:
+            break
+    forget(spark, edges_path)
     return now.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, threshold: float = 0.0, rounds: int = 12) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, threshold: float = 0.0, tolerance: float = TOLERANCE) -> DataFrame:
     """pages (page_id, url, html) -> page_id, host, path, rule, verdict, trust, distrust.
 
     A rule fits its host and all subdomains when the url's path starts with the rule's; the longest
@@ -93,7 +119,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, threshold: float = 0.0, round
     ruled = rows.join(by_host, "host", "left").select("page_id", "host", "path", fit.alias("fit"))
     seeds = ruled.filter("fit IS NOT NULL").groupBy("host").agg(F.count_if(F.col("fit.verdict") == "allow").alias("trust"), F.count_if(F.col("fit.verdict") == "block").alias("distrust"))
     links, _ = cut(host_links(pages))
-    scores = propagate(links, seeds, rounds=rounds)
+    scores = propagate(links, seeds, tolerance=tolerance)
     known = by_host.join(scores, "host", "full")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) > threshold, "block").otherwise("allow"))
     return rows.join(known, "host", "left").withColumn("fit", fit).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
@@ -102,12 +128,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, threshold: float = 0.0, round
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
-ROUNDS = 12
-
-
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return judge_urls(pages, rules_frame(spark, RULES), rounds=ROUNDS).drop("trust", "distrust")
+    return judge_urls(pages, rules_frame(spark, RULES)).drop("trust", "distrust")
 
 
 def rules_sql(rules: list[tuple[str, str]]) -> str:
@@ -117,28 +140,29 @@ def rules_sql(rules: list[tuple[str, str]]) -> str:
     return "CASE " + " ".join(fits) + " END"
 
 
-def propagation_sql(rounds: int, damping: float = 0.85) -> str:
-    steps = ["r0 AS MATERIALIZED (SELECT host, t, d FROM start)"]
-    for i in range(rounds):
-        steps.append(f"""r{i + 1} AS MATERIALIZED (SELECT host, sum(t) AS t, sum(d) AS d FROM (
-          SELECT dst AS host, {damping} * t * n / all_out AS t, 0 AS d FROM r{i} JOIN links ON src = host JOIN outs USING (src)
-          UNION ALL SELECT src, 0, {damping} * d * n / all_in FROM r{i} JOIN links ON dst = host JOIN ins USING (dst)
-          UNION ALL SELECT host, {1 - damping} * t, {1 - damping} * d FROM start) GROUP BY host)""")
-    return ",\n".join(steps)
+def propagation_sql(damping: float = DAMPING) -> str:
+    """All rounds as one recursion: the nameless host, which no link has, gives the seeds their share again."""
+    return f"""steps AS MATERIALIZED (
+      SELECT src AS host, dst AS next, {damping} * n / all_out AS wt, 0.0 AS wd FROM links JOIN outs USING (src)
+      UNION ALL SELECT dst, src, 0.0, {damping} * n / all_in FROM links JOIN ins USING (dst)
+      UNION ALL SELECT '', host, (1 - {damping}) * t, (1 - {damping}) * d FROM start
+      UNION ALL SELECT '', '', 1.0, 1.0),
+    r AS (SELECT 0 AS i, host, t, d FROM (SELECT host, t, d FROM start UNION ALL SELECT '', 1.0, 1.0)
+      UNION ALL SELECT i + 1, next, sum(t * wt), sum(d * wd) FROM r JOIN steps USING (host) WHERE i < {most_rounds()} GROUP BY i, next)"""
 
 
 HOST_SQL = "translate(regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1), '" + LOWER[0] + "', '" + LOWER[1] + "')"
 OP6_SQL = rf"""
-WITH p AS (SELECT page_id, html, {HOST_SQL.format("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, html, {HOST_SQL.format("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 f AS (SELECT *, {rules_sql(RULES)} AS rule FROM p),
 v AS (SELECT *, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in RULES)} END AS ruled FROM f),
-h AS (SELECT host, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1)) AS href FROM p),
+h AS (SELECT host, unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)) AS href FROM p),
 links AS (SELECT host AS src, dst, count(*) AS n FROM (SELECT host, CASE WHEN starts_with(href, '//') THEN {HOST_SQL.format("'x:' || href")}
   WHEN regexp_matches(href, '(?i)^[a-z][a-z0-9+.\-]*:') THEN {HOST_SQL.format("href")} ELSE host END AS dst FROM h) WHERE host <> '' AND dst <> '' GROUP BY ALL),
 outs AS (SELECT src, sum(n) AS all_out FROM links GROUP BY src), ins AS (SELECT dst, sum(n) AS all_in FROM links GROUP BY dst),
 seeds AS (SELECT host, count(*) FILTER (ruled = 'allow') AS t, count(*) FILTER (ruled = 'block') AS d FROM v WHERE rule IS NOT NULL GROUP BY host),
 start AS (SELECT host, coalesce(t / nullif((SELECT sum(t) FROM seeds), 0), 0)::DOUBLE AS t, coalesce(d / nullif((SELECT sum(d) FROM seeds), 0), 0)::DOUBLE AS d FROM seeds),
-{propagation_sql(ROUNDS)}
+{propagation_sql()}
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(d, 0) - coalesce(t, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict
-FROM v LEFT JOIN r{ROUNDS} USING (host)
+FROM v LEFT JOIN (SELECT host, t, d FROM r WHERE i = {most_rounds()} AND host <> '') USING (host)
 """
