@@ -65,15 +65,27 @@ def test_edges_of_input(spark, monkeypatch):
     items = [(1, "one two three four five six"), (2, None), (None, "x y"), (3, ""), (4, "Solo"), (1, "one two three four five six"), (5, "pair here")]
     docs = [(1, "say ONE two three FOUR five six now"), (2, None), (3, ""), (None, "solo"), (4, "one two three six"), (5, "x " * 30_000 + "one two three four zzz six"), (1, "solo"), (6, "pair  here")]
     df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
-    want = [(-1, 4, 0), (1, 1, 0), (1, 4, 0), (5, 1, 1), (6, 5, 0)]
-    got = lambda: sorted((r["doc_id"] or -1, r["item_id"], r["edits"]) for r in dc.contaminated(df, bench).collect())
+    docs.append((7, "my x y z"))
+    df = spark.createDataFrame(docs, DOCS)
+    want = [(-1, 4, 0), (1, 1, 0), (1, 4, 0), (5, 1, 1), (6, 5, 0), (7, -1, 0)]
+    got = lambda: sorted((r["doc_id"] or -1, r["item_id"] or -1, r["edits"]) for r in dc.contaminated(df, bench).collect())
     assert got() == want
     monkeypatch.setattr(dc, "BLOCK_ITEMS", 1)
     assert got() == want
+    assert sorted(r["doc_id"] for r in dc.drop_contaminated(df, bench).collect()) == [2, 3, 4]
     assert dc.contaminated(df, bench.limit(0)).count() == 0 and dc.contaminated(df.limit(0), bench).count() == 0
     assert dc.drop_contaminated(df, bench.limit(0)).count() == len(docs)
 
 
+def test_beyond_the_most_tables_nothing_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(dc, "MOST_TABLES", 3)
+    items, docs = corpus(5)
+    assert dc.ItemBlock(items, dc.Cgk()).walks == 0
+    want = {(d, i) for d, t in docs for i, x in items if distance(x.split(), t.split()) <= dc.Cgk().allowed(len(x.split()))}
+    block = dc.ItemBlock(items, dc.Cgk())
+    assert want and {(d, m[0]) for d, t in docs for m in block.matches(t)} == want
+
+
 def test_op4_finds_every_verbatim_passage(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()

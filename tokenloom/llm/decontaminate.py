@@ -4,7 +4,8 @@ Texts are sequences of lower-cased words. A window as long as an item is embedde
 walk: at each step the walk writes the word it stands on and moves on if a random bit of (step, word)
 says so, which turns edit distance into Hamming distance. Repeated bit sampling of the embeddings,
 with as many tables as the target recall takes, gives candidates, and each is verified by exact
-approximate matching (edit distance of the item to any passage around the window).
+approximate matching (edit distance of the item to any passage around the window). Where no bounded number
+of tables reaches the recall, every window that holds enough word pairs of an item is a candidate.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
+from .common import cut, forget
 
 #: Characters and items of one block of benchmark items, the most that is sent to executors at once.
 BLOCK_CHARS, BLOCK_ITEMS = 4_000_000, 20_000
+#: Tables beyond which the windows themselves are verified.
+MOST_TABLES = 4096
 
 
 @dataclass(frozen=True)
@@ -66,7 +70,7 @@ def embedded(symbols: np.ndarray, starts: np.ndarray, offsets: np.ndarray, lengt
 class ItemBlock:
     """Benchmark items indexed for one pass over the documents."""
 
-    def __init__(self, items: list[tuple[int, str | None]], p: Cgk):
+    def __init__(self, items: list[tuple[int | None, str | None]], p: Cgk):
         self.p = p
         split = [(i, w) for i, t in items if (w := words_of(t))]
         self.vocab: dict[bytes, int] = {}
@@ -94,7 +98,7 @@ class ItemBlock:
         self.walks = self.tables_needed()
         rng = np.random.default_rng(p.seed + 1)
         self.table = {}
-        for n, own in self.classes.items():
+        for n, own in self.classes.items() if self.walks else ():
             pick = rng.integers(0, 2 * n, (self.walks, p.bits))
             sigs = np.concatenate([self.signatures(self.items[k], np.zeros(1, np.int64), n, pick, None) for k in own])
             order = np.argsort(sigs.ravel(), kind="stable")
@@ -106,7 +110,8 @@ class ItemBlock:
         return max(1, n - 1 - 2 * self.p.allowed(n))
 
     def tables_needed(self) -> int:
-        """Tables for the target recall, from walks over items and copies edited up to the bound."""
+        """Tables for the target recall, from walks over items and copies edited up to the bound; 0 if more
+        than MOST_TABLES would be needed."""
         rng = np.random.default_rng(self.p.seed + 2)
         some = [x for x in self.items if self.p.allowed(len(x))]
         if not some:
@@ -122,8 +127,10 @@ class ItemBlock:
             e = [embedded(z, start, walk(z, start, 2 * n, 32, self.p.seed + 3), n)[0] for z in (x, np.r_[y, np.zeros(n, np.int64)])]
             rates.append(((e[0] == e[1]).mean(axis=1) ** self.p.bits).mean())
         tables = 1
-        while tables < 1 << 12 and ((1 - np.array(rates)) ** tables).mean() > 1 - self.p.recall:
+        while ((1 - np.array(rates)) ** tables).mean() > 1 - self.p.recall:
             tables = math.ceil(tables * 1.25)
+            if tables > MOST_TABLES:
+                return 0
         return tables
 
     def signatures(self, symbols: np.ndarray, starts: np.ndarray, n: int, pick: np.ndarray, offsets: np.ndarray | None) -> np.ndarray:
@@ -143,15 +150,14 @@ class ItemBlock:
         get = self.vocab.get
         return np.array([get(w, 0) for w in words_of(text)], np.int64)
 
-    def windows(self, s: np.ndarray) -> dict[int, np.ndarray]:
-        """Starts of item-sized windows that hold enough word pairs of some item of that size, by size.
+    def windows(self, s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, starts of windows of its size that hold enough of its word pairs).
 
         What is left out cannot be within the bound: an edit undoes at most two word pairs of an item.
         """
-        found: dict[int, list[np.ndarray]] = {}
         n = len(s)
         if 1 in self.classes and (one := np.flatnonzero(s)).size:
-            found[1] = [one]
+            yield from ((int(i), one) for i in self.classes[1])
         code = s[:-1] * self.base + s[1:]
         if self.flag is not None:
             at = np.flatnonzero(self.flag[code])
@@ -166,14 +172,18 @@ class ItemBlock:
                 size, hits = int(self.size[i]), where[item == i]
                 starts = np.arange(max(0, hits[0] - size), min(hits[-1], n - size + self.p.allowed(size)) + 1)
                 inside = np.searchsorted(hits, starts + size - 1) - np.searchsorted(hits, starts)
-                found.setdefault(size, []).append(starts[inside >= self.leasts[i]])
-        return {size: got for size, x in found.items() if len(got := np.unique(np.concatenate(x)))}
+                yield int(i), starts[inside >= self.leasts[i]]
 
     def candidates(self, s: np.ndarray) -> dict[int, dict[int, int]]:
-        """item -> window start -> number of tables that agree."""
+        """item -> window start -> number of tables that agree; or every window where there are no tables."""
         found: dict[int, dict[int, int]] = {}
-        windows = self.windows(s)
-        if not windows:
+        by_size: dict[int, list[np.ndarray]] = {}
+        for item, starts in self.windows(s):
+            if not self.walks:
+                found[item] = dict.fromkeys(starts.tolist(), 1)
+            by_size.setdefault(int(self.size[item]), []).append(starts)
+        windows = {size: got for size, x in by_size.items() if len(got := np.unique(np.concatenate(x)))}
+        if not self.walks or not windows:
             return found
         padded = np.r_[s, np.zeros(self.most, np.int64)]
         starts = np.unique(np.concatenate(list(windows.values())))
@@ -221,7 +231,7 @@ class ItemBlock:
             best = min(best, score)
         return best
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
+    def matches(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
         """(item_id, word the best window starts at, edits, the item's words) of a whole text."""
         if not self.items:
             return []
@@ -241,13 +251,13 @@ class ItemBlock:
                     best = (e, start)
             if best:
                 out.append((self.ids[item], best[1], best[0], n))
-        return sorted(out)
+        return sorted(out, key=lambda x: (x[0] is not None, x[0] or 0, *x[1:]))
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size, one block in memory at a time."""
     block, chars = [], 0
-    for r in benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
+    for r in benchmark.select("item_id", "text").filter("text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
         if block and (len(block) >= BLOCK_ITEMS or chars + len(r["text"]) > BLOCK_CHARS):
             yield block
             block, chars = [], 0
@@ -264,8 +274,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Cgk = Cgk()) -> DataF
     """docs (doc_id, text) -> doc_id, item_id, at_word, edits, item_words: a row for each document and item.
 
     The benchmark is a stated set searched block by block, each block one pass over the documents without
-    a shuffle. Null and empty texts and items match nothing, items without id are left out; items of under
-    five words match only exactly. Repeated rows give repeated matches, a null doc_id stays null.
+    a shuffle. Null and empty texts and items match nothing; an item without id is searched like any other
+    and matches as null; an item that repeats under one id counts once; items of under five words match
+    only exactly. Of equally good places of an item in a document the first is told. Repeated rows give
+    repeated matches, a null doc_id stays null. Very long texts are searched whole, in steps of bounded
+    memory; other columns are ignored; an empty table or benchmark gives no rows.
     """
     spark = docs.sparkSession
     found = None
@@ -277,8 +290,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Cgk = Cgk()) -> DataF
             for b in batches:
                 rows = [(d, *m) for d, t in zip(b["doc_id"], b["text"]) for m in block.matches(t)]
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "at_word", "edits", "item_words"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(search, MATCH)
         found = part if found is None else found.unionByName(part)
@@ -288,7 +300,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Cgk = Cgk()) -> DataF
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: Cgk = Cgk()) -> DataFrame:
     """docs without the documents that hold a benchmark passage; rows without doc_id are judged by text.
 
-    The search runs where the documents lie and its verdict is a column, so no text is shuffled.
+    The search runs where the documents lie and its verdict is a column, so no text is shuffled. With
+    several blocks of items, what a block leaves is written before the next, so that a worker holds one.
     """
     spark = docs.sparkSession
 
@@ -300,8 +313,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: Cgk = Cgk()) ->
 
         return clean
 
-    kept = docs
-    for items in blocks(benchmark):
+    kept, path = docs, None
+    for i, items in enumerate(blocks(benchmark)):
+        if i:
+            before = path
+            kept, path = cut(kept)
+            if before:
+                forget(spark, before)
         kept = kept.filter(clean_of(spark.sparkContext.broadcast(ItemBlock(items, p)))(F.col("text")))
     return kept
 
