@@ -18,8 +18,8 @@ BYTES = {bc.TABLE[b]: b for b in range(256)}
 E4B8, E59B = bc.map_bytes(b"\xe4\xb8"), bc.map_bytes(b"\xe5\x9b")
 ZH = BYTES | {bc.map_bytes("中".encode()): 256, bc.map_bytes("国".encode()): 257, E4B8: 258, E59B: 259}
 ZH_MERGES = ((bc.TABLE[0xE4], bc.TABLE[0xB8]), (E4B8, bc.TABLE[0xAD]), (bc.TABLE[0xE5], bc.TABLE[0x9B]), (E59B, bc.TABLE[0xBD]))
-GPT2ISH = {"H": 0, "e": 1, "l": 2, "o": 3, "ll": 4, "Hello": 5, "Ġworld": 6, "w": 7, "r": 8, "d": 9, "He": 10, "Hel": 11, "lo": 12, "Ġ": 13, "ĠHello": 14}
-GPT2ISH_MERGES = (("l", "l"), ("H", "e"), ("He", "l"), ("Hel", "lo"))
+LARK = {"L": 0, "a": 1, "r": 2, "k": 3, "ar": 4, "Lark": 5, "Ġsang": 6, "s": 7, "n": 8, "g": 9, "Lar": 10, "Ġ": 11, "ĠLark": 12}
+LARK_MERGES = (("a", "r"), ("L", "ar"), ("Lar", "k"))
 
 
 def encodings(spark, tok, *texts):
@@ -49,11 +49,12 @@ def test_late_writing_is_the_same(spark):
 
 
 def test_prefix_space(spark):
-    tok = Tokenizer(Bpe(GPT2ISH, GPT2ISH_MERGES, Options(ignore_merges=True)), None, pt.ByteLevel())
-    (e,) = encodings(spark, tok, "Hello world")
-    assert e["tokens"] == ["ĠHello", "Ġworld"] and spans(e) == [(0, 5), (5, 11)]
+    tok = Tokenizer(Bpe(LARK, LARK_MERGES, Options(ignore_merges=True)), None, pt.ByteLevel())
+    (e,) = encodings(spark, tok, "Lark sang")
+    assert e["tokens"] == ["ĠLark", "Ġsang"] and spans(e) == [(0, 4), (4, 9)]
+    assert spans(encodings(spark, tok.with_(compat_offsets=True), "Lark sang")[0]) == [(0, 5), (4, 9)]
     df = spark.createDataFrame([(e["ids"],)], "ids array<int>")
-    assert tok.decode(df, "ids").first()["decoded"] == " Hello world"
+    assert tok.decode(df, "ids").first()["decoded"] == " Lark sang"
     assert tok.with_(decoder=None).decode(df, "ids").first()["decoded"] == ""
 
 
@@ -72,8 +73,8 @@ def test_trim(spark):
         r = pp.trim_offsets(df.select(F.struct("ids", "tokens", "starts", "ends").alias("e")), "e", prefix).first()["e"]
         return r["starts"][-1], r["ends"][-1]
 
-    assert trimmed("ĠabcĠ", 10, 17, False, False) == (11, 16)
-    assert trimmed("ĠHello", 0, 5, True)[0] == 0 and trimmed("ĠĠHello", 0, 6, True)[0] == 2
+    assert trimmed("ĠseaĠ", 20, 27, False, False) == (21, 26)
+    assert trimmed("ĠLark", 0, 4, True)[0] == 0 and trimmed("ĠĠLark", 0, 5, True)[0] == 2
     assert trimmed("ĠĠ", 0, 2, False, False) == (2, 2)
 
 
@@ -99,6 +100,37 @@ def test_dropout_is_a_function_of_the_seed(spark):
     assert one == two and len({tuple(x) for x in one}) > 2
 
 
+def test_dropout_half_by_hand(spark, sf_dir):
+    """The query, against a sweep over all candidates for each merge."""
+    import random
+
+    import regex
+
+    from tokenloom import queries as q
+    from tokenloom.functions.regex_compat import GPT2
+
+    from .test_model import dropped_by_hand
+
+    m, split = q.fixed_model(dropout=0.5), regex.compile(GPT2)
+    docs = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if len(r["text"]) < 3000]
+    want = {}
+    for r in docs:
+        pieces = [bc.map_bytes(p.encode()) for p in split.findall(r["text"])]
+        rngs = (random.Random(f"{r['doc_id']}:{i}") for i in range(len(pieces)))
+        want[r["doc_id"]] = sum(len(dropped_by_hand(m.symbols(p), m.table, 0.5, rng)) for p, rng in zip(pieces, rngs))
+    got = {r["doc_id"]: r["n_tokens"] for r in q.queries()["encode_dropout_half"](spark, sf_dir).collect()}
+    assert want and {i: got[i] for i in want} == want
+
+
+def test_training_demo(spark, tmp_path):
+    from tokenloom.plans import demo
+
+    tokenizer, shown = demo.train_demo(spark, f"{tmp_path}/demo.json")
+    rows = shown.collect()
+    assert [r["decoded"] for r in rows] == list(demo.LINES) and tokenizer.model.vocab["<unk>"] == 0 and tokenizer.model.vocab["<pad>"] == 1
+    assert tokenizer.model.vocab_size == 80 and any(len(r["tokens"]) < len(r["text"]) / 2 for r in rows)
+
+
 def test_native_equals_udf(spark):
     m = Bpe(ZH, ZH_MERGES)
     df = spark.createDataFrame([(bc.map_bytes(t.encode()),) for t in ("中国", "a中", "xyz", "")], "w string")

@@ -40,15 +40,15 @@ def test_options(spark):
 
 
 def test_suffix_and_prefix(spark):
-    m = model(spark, "he lo he lo he lo", end_of_word_suffix="</w>")
-    assert {"e</w>", "o</w>"} <= set(m.vocab) and m.tokens[m.encode("he")[-1][0]].endswith("</w>")
+    m = model(spark, "so by so by so by", end_of_word_suffix="</w>")
+    assert {"y</w>", "o</w>"} <= set(m.vocab) and m.tokens[m.encode("so")[-1][0]].endswith("</w>")
     p = model(spark, "abc abc", continuing_subword_prefix="##")
     assert "##b" in p.vocab and [p.tokens[i] for i, _ in p.encode("abc")] == ["abc"]
 
 
 def test_byte_level(spark):
-    m = model(spark, "hello world hello", pt.ByteLevel(False, True, False))
-    assert {"h", "e"} <= set(m.vocab) and "".join(m.tokens[i] for i, _ in m.encode("hello")) == "hello"
+    m = model(spark, "river bank river", pt.ByteLevel(False, True, False))
+    assert {"r", "e"} <= set(m.vocab) and "".join(m.tokens[i] for i, _ in m.encode("river")) == "river"
 
 
 def test_max_length_records_but_does_not_apply(spark):

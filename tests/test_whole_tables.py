@@ -1,4 +1,4 @@
-"""Queries over documents where their older forms take a part or a smaller table."""
+"""Queries take all of their tables, whatever is in them."""
 
 from tokenloom import queries as q
 
@@ -6,23 +6,23 @@ from tokenloom import queries as q
 def test_decode_skips_special_in_any_text(spark, tmp_path):
     texts = ["é中😀 zwei", "a\nb c\td  e", "<x> y", "", " lead", "trail ", "\u00a0\x01 z", "plain text"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r for r in q.queries()["decode_skip_special_documents"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r for r in q.queries()["decode_skip_special"](spark, str(tmp_path)).collect()}
     assert [got[i]["every"] for i in range(len(texts))] == texts
     assert [got[i]["kept"] for i in range(len(texts))] == ["" if t.startswith("<") else t.split(" ")[0] for t in texts]
 
 
 def test_every_document_is_decoded(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    assert q.queries()["decode_skip_special_documents"](spark, sf_dir).count() == n
+    assert q.queries()["decode_skip_special"](spark, sf_dir).count() == n
 
 
 def test_counts_take_words_of_documents_only(spark, tmp_path):
     spark.createDataFrame([(1, "ab ab\nżc"), (2, "ab")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "xy")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = lambda name: sorted(map(tuple, q.queries()[name](spark, str(tmp_path)).collect()))
-    assert rows("pair_counts_documents") == [(ord("a"), ord("b"), 3), (ord("ż"), ord("c"), 1)]
-    assert rows("best_pair_documents") == [(ord("a"), ord("b"), 3)]
-    assert rows("alphabet_topk_documents") == [("a", 3, 1), ("b", 3, 2), ("c", 1, 3), ("ż", 1, 4)]
-    assert [r[0] for r in rows("alphabet_forced_documents")] == sorted("#abczż中")
-    assert rows("decode_ids_documents") == [(1, "ab ab\nżc"), (2, "ab")]
-    assert [r[:2] for r in rows("pretok_noregex_documents")] == [(1, 1), (2, 1)]
+    assert rows("pair_counts") == [(ord("a"), ord("b"), 3), (ord("ż"), ord("c"), 1)]
+    assert rows("best_pair") == [(ord("a"), ord("b"), 3)]
+    assert rows("alphabet_topk") == [("a", 3, 1), ("b", 3, 2), ("c", 1, 3), ("ż", 1, 4)]
+    assert [r[0] for r in rows("alphabet_forced")] == sorted("#abczż中")
+    assert rows("decode_ids") == [(1, "ab ab\nżc"), (2, "ab")]
+    assert [r[:2] for r in rows("pretok_noregex")] == [(1, 1), (2, 1)]

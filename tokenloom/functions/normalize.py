@@ -67,6 +67,30 @@ def byte_case(text: Column, upper: bool) -> Column:
     return F.encode(F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), *pair), "ISO-8859-1")
 
 
+def replace_range(text: Column, start: int, end: int, by: str) -> Column:
+    """text with its bytes [start, end) replaced; as it is if that is no range of it."""
+    raw = F.encode(text, "UTF-8")
+    spliced = F.concat(F.substring(raw, 1, start), F.encode(F.lit(by), "UTF-8"), F.substring(raw, F.lit(end + 1), F.octet_length(text)))
+    return F.when((F.lit(start) > end) | (F.octet_length(text) < end), text).otherwise(F.decode(spliced, "UTF-8"))
+
+
+def replace_alignment(text: Column, start: int, end: int, by: str) -> Column:
+    """array<int>: for each byte of replace_range(), the byte of text that it stands for. What is put in
+    stands for the byte at start, or the last one."""
+    n, none = F.octet_length(text), F.array().cast("array<int>")
+    upto = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+    put = F.when(n == 0, F.lit(start)).otherwise(F.least(F.lit(start), n - 1))
+    spliced = F.concat(upto(F.lit(0), F.lit(start)), F.array_repeat(put, len(by.encode())), upto(F.lit(end), n))
+    return F.when((F.lit(start) > end) | (n < end), upto(F.lit(0), n)).otherwise(spliced)
+
+
+def append(text: Column, more: str) -> tuple[Column, Column]:
+    """(text and more behind it, alignment): what is put there stands for the byte after the last."""
+    n = F.octet_length(text)
+    own = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.concat(text, F.lit(more)), F.concat(own, F.array_repeat(n, len(more.encode())))
+
+
 def sequence(*steps: Normalizer | None) -> Normalizer:
     own = tuple(s for s in steps if s is not None)
 

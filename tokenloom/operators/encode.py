@@ -26,9 +26,10 @@ class Words:
     """Encodes batches of piece arrays. Each distinct piece of a batch is encoded once, or taken from the
     memory; the rest is array arithmetic."""
 
-    def __init__(self, model: Bpe, mapped: bool, memory: int, write: bool = False):
-        """mapped: a character of a piece is one byte; write: pieces are plain text, to be so written."""
-        self.model, self.mapped, self.memory, self.write = model, mapped or write, memory, write
+    def __init__(self, model: Bpe, mapped: bool, memory: int, write: bool = False, compat: bool = False):
+        """mapped: a character of a piece is one byte; write: pieces are plain text, to be so written; compat:
+        a space put in front counts as a byte of its piece."""
+        self.model, self.mapped, self.memory, self.write, self.compat = model, mapped or write, memory, write, compat
         self.known: dict[str, tuple[list[int], list[int]]] = {}
         self.ids = np.array(sorted(model.tokens), np.int64)
         self.tokens = pa.array([model.tokens[i] for i in self.ids.tolist()], pa.string())
@@ -106,7 +107,7 @@ class Words:
         source = np.repeat(first[index] - (np.cumsum(n) - n), n) + np.arange(total)
         end = ends[source] - np.repeat(word_start[index], n)
         start = end - sizes[source]
-        base, led = np.repeat(at, n), np.repeat(put, n)
+        base, led = np.repeat(at, n), np.repeat(put, n) * (not self.compat)
         counts = np.r_[0, np.cumsum(n)]
         bounds = pa.array(counts[np.r_[0, np.cumsum(lengths)]].astype(np.int32))
         token = self.tokens.take(pa.array(np.searchsorted(self.ids, ids)[source])) if total else pa.array([], pa.string())
@@ -115,10 +116,11 @@ class Words:
         return pa.StructArray.from_arrays(lists, ["ids", "tokens", "starts", "ends"])
 
 
-def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out: str = "encoding", seed: Column | None = None, memory: int = 200_000, write: bool = False) -> DataFrame:
+def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out: str = "encoding", seed: Column | None = None, memory: int = 200_000, write: bool = False, compat_offsets: bool = False) -> DataFrame:
     """df with struct<ids, tokens, starts, ends> of an array of pieces; offsets are bytes of the whole text.
 
-    Tokens of a byte-mapped piece count one byte per character, the prefix put in front counts none.
+    Tokens of a byte-mapped piece count one byte per character, the prefix put in front counts none; with
+    compat_offsets it counts, so the tokens of the first piece lie one byte too far.
     With dropout, seed (a long column) makes the outcome a function of it and of the piece's position;
     without seed every run differs. Empty and null arrays give empty lists.
     """
@@ -126,7 +128,7 @@ def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out:
     drop, seeded = model.options.dropout, seed is not None
 
     def run(batches: Iterator) -> Iterator[pa.Array]:
-        words = Words(sent.value, mapped, memory, write)
+        words = Words(sent.value, mapped, memory, write, compat_offsets)
         for rows, seeds, _ in batches:
             if drop:
                 own = seeds.to_pylist() if seeded else [random.random() for _ in range(len(rows))]
@@ -171,12 +173,12 @@ def native_tokens(piece: Column, model: Bpe) -> Column:
     return out
 
 
-def encode(df: DataFrame, text: str, model: Bpe, pre_tokenizer=None, out: str = "encoding", seed: Column | None = None) -> DataFrame:
+def encode(df: DataFrame, text: str, model: Bpe, pre_tokenizer=None, out: str = "encoding", seed: Column | None = None, compat_offsets: bool = False) -> DataFrame:
     """df with the encoding of a text column: ids, tokens and byte offsets."""
-    return encode_text(df, F.coalesce(F.col(text), F.lit("")), model, pre_tokenizer, out, seed)
+    return encode_text(df, F.coalesce(F.col(text), F.lit("")), model, pre_tokenizer, out, seed, compat_offsets)
 
 
-def encode_text(df: DataFrame, text: Column, model: Bpe, pre_tokenizer, out: str, seed: Column | None = None) -> DataFrame:
+def encode_text(df: DataFrame, text: Column, model: Bpe, pre_tokenizer, out: str, seed: Column | None = None, compat_offsets: bool = False) -> DataFrame:
     pieces, write = unwritten(text, pre_tokenizer)
     mapped = bool(pre_tokenizer is not None and pre_tokenizer.mapped and not write)
-    return encode_pieces(df, pieces, model, mapped, out, seed, write=write)
+    return encode_pieces(df, pieces, model, mapped, out, seed, write=write, compat_offsets=compat_offsets)

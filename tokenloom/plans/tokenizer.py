@@ -25,8 +25,8 @@ class Tokenizer:
 
     Parts can be one's own: a normalizer needs apply and cut, a pre-tokenizer takes and gives an array of
     pieces and has mapped, a post-processor is a ByteLevel (trims offsets) or takes and gives an
-    encoding column, a decoder is "ByteLevel" or takes a column of tokens.
-
+    encoding column, a decoder is "ByteLevel" or takes a column of tokens. compat_offsets counts an added
+    prefix space as a byte, as some files' offsets do.
     """
 
     model: Bpe | None = None
@@ -36,6 +36,7 @@ class Tokenizer:
     decoder: str | Callable[[Column], Column] | None = "ByteLevel"
     truncation: pp.Truncation | None = None
     padding: pp.Padding | None = None
+    compat_offsets: bool = False
 
     def with_(self, **changes) -> "Tokenizer":
         return replace(self, **changes)
@@ -52,7 +53,7 @@ class Tokenizer:
             e = empty
         else:
             plain = self.normalizer(raw) if self.normalizer else raw
-            df = encode_text(df, plain, self.model, self.pre_tokenizer, "_e", seed)
+            df = encode_text(df, plain, self.model, self.pre_tokenizer, "_e", seed, self.compat_offsets)
             e = F.col("_e")
             if isinstance(self.post_processor, ByteLevel):
                 if self.post_processor.trim_offsets:

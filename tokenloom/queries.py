@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import string
 import uuid
 from collections.abc import Callable
@@ -131,6 +132,57 @@ def norm_sequence(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", n(padded()).alias("norm"), start.cast("long").alias("first_start"))
 
 
+SPANS = ((1, 3), (0, 0), (2, 7), (5, 10_000))
+
+
+def span_sql(start: int, end: int) -> str:
+    last = "shift + size"
+    s = f"CASE WHEN size = 0 THEN {start} ELSE least({start}, greatest(size - 1, 0)) + shift END"
+    e = f"CASE WHEN size = 0 THEN {end} WHEN {end} = 0 OR {end} > size THEN {last} ELSE {end} + shift END"
+    return f"({s})::VARCHAR || '-' || greatest({s}, {e})::VARCHAR"
+
+
+@register("norm_spans", f"SELECT conv_id, turn, " + " || ' ' || ".join(span_sql(*x) for x in SPANS) + f" AS spans FROM (SELECT conv_id, turn, octet_length(encode(trim({PADDED}, {WHITE_SQL}))) AS size, octet_length(encode({PADDED})) - octet_length(encode(ltrim({PADDED}, {WHITE_SQL}))) AS shift FROM conversations)")
+def norm_spans(spark, sf_dir):
+    n = nz.sequence(nz.strip(), nz.lowercase())
+    spans = (n.original(padded(), F.lit(a), F.lit(b)) for a, b in SPANS)
+    shown = (F.concat_ws("-", a.cast("string"), b.cast("string")) for a, b in spans)
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.concat_ws(" ", *shown).alias("spans"))
+
+
+def cased_sql(first: int, last: int, but: int, by: int) -> str:
+    """Bytes from first to last, and the ASCII letters that lie as far, moved by `by`."""
+    ascii_from = ord("A") if by > 0 else ord("a")
+    moved = [b + by if first <= b <= last and b != but or ascii_from <= b < ascii_from + 26 else b for b in range(256)]
+    table = "[" + ", ".join(f"'{b:02X}'" for b in moved) + "]"
+    return f"md5(unhex(array_to_string(list_transform(range(1, octet_length(encode(text)) + 1), lambda i: {table}[('0x' || substr(hex(encode(text)), (2 * i - 1)::INT, 2))::INT + 1]), '')))"
+
+
+@register("norm_lower_bytes", f"SELECT doc_id, {cased_sql(0xC0, 0xDE, 0xD7, 0x20)} AS bytes_md5 FROM documents")
+def norm_lower_bytes(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.md5(nz.byte_case(F.col("text"), False)).alias("bytes_md5"))
+
+
+@register("norm_upper_bytes", f"SELECT doc_id, {cased_sql(0xE0, 0xFE, 0xF7, -0x20)} AS bytes_md5 FROM documents")
+def norm_upper_bytes(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.md5(nz.byte_case(F.col("text"), True)).alias("bytes_md5"))
+
+
+ALIGNED = "array_to_string(list_transform({l}, lambda x: x::VARCHAR), ' ')"
+
+
+@register(
+    "norm_splice",
+    f"""SELECT conv_id, turn, ' <-' || substr(p, 4) AS spliced, md5({ALIGNED.format(l="list_concat([0, 1, 1], range(3, size))")}) AS splice_md5,
+    p || '!!' AS appended, md5({ALIGNED.format(l="list_concat(range(0, size), [size, size])")}) AS append_md5
+    FROM (SELECT conv_id, turn, {PADDED} AS p, octet_length(encode({PADDED})) AS size FROM conversations)""",
+)
+def norm_splice(spark, sf_dir):
+    p = padded()
+    more, aligned = nz.append(p, "!!")
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", nz.replace_range(p, 1, 3, "<-").alias("spliced"), digest(F.transform(nz.replace_alignment(p, 1, 3, "<-"), lambda x: x.cast("string")), " ").alias("splice_md5"), more.alias("appended"), digest(F.transform(aligned, lambda x: x.cast("string")), " ").alias("append_md5"))
+
+
 # ---- pre-tokenizers ----------------------------------------------------------------------------
 def pieces_query(pre, table: str = "documents", key: str = "doc_id", text: str = "text") -> Query:
     def run(spark, sf_dir):
@@ -151,8 +203,7 @@ def each_mapped(listed: str) -> str:
 register("pretok_gpt2", pieces_sql(each_mapped(split_sql())))(pieces_query(GPT2))
 LED = "CASE WHEN text LIKE ' %' THEN text ELSE ' ' || text END"
 register("pretok_gpt2_prefix", pieces_sql(each_mapped(split_sql(LED)), "(SELECT doc_id, text FROM documents)"))(pieces_query(pt.ByteLevel()))
-register("pretok_noregex", pieces_sql(f"[{mapped_sql('text')}]", "conversations", "conv_id"))(pieces_query(pt.ByteLevel(False, True, False), "conversations", "conv_id"))
-register("pretok_noregex_documents", pieces_sql(f"[{mapped_sql('text')}]"))(pieces_query(pt.ByteLevel(False, True, False)))
+register("pretok_noregex", pieces_sql(f"[{mapped_sql('text')}]"))(pieces_query(pt.ByteLevel(False, True, False)))
 
 
 @register("pretok_offsets", f"WITH {SEGMENTS} SELECT doc_id, pos - 1 AS pos, (sum(octet_length(encode(w))) OVER (PARTITION BY doc_id ORDER BY pos) - octet_length(encode(w)))::BIGINT AS start, (sum(octet_length(encode(w))) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS \"end\" FROM seg")
@@ -173,6 +224,27 @@ register("split_inverted", pieces_sql("regexp_extract_all(text, '[a-z]+')"))(pie
 register("split_regex", pieces_sql("regexp_extract_all(url, '[/.]|[^/.]+')", "pages", "page_id"))(pieces_query(pt.Split("[/.]"), "pages", "page_id", "url"))
 register("pretok_sequence", pieces_sql(each_mapped(r"regexp_extract_all(text, '[0-9]{1,3}|[^ \n0-9]+')")))(pieces_query(pt.Sequence((pt.Split("[0-9]{1,3}"), pt.Split("[ \n]+", True, "Removed"), pt.ByteLevel(False, True, False)))))
 register("pretok_whitespace", pieces_sql(rf"regexp_extract_all(text, '[^{S}]+')"))(pieces_query(pt.whitespace()))
+register("pretok_punctuation", pieces_sql(r"regexp_extract_all(text, '\p{P}|[^\p{P}]+')"))(pieces_query(pt.punctuation()))
+SPLIT_FILE = {
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "[0-9]+"}, "invert": False},
+            {"type": "Split", "pattern": {"String": ","}, "behavior": "Removed"},
+            {"type": "Split", "pattern": {}},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "vocab": {"a": 0}, "merges": []},
+}
+
+
+@register("pretok_from_file", pieces_sql(each_mapped("regexp_extract_all(text, '[0-9]+|[^0-9,]+')")))
+def pretok_from_file(spark, sf_dir):
+    """Splits by what a tokenizer file says: a Split without a pattern is none, one without behavior isolates."""
+    path = f"{shared_dir(spark)}/split-{uuid.uuid4().hex}.json"
+    files.write_text(spark, path, json.dumps(SPLIT_FILE))
+    return pieces_query(Tokenizer.from_file(spark, path).pre_tokenizer)(spark, sf_dir)
 
 
 @register("byte_chars", f"SELECT doc_id, md5({mapped_sql('text')}) AS mapped_md5, octet_length(encode(text))::BIGINT AS n_bytes FROM documents")
@@ -200,17 +272,17 @@ def distinct_words(spark, sf_dir):
     return tr.word_counts(docs(spark, sf_dir), "text", GPT2).agg(F.count(F.lit(1)).alias("n_words"), F.sum("n").alias("n_total"))
 
 
-PLAIN = "words AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^ \\n]+')) AS w FROM benchmark) GROUP BY w)"
+PLAIN = "words AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^ \\n]+')) AS w FROM documents) GROUP BY w)"
 LETTERS = "letters AS (SELECT c, sum(n) AS n FROM (SELECT unnest(string_split(word, '')) AS c, n FROM words) GROUP BY c)"
 BLANKS = pt.Split("[ \n]+", True, "Removed")
 
 
-def plain_words(spark, sf_dir, table: str = "benchmark") -> DataFrame:
+def plain_words(spark, sf_dir, table: str = "documents") -> DataFrame:
     return tr.word_counts(spark.read.parquet(f"{sf_dir}/{table}.parquet"), "text", BLANKS)
 
 
-def ranked_letters(spark, sf_dir, o: tr.TrainerOptions, table: str = "benchmark") -> DataFrame:
-    rows = tr.alphabet(plain_words(spark, sf_dir, table), o)
+def ranked_letters(spark, sf_dir, o: tr.TrainerOptions) -> DataFrame:
+    rows = tr.alphabet(plain_words(spark, sf_dir), o)
     order = Window.orderBy(F.desc("forced"), F.desc(F.when(F.col("forced"), 0).otherwise(F.col("n"))), F.ascii("c"))  # an alphabet is small
     return rows.select("c", F.col("n").cast("long").alias("n"), F.row_number().over(order).cast("long").alias("rank"))
 
@@ -228,8 +300,8 @@ def alphabet_forced(spark, sf_dir):
 PAIRS = "pairs AS (SELECT l[i] AS a, l[i + 1] AS b, sum(n)::BIGINT AS n FROM (SELECT l, n, unnest(range(1, len(l))) AS i FROM (SELECT string_split(word, '') AS l, n FROM words)) GROUP BY 1, 2)"
 
 
-def char_pairs(spark, sf_dir, table: str = "benchmark") -> DataFrame:
-    words = plain_words(spark, sf_dir, table).select(F.transform(F.split("word", ""), F.ascii).alias("ids"), "n")
+def char_pairs(spark, sf_dir) -> DataFrame:
+    words = plain_words(spark, sf_dir).select(F.transform(F.split("word", ""), F.ascii).alias("ids"), "n")
     return tr.pair_counts(words)
 
 
@@ -243,35 +315,11 @@ def best_pair(spark, sf_dir):
     return tr.best_pair(char_pairs(spark, sf_dir))
 
 
-# the same over all documents, each with the SQL of its older form but for the table
-def over_documents(name: str) -> str:
-    return SQL[name].replace("FROM benchmark", "FROM documents")
-
-
-@register("alphabet_topk_documents", over_documents("alphabet_topk"))
-def alphabet_topk_documents(spark, sf_dir):
-    return ranked_letters(spark, sf_dir, tr.TrainerOptions(limit_alphabet=20), "documents")
-
-
-@register("alphabet_forced_documents", over_documents("alphabet_forced"))
-def alphabet_forced_documents(spark, sf_dir):
-    return ranked_letters(spark, sf_dir, tr.TrainerOptions(initial_alphabet="za中#"), "documents")
-
-
-@register("pair_counts_documents", over_documents("pair_counts"))
-def pair_counts_documents(spark, sf_dir):
-    return char_pairs(spark, sf_dir, "documents")
-
-
-@register("best_pair_documents", over_documents("best_pair"))
-def best_pair_documents(spark, sf_dir):
-    return tr.best_pair(char_pairs(spark, sf_dir, "documents"))
-
-
-def train_sql(rounds: int, least: int = 1, most_bytes: int = 1 << 30, suffix: str = "") -> str:
-    """Unrolled training: one CTE of pair counts and one of words for each merge; ids break ties."""
+def train_sql(rounds: int, least: int = 1, most_bytes: int = 1 << 30, suffix: str = "", table: str = "benchmark", last: str = "") -> str:
+    """Unrolled training: one CTE of pair counts and one of words for each merge; ids break ties. last: what
+    to select, else the merges."""
     sym = "string_split(word, '')" if not suffix else f"list_transform(range(1, length(word) + 1), lambda i: word[i] || CASE WHEN i = length(word) THEN {lit(suffix)} ELSE '' END)"
-    ctes = [PLAIN, LETTERS, "order0 AS (SELECT c AS t, row_number() OVER (ORDER BY n DESC, ord(c)) AS id FROM letters)"]
+    ctes = [PLAIN.replace("documents", table), LETTERS, "order0 AS (SELECT c AS t, row_number() OVER (ORDER BY n DESC, ord(c)) AS id FROM letters)"]
     if suffix:
         ctes.append(f"comp AS (SELECT t, sum(n) AS n FROM (SELECT unnest({sym}) AS t, n FROM words) WHERE t NOT IN (SELECT t FROM order0) GROUP BY t)")
         ctes.append("ids0 AS (SELECT * FROM order0 UNION ALL SELECT t, (SELECT count(*) FROM order0) + row_number() OVER (ORDER BY n DESC, t) FROM comp)")
@@ -290,12 +338,12 @@ def train_sql(rounds: int, least: int = 1, most_bytes: int = 1 << 30, suffix: st
         ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT coalesce((SELECT replace(e, chr(2) || a || chr(3) || chr(2) || b || chr(3), chr(2) || a || b || chr(3)) FROM p{k} WHERE used), e) AS e, n FROM w{k})")
         done += f" UNION ALL SELECT a, b FROM p{k}"
     every = " UNION ALL ".join(f"SELECT rank::BIGINT AS rank, a, b FROM p{k}" for k in range(rounds))
-    return "WITH " + ",\n".join(ctes) + " " + every
+    return "WITH " + ",\n".join(ctes) + f", merged AS ({every}) " + (last or "SELECT * FROM merged")
 
 
-def trained(o: tr.TrainerOptions, most: int | None = None, **more) -> Query:
+def trained(o: tr.TrainerOptions, most: int | None = None, table: str = "benchmark", **more) -> Query:
     def run(spark, sf_dir):
-        counts = plain_words(spark, sf_dir)
+        counts = plain_words(spark, sf_dir, table)
         if most is not None:  # the vocabulary that leaves room for this many merges
             letters = counts.select(F.explode(F.split("word", "")).alias("c"), F.lit(0).alias("x"))
             if o.end_of_word_suffix:
@@ -322,6 +370,19 @@ def train_distributed(spark, sf_dir):
     return trained(tr.TrainerOptions(min_frequency=1), 12, local_words=0)(spark, sf_dir)
 
 
+register("train_documents", train_sql(8, table="documents"))(trained(tr.TrainerOptions(min_frequency=1), 8, "documents", local_words=0))
+SPECIAL = ("<unk>", "<pad>")
+
+
+@register("train_special_tokens", train_sql(6, last="SELECT unnest([0, 1])::BIGINT AS id, unnest(['<unk>', '<pad>']) AS token UNION ALL SELECT 1 + id, t FROM order0 UNION ALL SELECT 2 + (SELECT count(*) FROM order0) + rank, a || b FROM merged"))
+def train_special_tokens(spark, sf_dir):
+    """The whole vocabulary: special tokens first, then letters, then merges."""
+    counts = plain_words(spark, sf_dir, "benchmark")
+    letters = counts.select(F.explode(F.split("word", ""))).distinct().count()
+    model = tr.train(counts, tr.TrainerOptions(min_frequency=1, special_tokens=SPECIAL, vocab_size=len(SPECIAL) + letters + 6))
+    return spark.createDataFrame([(i, t) for t, i in model.vocab.items()], "id long, token string")
+
+
 # ---- encoding ----------------------------------------------------------------------------------
 def doc_tokens(spark, sf_dir, **options) -> DataFrame:
     return encode(docs(spark, sf_dir), "text", fixed_model(**options), GPT2)
@@ -345,6 +406,29 @@ def encode_offsets(spark, sf_dir):
     return doc_tokens(spark, sf_dir).select("doc_id", digest(spans, " ").alias("offsets_md5"), F.array_max(e["ends"]).cast("long").alias("last_end"))
 
 
+LED_ENCODED = ENCODED.replace(split_sql(), split_sql(LED))
+
+
+def led_sql(start: str, end: str) -> str:
+    """Offsets with a space put in front of texts that have none; e: characters up to a token's end."""
+    return f"""WITH {LED_ENCODED}, o AS (SELECT doc_id, pos, i, sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos, i) AS e, length(token) AS n FROM tok),
+    p AS (SELECT o.*, (text NOT LIKE ' %')::INT AS put FROM o JOIN documents USING (doc_id))
+    SELECT doc_id, md5(string_agg(({start})::BIGINT::VARCHAR || '-' || ({end})::BIGINT::VARCHAR, ' ' ORDER BY pos, i)) AS offsets_md5 FROM p GROUP BY doc_id"""
+
+
+def led_offsets(compat: bool) -> Query:
+    def run(spark, sf_dir):
+        e = F.col("encoding")
+        rows = encode(docs(spark, sf_dir), "text", fixed_model(), pt.ByteLevel(), compat_offsets=compat)
+        return rows.select("doc_id", digest(F.zip_with(e["starts"], e["ends"], lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string"))), " ").alias("offsets_md5"))
+
+    return run
+
+
+register("encode_offsets_prefix", led_sql("greatest(e - n - put, 0)", "greatest(e - put, 0)"))(led_offsets(False))
+register("encode_offsets_compat", led_sql("CASE WHEN pos = 1 THEN e - n ELSE e - n - put END", "CASE WHEN pos = 1 THEN e ELSE e - put END"))(led_offsets(True))
+
+
 @register("encode_native", f"WITH {WORDS} SELECT word, array_to_string({merged_sql(wrapped_sql('word'))}, ' ') AS tokens FROM (SELECT {mapped_sql('word')} AS word FROM words)")
 def encode_native(spark, sf_dir):
     words = tr.word_counts(docs(spark, sf_dir), "text", GPT2)
@@ -426,10 +510,10 @@ register("encode_prefix", variant_sql(_led_symbols, LEDBY, size="CASE WHEN x LIK
 
 
 # ---- vocabularies ------------------------------------------------------------------------------
-LITERAL = {"a": 0, "b": 1, "c": 2, "d": 3, "ab": 4, "abc": 5, "cd": 6}
-LITERAL_MERGES = [("a", "b"), ("b", "x"), ("ab", "c"), ("c", "d"), ("d", "a"), ("a", "b")]
+LITERAL = {"n": 0, "o": 1, "t": 2, "e": 3, "s": 4, "no": 5, "not": 6, "es": 7, "notes": 8}
+LITERAL_MERGES = [("n", "o"), ("o", "?"), ("e", "s"), ("no", "t"), ("t", "n"), ("not", "es"), ("n", "o")]
 V_SQL = "v AS (SELECT unnest([" + ", ".join(map(lit, LITERAL)) + "]) AS token, unnest([" + ", ".join(map(str, LITERAL.values())) + "]) AS id)"
-M_SQL = "m AS (SELECT unnest(range(0, 6)) AS rank, unnest([" + ", ".join(lit(a) for a, _ in LITERAL_MERGES) + "]) AS a, unnest([" + ", ".join(lit(b) for _, b in LITERAL_MERGES) + "]) AS b)"
+M_SQL = "m AS (SELECT unnest(range(0, 7)) AS rank, unnest([" + ", ".join(lit(a) for a, _ in LITERAL_MERGES) + "]) AS a, unnest([" + ", ".join(lit(b) for _, b in LITERAL_MERGES) + "]) AS b)"
 R_SQL = f"WITH {V_SQL}, {M_SQL}, r AS (SELECT x.id AS a_id, y.id AS b_id, max(rank)::INT AS rank, max(z.id)::INT AS merged_id FROM m JOIN v x ON x.token = a JOIN v y ON y.token = b JOIN v z ON z.token = a || b GROUP BY 1, 2)"
 
 
@@ -452,7 +536,7 @@ def vocab_lookup(spark, sf_dir):
 
 # ---- post-processing ---------------------------------------------------------------------------
 CONV = ENCODED.replace("documents", "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)")
-CONV_IDS = f"WITH {CONV}, {IDS}, e AS (SELECT doc_id AS row_id, list(id ORDER BY pos, i) AS ids FROM tok JOIN vocab USING (token) GROUP BY doc_id)"
+CONV_IDS = f"WITH {CONV}, {IDS}, g AS (SELECT doc_id AS row_id, list(id ORDER BY pos, i) AS ids FROM tok JOIN vocab USING (token) GROUP BY doc_id), e AS (SELECT row_id, coalesce(ids, []) AS ids FROM (SELECT conv_id * 1000 + turn AS row_id FROM conversations) LEFT JOIN g USING (row_id))"
 JOINED = "array_to_string(list_transform({l}, lambda x: x::VARCHAR), ' ')"
 
 
@@ -466,7 +550,7 @@ def shown(c: Column) -> Column:
 
 def turn_encodings(tokenizer: Tokenizer, *fields: str) -> Query:
     def run(spark, sf_dir):
-        rows = tokenizer.encode(turns(spark, sf_dir).filter("text <> ''"))
+        rows = tokenizer.encode(turns(spark, sf_dir))
         return rows.select("row_id", *(shown(F.col(f"encoding.{k}")).alias(k) for k in fields))
 
     return run
@@ -493,8 +577,9 @@ register(
     "trim_offsets",
     f"""WITH {CONV}, o AS (SELECT doc_id, pos, i, token, sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos, i) AS e, length(token) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) AS k FROM tok),
     x AS (SELECT *, CASE WHEN k = 1 AND {_lead} = 1 THEN 0 ELSE {_lead} END AS lead, least({_trail}, n - {_lead}) AS trail FROM o),
-    y AS (SELECT *, least(e - n + lead, e) AS s FROM x)
-    SELECT doc_id AS row_id, string_agg(s::BIGINT::VARCHAR, ' ' ORDER BY k) AS starts, string_agg(greatest(e - trail, s)::BIGINT::VARCHAR, ' ' ORDER BY k) AS ends FROM y GROUP BY doc_id""",
+    y AS (SELECT *, least(e - n + lead, e) AS s FROM x),
+    z AS (SELECT doc_id AS row_id, string_agg(s::BIGINT::VARCHAR, ' ' ORDER BY k) AS starts, string_agg(greatest(e - trail, s)::BIGINT::VARCHAR, ' ' ORDER BY k) AS ends FROM y GROUP BY doc_id)
+    SELECT row_id, coalesce(starts, '') AS starts, coalesce(ends, '') AS ends FROM (SELECT conv_id * 1000 + turn AS row_id FROM conversations) LEFT JOIN z USING (row_id)""",
 )(turn_encodings(BASE.with_(post_processor=pt.ByteLevel(True)), "starts", "ends"))
 
 
@@ -505,29 +590,14 @@ def roundtrip(spark, sf_dir):
     return BASE.decode(rows, "ids", skip_special_tokens=False).select("doc_id", "decoded")
 
 
-@register("decode_ids", f"{CONV_IDS} SELECT doc_id AS row_id, text AS decoded FROM (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations) WHERE text <> ''")
+@register("decode_ids", "SELECT doc_id, text AS decoded FROM documents")
 def decode_ids(spark, sf_dir):
-    rows = BASE.encode(turns(spark, sf_dir).filter("text <> ''")).select("row_id", F.concat("encoding.ids", F.array(F.lit(99_999))).alias("ids"))
-    return BASE.decode(rows, "ids", skip_special_tokens=False).select("row_id", "decoded")
-
-
-@register("decode_ids_documents", "SELECT doc_id, text AS decoded FROM documents")
-def decode_ids_documents(spark, sf_dir):
     rows = BASE.encode(docs(spark, sf_dir)).select("doc_id", F.concat("encoding.ids", F.array(F.lit(99_999))).alias("ids"))
     return BASE.decode(rows, "ids", skip_special_tokens=False).select("doc_id", "decoded")
 
 
-@register("decode_skip_special", "SELECT item_id, regexp_replace(text, ' [^ ]*', '', 'g') AS kept, text AS every FROM benchmark WHERE NOT regexp_matches(text, '[^\\x20-\\x7e]')")
+@register("decode_skip_special", "SELECT doc_id, CASE WHEN split_part(text, ' ', 1) LIKE '<%' AND split_part(text, ' ', 1) LIKE '%>' THEN '' ELSE split_part(text, ' ', 1) END AS kept, text AS every FROM documents")
 def decode_skip_special(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter(~F.col("text").rlike("[^\\x20-\\x7e]"))
-    words = F.split("text", " ")
-    marked = F.flatten(F.transform(words, lambda w, i: F.when(i == 0, F.array(w)).otherwise(F.array(F.lit("<s>"), F.concat(F.lit("<"), w, F.lit(">"))))))
-    every = F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.lit("Ġ"), w)))
-    return rows.select("item_id", dc.decode_text(marked).alias("kept"), dc.decode_text(every, False).alias("every"))
-
-
-@register("decode_skip_special_documents", "SELECT doc_id, CASE WHEN split_part(text, ' ', 1) LIKE '<%' AND split_part(text, ' ', 1) LIKE '%>' THEN '' ELSE split_part(text, ' ', 1) END AS kept, text AS every FROM documents")
-def decode_skip_special_documents(spark, sf_dir):
     """Words as byte characters, so that any text can be told in tokens."""
     words = F.transform(F.split("text", " ", -1), bc.byte_chars)
     marked = F.flatten(F.transform(words, lambda w, i: F.when(i == 0, F.array(w)).otherwise(F.array(F.lit("<s>"), F.concat(F.lit("<"), w, F.lit(">"))))))
@@ -553,9 +623,14 @@ def model_io_roundtrip(spark, sf_dir):
 def streamed(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/benchmark.parquet*")
-    name = f"counts_{uuid.uuid4().hex}"
-    stream_word_counts(stream, "text", BLANKS).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(counts: DataFrame, batch: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{folder}/counts")
+
+    counts = stream_word_counts(stream, "text", BLANKS).writeStream.outputMode("complete").foreachBatch(put)
+    counts.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("word string, n long").parquet(f"{folder}/counts")
 
 
 @register("tokens_per_lang", f"WITH {ENCODED.replace('SELECT doc_id, ' + split_sql(), 'SELECT doc_id, ' + split_sql())} SELECT lang, count(DISTINCT doc_id) AS n_docs, count(*) AS n_tokens FROM tok JOIN documents USING (doc_id) GROUP BY lang")
