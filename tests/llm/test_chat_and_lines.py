@@ -126,6 +126,21 @@ def test_lines_by_hand(spark):
     assert lines.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_untouched_documents_are_told_apart(spark, monkeypatch):
+    """The bits lose no document, and with too few of them the result is the same."""
+    df = spark.range(3000).select(F.col("id").alias("_id"), F.xxhash64("id").alias("_key"))
+    found = df.filter("_id % 7 = 0")
+    held = lines.with_maybe(df, found)
+    assert held.filter("_id % 7 = 0 AND NOT _maybe").isEmpty() and held.filter("_maybe").count() < 700 and held.count() == 3000
+    nulls = spark.createDataFrame([(None, 5), (1, 6)], "_id long, _key long")
+    assert lines.with_maybe(nulls, nulls).filter("_maybe").count() == 2 and lines.with_maybe(nulls, nulls.limit(0)).filter("_maybe").isEmpty()
+    rows = [(i, f"a{i % 40}\nb{i % 40}\nc{i % 40}\nd{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(lines, "MOST_BITS", 1)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
+    assert got == {k[0]: t for k, t in dedup_by_hand(rows).items()}
+
+
 def test_chunks_tile_the_text(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
     for r in lines.chunked(df).select("text", "chunks").collect():

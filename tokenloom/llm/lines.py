@@ -18,6 +18,8 @@ from .common import cut
 
 #: Of the rows of chunks, the share above which a hash is joined apart is one in so many.
 HOT = 2000
+#: Bits that are broadcast to tell documents without repeated chunks, at most (64 MB).
+MOST_BITS = 1 << 29
 
 
 def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -78,15 +80,30 @@ def own_columns(docs: DataFrame) -> list[str]:
     return [c for c in docs.columns if c not in ("removed_lines", "removed_chunks")]
 
 
-def marked(docs: DataFrame, text: str, hash_bits: int) -> DataFrame:
-    """docs as _row, with gone: the numbers of the chunks that occur before."""
-    own = own_columns(docs)
-    # documents ride in a struct, so that no column of theirs can clash with the working ones
-    base = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("text"))
-    found = repeated_by_hash(base.filter(F.contains("text", F.lit("\n"))).select("_id", "_key", "text"), hash_bits)
+def place(bits: int) -> Column:
+    return F.pmod(F.xxhash64("_id", "_key"), F.lit(bits))
+
+
+def with_maybe(base: DataFrame, found: DataFrame) -> DataFrame:
+    """base with _maybe: whether it may be one of found, by one bit of a hash of its key; never false for one.
+
+    The bits are rows of 4 KB, and at most MOST_BITS of them are broadcast, about 16 for each of found while
+    these are few. With very many more, more rows are a maybe and are shuffled for nothing, at worst all.
+    """
+    bits = 1 << 15
+    while bits < min(16 * found.count(), MOST_BITS):
+        bits *= 2
+    set_bits = found.select(place(bits).alias("bit")).groupBy(F.shiftright("bit", 15).alias("_row_of_bits")).agg(F.bitmap_construct_agg(F.col("bit") % (1 << 15)).alias("_bits"))
+    held = base.withColumn("_bit", place(bits)).withColumn("_row_of_bits", F.shiftright("_bit", 15)).join(F.broadcast(set_bits), "_row_of_bits", "left")
+    at = (F.col("_bit") % (1 << 15)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return held.withColumn("_maybe", F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop("_bit", "_row_of_bits", "_bits")
+
+
+def marked(base: DataFrame, found: DataFrame, text: str) -> DataFrame:
+    """base (_row, _id, _key) with gone: the numbers of the chunks that occur before."""
     right = found.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "found")
-    joined = base.select("_row", "_id", "_key").join(right.hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left").drop("_i", "_k")
-    joined = joined.withColumn("found", F.when(F.col(f"_row.{text}") != "", F.col("found")))
+    joined = base.join(right.hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left").drop("_i", "_k")
     joined, _ = cut(joined)
     held = joined.filter("found IS NOT NULL").select("_id", "_key", "found", F.col(f"_row.{text}").alias("text"))
     some = chunked(held).select("_id", "_key", F.explode(F.transform("found", lambda x: F.struct(x["number"].alias("number"), x["hash"].alias("hash"), x["first"].alias("first"), F.get("chunks", x["number"])["text"].alias("bytes")))).alias("c")).select("_id", "_key", "c.*")
@@ -108,21 +125,29 @@ def dedup_lines(docs: DataFrame, text: str = "text", hash_bits: int = 62) -> Dat
 
     Null and empty texts stay as they are and count for nothing; blank chunks, and chunks of one line, are
     never removed. Rows that repeat doc_id and text are one document: what the first occurrence keeps, all
-    of them keep. Other columns stay; removed_lines and removed_chunks are replaced.
+    of them keep. Other columns stay; removed_lines and removed_chunks are replaced. An empty table gives
+    no rows; very long texts take time in proportion to their length.
 
-    Chunks are found by hash and joined to their documents, the one shuffle of whole texts; then the
-    bytes of the chunks of each hash are compared. Where they differ (a clash of hashes), the chunks of
-    that hash are worked out again by their bytes.
+    Chunks are found by hash. Documents without a repeated chunk are told by a bitmap and stay where they
+    are; the others are joined to their chunks, the one shuffle of texts, and the bytes of the chunks of
+    each hash are compared. Where they differ (a clash of hashes), the chunks of that hash are worked out
+    again by their bytes.
     """
     own = own_columns(docs)
-    joined = marked(docs, text, hash_bits)
+    # documents ride in a struct, so that no column of theirs can clash with the working ones
+    base = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("text"))
+    found, _ = cut(repeated_by_hash(base.filter(F.contains("text", F.lit("\n"))).select("_id", "_key", "text"), hash_bits))
+    base = with_maybe(base.drop("text"), found)
+    rest = base.filter(~F.col("_maybe")).select("_row.*", F.lit(0).alias("removed_lines"), F.lit(0).alias("removed_chunks"))
+    joined = marked(base.filter("_maybe").select("_row", "_id", "_key"), found, text)
     split = chunked(joined.withColumn("_text", F.when(F.size("gone") > 0, F.col(f"_row.{text}"))), "_text")
     left = F.filter("chunks", lambda x, i: ~F.array_contains(F.col("gone"), i))
     removed = F.filter("chunks", lambda x, i: F.array_contains(F.col("gone"), i))
     touched = F.size("gone") > 0
     new = F.when(touched, F.array_join(F.transform(left, lambda x: x["text"]), "\n")).otherwise(F.col(f"_row.{text}"))
     lines = F.when(touched, F.aggregate(removed, F.lit(0), lambda a, x: a + line_count(x["text"]))).otherwise(0)
-    return split.select(*[new.alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in own], lines.alias("removed_lines"), F.size("gone").alias("removed_chunks"))
+    done = split.select(*[new.alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in own], lines.alias("removed_lines"), F.size("gone").alias("removed_chunks"))
+    return rest.unionByName(done)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
