@@ -180,21 +180,35 @@ class PrefixCounter:
     def truncate(self, text: str, budget: int) -> int:
         """Code points of the longest prefix that is a text of at most so many tokens.
 
-        Counts at the ends of pieces never fall, so what follows the first piece over the budget is not read.
+        Counts at the ends of pieces never fall, so the prefix ends near the first piece over the budget:
+        what follows it is not read, and only prefixes from the last settled places on are looked up.
         """
-        total = 0
+        total, known = 0, self.counts.get
+        last = before = (0, 0)  # the last two places that no longer text can split elsewhere, and tokens before them
+
+        def found(end: int) -> int:
+            start, spent = before
+            return start + PrefixTable(self, text[start:end]).truncate(budget - spent)
+
         for at, part, special in self.parts(text):
             if special:
                 total += 1
                 if total > budget:
-                    return PrefixTable(self, text[: at + len(part)]).truncate(budget)
+                    return found(at + len(part))
+                last, before = (at + len(part), total), last
                 continue
+            after_space = False
             for m in self.split.finditer(part):
-                total += self.piece_count(m[0])
+                piece = m[0]
+                if not after_space:
+                    last, before = (at + m.start(), total), last
+                n = known(piece)
+                total += self.piece_count(piece) if n is None else n
                 # white space may go with what follows it, so only the end of another piece settles it
-                if total > budget and not m[0].isspace():
-                    return PrefixTable(self, text[: at + m.end()]).truncate(budget)
-        return PrefixTable(self, text).truncate(budget) if total > budget else len(text)
+                after_space = piece.isspace()
+                if total > budget and not after_space:
+                    return found(at + m.end())
+        return found(len(text)) if total > budget else len(text)
 
 
 class PrefixTable:
