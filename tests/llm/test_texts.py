@@ -1,6 +1,8 @@
+import math
 import random
 import time
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -224,6 +226,71 @@ def test_nn_risk_separates(tmp_path):
     assert (z[:700] > 0).mean() > 0.97 and (z[700:] < 0).mean() > 0.97
 
 
+def features_by_hand(text):
+    raw = (text or "").encode("utf-8", "replace")
+    words = raw.split()
+    if not words:
+        return [0.0] * 270
+    lines = raw.split(b"\n")
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / len(words)
+    share = lambda test: sum(map(test, words)) / len(words)
+    return [(raw.count(bytes([b])) / len(raw)) ** 0.5 for b in range(256)] + [
+        min(math.log(1 + len(words)) / 8, 1.5),
+        len(set(words)) / len(words),
+        max(Counter(words).values()) / len(words),
+        sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / len(words),
+        share(lambda w: chr(w[-1]) in "*#%&$!|"),
+        mean / 10,
+        (sum((n - mean) ** 2 for n in lengths) / len(words)) ** 0.5 / 10,
+        share(lambda w: len(w) == 1),
+        share(lambda w: len(w) > 20),
+        share(bytes.isupper),
+        len(set(lines)) / len(lines),
+        min(len(raw) / len(lines) / 500, 4),
+        sum(not x.strip() for x in lines) / len(lines),
+        1.0,
+    ]
+
+
+def risk(w, p, u, prior, decay):
+    """The non-negative unbiased risk, one text at a time."""
+    loss = lambda x, sign: math.log1p(math.exp(-sign * (sum(a * b for a, b in zip(x, w)) + w[-1])))
+    mean = lambda rows, sign: sum(loss(x, sign) for x in rows) / len(rows)
+    return prior * mean(p, 1) + max(0.0, mean(u, -1) - prior * mean(p, -1)) + decay / 2 * sum(a * a for a in w[:-1])
+
+
+def test_the_risk_is_minimised():
+    rng = np.random.default_rng(4)
+    p, u, prior, decay = rng.normal(0.5, 1, (30, 3)), np.r_[rng.normal(0.5, 1, (20, 3)), rng.normal(-0.7, 1, (30, 3))], 0.4, 0.05
+    first, bias = ql.descend(p, u, prior, decay, steps=1)
+    slope = [(risk(np.eye(4)[k] * 1e-5, p, u, prior, decay) - risk(np.eye(4)[k] * -1e-5, p, u, prior, decay)) / 2e-5 for k in range(4)]
+    assert np.sign([*first, bias]) == pytest.approx(-np.sign(slope))  # the first step goes down each slope
+    w, bias = ql.descend(p, u, prior, decay, steps=2000, rate=0.01)
+    least = risk([*w, bias], p, u, prior, decay)
+    assert all(risk(np.r_[w, bias] + rng.normal(size=4) * 0.05, p, u, prior, decay) >= least - 1e-4 for _ in range(60))
+
+
+def test_op10_by_hand(spark, sf_dir):
+    """Features, folds, samples and scores said plainly; the fit itself is checked above."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    x = {i: np.array(features_by_hand(t), np.float32) for i, t in docs.items()}
+    assert all(np.allclose(x[i], ql.features(t), atol=1e-6) for i, t in docs.items())
+    learned_from = sorted(i for i in docs if zlib.crc32(str(i).encode()) % 5)
+    model = ql.fit(np.array([x[i] for i in learned_from if labels.get(i) == 1]), np.array([x[i] for i in learned_from]))
+    got = ql.op10_quality_classifier(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in got} == set(docs)
+    for r in got:
+        score = 1 / (1 + math.exp(-float(np.clip((x[r["doc_id"]] - model.mean) / model.scale, -8, 8) @ model.weights + model.bias)))
+        assert r["score"] == pytest.approx(score, abs=1e-3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.3)
+
+
+@pytest.mark.parametrize("text", [None, "", " \n\t", "ONE", "a a a b!", "\u00e9 \u4e2d\n\nx|", "w" * 30 + " #", "\ud800 x"])
+def test_features_of_odd_texts(text):
+    assert np.allclose(ql.features(text), features_by_hand(text), atol=1e-6)
+
+
 def test_fold_rule(spark):
     got = spark.range(200).select("id", ql.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) == (ql.fold_of(r["id"]) == 0) for r in got)
