@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import cut
+from tokenloom.llm.common import cut, forget
 from tokenloom.llm.decontaminate import drop_contaminated
 from tokenloom.llm.lines import dedup_lines
 from tokenloom.llm.mixing import mix
@@ -18,11 +18,12 @@ from tokenloom.llm.simhash import SimHash, drop_near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bytes of texts that a Python worker gets at once; the workers of an executor live beside its heap.
-BATCH = "16m"
+BATCH, BATCH_KEY = "16m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    """Must hold when a stage's frame is run, so a stage leaves it set; run() puts back what was."""
+    spark.conf.set(BATCH_KEY, BATCH)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs, _ = cut(stage(spark, docs, sf_dir))
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    before = spark.conf.get(BATCH_KEY)
+    try:
+        for _, stage in STAGES[:-1]:
+            old = path
+            docs, path = cut(stage(spark, docs, sf_dir))
+            if old:
+                forget(spark, old)
+    finally:
+        spark.conf.set(BATCH_KEY, before)
     return STAGES[-1][1](spark, docs, sf_dir)
