@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytechars import chars_to_bytes
+from ..functions.bytechars import chars_to_bytes, chars_to_text
 from .model import Bpe
 
 #: Vocabularies up to this size are looked up in a map literal, larger ones by a join.
@@ -47,4 +47,7 @@ def decode_text(tokens: Column, skip_special: bool = True) -> Column:
 
 
 def decode(df: DataFrame, ids: str, model: Bpe, skip_special: bool = True, out: str = "decoded") -> DataFrame:
-    return tokens_of(df, ids, model, out="_tokens").withColumn(out, decode_text(F.col("_tokens"), skip_special)).drop("_tokens")
+    tokens = tokens_of(df, ids, model, out="_tokens")
+    # joined in a column of its own: what follows names it more than once
+    joined = tokens.withColumn("_joined", F.array_join(without_special(F.col("_tokens")) if skip_special else F.col("_tokens"), ""))
+    return joined.withColumn(out, chars_to_text(F.col("_joined"))).drop("_tokens", "_joined")

@@ -304,10 +304,19 @@ def _spark(state: _State, words: DataFrame, folder: str, top: int = 2000) -> Non
 def train(counts: DataFrame, o: TrainerOptions, options: Options | None = None, local_words: int = 2_000_000, folder: str | None = None) -> Bpe:
     """A model from word counts (word, n). Nothing counted is an error.
 
-    The driver holds at most local_words distinct words; with more, folder (shared by the executors, by
-    default the one of shared_dir()) takes the words and each round is a job. The alphabet is at most all
-    of Unicode, and it and its forms with prefix and suffix are all else that the driver holds.
+    The counts are written to folder (shared by the executors, by default the one of shared_dir()), so that
+    the corpus is read once. The driver holds at most local_words distinct words; with more, the words stay
+    there and each round is a job. The alphabet is at most all of Unicode, and it and its forms with prefix
+    and suffix are all else that the driver holds.
     """
+    counts, path = cut(counts.select("word", "n"), folder)
+    try:
+        return _trained(counts, o, options, local_words, folder)
+    finally:
+        forget(counts.sparkSession, path)
+
+
+def _trained(counts: DataFrame, o: TrainerOptions, options: Options | None, local_words: int, folder: str | None) -> Bpe:
     distinct = counts.count()
     if not distinct:
         raise ValueError("nothing was counted; feed texts first")

@@ -20,7 +20,7 @@ from .operators.encode import encode, encode_pieces, native_tokens
 from .operators.model import Bpe, Options, resolve_merges
 from .plans.tokenizer import Tokenizer
 from .sources import files
-from .sources.tables import read_table, shared_dir
+from .sources.tables import cut, read_table, shared_dir
 from .streaming.counts import stream_word_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -278,7 +278,7 @@ BLANKS = pt.Split("[ \n]+", True, "Removed")
 
 
 def plain_words(spark, sf_dir, table: str = "documents") -> DataFrame:
-    return tr.word_counts(spark.read.parquet(f"{sf_dir}/{table}.parquet"), "text", BLANKS)
+    return tr.word_counts(read_table(spark, sf_dir, table, "text"), "text", BLANKS)
 
 
 def ranked_letters(spark, sf_dir, o: tr.TrainerOptions) -> DataFrame:
@@ -343,7 +343,7 @@ def train_sql(rounds: int, least: int = 1, most_bytes: int = 1 << 30, suffix: st
 
 def trained(o: tr.TrainerOptions, most: int | None = None, table: str = "benchmark", **more) -> Query:
     def run(spark, sf_dir):
-        counts = plain_words(spark, sf_dir, table)
+        counts, _ = cut(plain_words(spark, sf_dir, table))
         if most is not None:  # the vocabulary that leaves room for this many merges
             letters = counts.select(F.explode(F.split("word", "")).alias("c"), F.lit(0).alias("x"))
             if o.end_of_word_suffix:
