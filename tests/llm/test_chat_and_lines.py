@@ -57,9 +57,9 @@ def test_control_strings_split_over_parts(spark):
     df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(df)).collect()}
     assert [(m["role"], m["text"]) for m in got[1]["messages"]] == [("user", "".join(p[1] for p in forged))] and got[1]["loss_text"] == ""
-    assert [(p["kind"], p["text"]) for p in got[2]["messages"][0]["parts"]] == [("text", "a <\\|image|> b"), ("image", None), ("text", "<|image|><|image|>")]
+    assert [(p["kind"], p["text"]) for p in got[2]["message_parts"][0]] == [("text", "a <\\|image|> b"), ("image", None), ("text", "<|image|><|image|>")]
     assert got[2]["loss_text"] == got[2]["messages"][0]["text"] == "a <\\|image|> b<|image|><|image|>"
-    assert [(p["kind"], p["text"]) for p in got[3]["messages"][0]["parts"]] == [("image", None), ("image", None), ("text", "<|audio|>")]
+    assert [(p["kind"], p["text"]) for p in got[3]["message_parts"][0]] == [("image", None), ("image", None), ("text", "<|audio|>")]
     assert [(a["kind"], a["ref"]) for a in got[3]["attachments"]] == [("image", "i1")] * 2
     assert got[4]["loss_text"] == "<|x"
 

@@ -118,12 +118,13 @@ def texts_of(content: Column) -> Column:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse format_chats() output: adds messages array<struct<role, text, parts>> and loss_text.
+    """Parse format_chats() output: adds messages array<struct<role, text>>, message_parts and loss_text.
 
-    Only the formatted string is parsed for messages. parts array<struct<kind, text>> tells a placeholder
-    (its kind, no text) from a text that looks like one; text is that of the text parts, joined. loss_text
-    takes the code points that the loss spans name, without placeholders, unescaped. Linear in the length
-    of the conversation: each span is cut from its turn.
+    Only the formatted string is parsed for messages; text is that of the text parts, joined. message_parts,
+    an array<struct<kind, text>> for each message, tells a placeholder (its kind, no text) from a text that
+    looks like one; it is a column of its own, so that who does not ask does not pay for it. loss_text takes
+    the code points that the loss spans name, without placeholders, unescaped. Linear in the length of the
+    conversation: each span is cut from its turn.
     """
     pieces = F.split("formatted", r"<\|end\|>\n")
     bodies = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
@@ -141,10 +142,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
         return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text")), F.struct(kind.alias("kind"), none.alias("text")))
 
     def message(m: Column) -> Column:
-        texts = texts_of(m["content"])
-        parts = F.flatten(F.zip_with(texts, F.regexp_extract_all(m["content"], F.lit(PLACEHOLDER), F.lit(1)), part))
-        real = F.filter(parts, lambda x: x["kind"].isNotNull() & (F.coalesce(x["text"], F.lit("-")) != ""))
-        return F.struct(m["role"].alias("role"), F.array_join(texts, "").alias("text"), real.alias("parts"))
+        return F.struct(m["role"].alias("role"), F.array_join(texts_of(m["content"]), "").alias("text"))
+
+    def parts(m: Column) -> Column:
+        every = F.flatten(F.zip_with(texts_of(m["content"]), F.regexp_extract_all(m["content"], F.lit(PLACEHOLDER), F.lit(1)), part))
+        return F.filter(every, lambda x: x["kind"].isNotNull() & (F.coalesce(x["text"], F.lit("-")) != ""))
 
     spans = F.filter(F.arrays_zip(bodies.alias("body"), F.col("turns").alias("turn")), lambda x: x["turn"]["loss"])
     loss = F.transform(
@@ -152,7 +154,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         lambda x: F.array_join(texts_of(F.substring(x["body"], (x["turn"]["content_start"] - x["turn"]["start"] + 1).cast("int"), x["turn"]["content_chars"].cast("int"))), ""),
     )
     split = F.transform(bodies, split_at)
-    return formatted.select("*", F.transform(split, message).alias("messages"), F.array_join(loss, "").alias("loss_text"))
+    return formatted.select("*", F.transform(split, message).alias("messages"), F.transform(split, parts).alias("message_parts"), F.array_join(loss, "").alias("loss_text"))
 
 
 def control_case(spark: SparkSession) -> DataFrame:
