@@ -41,3 +41,22 @@ def test_cut_and_forget(spark, tmp_path):
     assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
     tables.forget(spark, path)
     assert not os.path.exists(path)
+
+
+def test_scratch_goes_at_the_end(spark, tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+from tokenloom.sources import tables
+s = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", "{tmp_path}").config("spark.ui.enabled", "false").getOrCreate()
+with open(tables.scratch(s, "x.json"), "w") as f:
+    f.write("x")
+tables.cut(s.range(3))
+import os
+assert len(os.listdir("{tmp_path}")) >= 2
+s.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, env=os.environ, timeout=120, capture_output=True)
+    assert not [x for x in os.listdir(tmp_path) if x.startswith("cut-") or len(x) == 32]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import string
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,7 +19,7 @@ from .operators.encode import encode, encode_pieces, native_tokens
 from .operators.model import Bpe, Options, resolve_merges
 from .plans.tokenizer import Tokenizer
 from .sources import files
-from .sources.tables import cut, read_table, shared_dir
+from .sources.tables import cut, read_table, scratch
 from .streaming.counts import stream_word_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,7 +241,7 @@ SPLIT_FILE = {
 @register("pretok_from_file", pieces_sql(each_mapped("regexp_extract_all(text, '[0-9]+|[^0-9,]+')")))
 def pretok_from_file(spark, sf_dir):
     """Splits by what a tokenizer file says: a Split without a pattern is none, one without behavior isolates."""
-    path = f"{shared_dir(spark)}/split-{uuid.uuid4().hex}.json"
+    path = scratch(spark, "split.json")
     files.write_text(spark, path, json.dumps(SPLIT_FILE))
     return pieces_query(Tokenizer.from_file(spark, path).pre_tokenizer)(spark, sf_dir)
 
@@ -608,7 +607,7 @@ def decode_skip_special(spark, sf_dir):
 # ---- files, streams, flagship ------------------------------------------------------------------
 @register("model_io_roundtrip", f"WITH {ENCODED} SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id")
 def model_io_roundtrip(spark, sf_dir):
-    folder = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    folder = scratch(spark, "model")
     tokenizer = Tokenizer(fixed_model(), nz.sequence(nz.identity()), GPT2, GPT2)
     tokenizer.to_file(spark, f"{folder}/tokenizer.json")
     tokenizer.to_vocab_merges(spark, folder)
@@ -623,7 +622,7 @@ def model_io_roundtrip(spark, sf_dir):
 def streamed(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/benchmark.parquet*")
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
 
     def put(counts: DataFrame, batch: int) -> None:
         counts.write.mode("overwrite").parquet(f"{folder}/counts")

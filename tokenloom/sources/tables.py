@@ -47,6 +47,15 @@ def _filed(spark: SparkSession, path: str) -> tuple:
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of this name in a new folder of the shared one; the folder goes when the application ends."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    where, files = _filed(spark, folder)
+    files.mkdirs(where)
+    files.deleteOnExit(where)  # only takes what is there
+    return f"{folder}/{name}"
+
+
 def cut(df: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back: (frame without lineage, path).
 
