@@ -19,7 +19,7 @@ from .model import MAX_CACHED_LENGTH, Bpe
 from .pretokenize import unwritten
 
 ENCODED = "struct<ids:array<int>,tokens:array<string>,starts:array<int>,ends:array<int>>"
-OPEN, CLOSE = "\x02", "\x03"
+OPEN, CLOSE, MISSED = "\x02", "\x03", "\x04"
 
 
 class Words:
@@ -147,8 +147,8 @@ def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out:
 def native_tokens(piece: Column, model: Bpe) -> Column:
     """array<string> of the tokens of one piece without a UDF; the merges must be rank-monotone.
 
-    Symbols stand between two control characters that the piece must not hold, and each merge, in
-    order, is one replacement. Meant for up to a few hundred merges.
+    Symbols stand between control characters that the piece must not hold, and each merge, in order, is one
+    replacement. Every step is named once, so none is worked out twice. Meant for up to a few hundred merges.
     """
     o = model.options
     if not model.rank_monotone or o.dropout or o.byte_fallback or o.fuse_unk:
@@ -158,15 +158,15 @@ def native_tokens(piece: Column, model: Bpe) -> Column:
     if prefix or suffix:
         chars = F.transform(chars, lambda c, i: F.concat(F.when(i > 0, prefix).otherwise(""), c, F.when(i == F.length(piece) - 1, suffix).otherwise("")))
     single = F.array(*(F.lit(t) for t in sorted(model.vocab) if len(t) <= 1 + len(prefix) + len(suffix)))
-    unk = F.lit(o.unk_token if o.unk_token in model.vocab else None).cast("string")
+    unk = F.lit(o.unk_token if o.unk_token in model.vocab else MISSED)
     chars = F.transform(chars, lambda c: F.when(F.array_contains(single, c), c).otherwise(unk))
     rules = [(f"{OPEN}{a}{CLOSE}{OPEN}{b}{CLOSE}", f"{OPEN}{model.joined(a, b)}{CLOSE}") for a, b in model.merges_list()]
     start = F.concat(F.lit(OPEN), F.array_join(chars, CLOSE + OPEN), F.lit(CLOSE))
     steps = F.array(*(F.struct(F.lit(f).alias("f"), F.lit(t).alias("t")) for f, t in rules)) if rules else None
     done = F.aggregate(steps, start, lambda acc, m: F.replace(acc, m["f"], m["t"])) if rules else start
-    tokens = F.split(F.substring(done, F.lit(2), F.length(done) - 2), CLOSE + OPEN)
-    hard_miss = F.exists(chars, lambda c: c.isNull())
-    out = F.when((piece == "") | hard_miss, F.array().cast("array<string>")).otherwise(tokens)
+    none = F.array().cast("array<string>")
+    tokens = F.transform(F.array(done), lambda d: F.when(F.contains(d, F.lit(MISSED)), none).otherwise(F.split(F.btrim(d, F.lit(OPEN + CLOSE)), CLOSE + OPEN)))
+    out = F.when(piece == "", none).otherwise(F.get(tokens, 0))
     if o.ignore_merges:
         entire = F.array(*(F.lit(t) for t in sorted(model.vocab)))
         out = F.when(F.array_contains(entire, piece), F.array(piece)).otherwise(out)
