@@ -11,27 +11,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bytechars import map_bytes
-from .model import MAX_CACHED_LENGTH, Bpe
-from .pretokenize import unwritten
+from .model import MAX_CACHED_LENGTH, NO_RANK, Bpe, merge_with_dropout
+from .pretokenize import PIECE, unwritten
 
 ENCODED = "struct<ids:array<int>,tokens:array<string>,starts:array<int>,ends:array<int>>"
 OPEN, CLOSE, MISSED = "\x02", "\x03", "\x04"
+#: Bytes of text that are encoded at once: Spark's batches are larger, and tokens take many times their bytes.
+PORTION = 1 << 20
+
+
+def portions(texts: pa.Array, most: int = PORTION) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of rows with up to `most` bytes, or of one row that has more."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(ends):
+        till = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, till - at
+        at = till
+
+
+class Pieces:
+    """Pieces of a run of rows, from struct<text, sizes, marks>: the text of each row is cut by the bytes of
+    its pieces, without a copy; a mark is twice the bytes put in front, and one more if the piece is removed."""
+
+    def __init__(self, rows: pa.StructArray):
+        text, sizes = rows.field("text").cast(pa.string()), rows.field("sizes")
+        self.lengths = sizes.value_lengths().fill_null(0).to_numpy()
+        size, marks = sizes.flatten().to_numpy(), rows.field("marks").flatten().to_numpy()
+        bounds = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, 4 * text.offset)
+        ends = (int(bounds[0]) + np.r_[0, np.cumsum(size, dtype=np.int64)]).astype(np.int32)
+        self.texts = pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), text.buffers()[2])
+        self.kept, self.put = marks % 2 == 0, (marks // 2).astype(np.int64)
+
+
+def raw_of(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, bytes of each)."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    held = texts.buffers()[2]
+    return np.frombuffer(held, np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8), np.diff(bounds)
 
 
 class Words:
-    """Encodes batches of piece arrays. Each distinct piece of a batch is encoded once, or taken from the
-    memory; the rest is array arithmetic."""
+    """Encodes batches of piece arrays, each distinct piece of a batch once. Pieces whose symbols are their
+    bytes are merged as arrays; others one by one, or taken from the memory."""
 
     def __init__(self, model: Bpe, mapped: bool, memory: int, write: bool = False, compat: bool = False):
         """mapped: a character of a piece is one byte; write: pieces are plain text, to be so written; compat:
         a space put in front counts as a byte of its piece."""
         self.model, self.mapped, self.memory, self.write, self.compat = model, mapped or write, memory, write, compat
         self.known: dict[str, tuple[list[int], list[int]]] = {}
-        self.ids = np.array(sorted(model.tokens), np.int64)
+        self.by_bytes = write and model.byte_symbols is not None
+        self.ids = model.pairs.ids
         self.tokens = pa.array([model.tokens[i] for i in self.ids.tolist()], pa.string())
 
     def sizes(self, piece: str, got: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -60,21 +95,26 @@ class Words:
                 self.known[piece] = got
         return got
 
-    def batch(self, rows: pa.Array) -> pa.Array:
-        flat = rows.flatten()
-        lengths = rows.value_lengths().fill_null(0).to_numpy()
-        coded = flat.field("t").dictionary_encode()
+    def batch(self, rows: pa.StructArray) -> pa.Array:
+        given = Pieces(rows)
+        coded = given.texts.dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
+        if self.by_bytes:
+            raw, unit = raw_of(coded.dictionary)
+            symbols, sizes, many = self.model.byte_symbols[raw], np.ones(len(raw), np.int32), unit.astype(np.int64)
+            if self.model.options.dropout != 1:  # it drops every merge
+                symbols, sizes, many = self.model.pairs.merge_all(symbols, unit, self.model.table)
+            return self.gathered(given.lengths, index, given.kept, given.put, unit.astype(np.int64), many, np.cumsum(many) - many, self.ids[symbols], sizes.astype(np.int64))
         pieces = coded.dictionary.to_pylist()
         encoded = [self.word(x) for x in pieces]
         unit = np.array([self.unit(x) for x in pieces], np.int64)
         many = np.array([len(i) for i, _ in encoded], np.int64)
         first = np.cumsum(many) - many
         return self.gathered(
-            lengths,
+            given.lengths,
             index,
-            flat.field("k").to_numpy(zero_copy_only=False),
-            flat.field("p").to_numpy().astype(np.int64),
+            given.kept,
+            given.put,
             unit,
             many,
             first,
@@ -82,16 +122,36 @@ class Words:
             np.fromiter((n for _, x in encoded for n in x), np.int64, int(many.sum())),
         )
 
-    def one_by_one(self, rows: pa.Array, seeds: list) -> pa.Array:
+    def one_by_one(self, rows: pa.StructArray, seeds: list) -> pa.Array:
         """As batch(), every piece encoded by itself with a random source of its row's seed and position."""
-        flat = rows.flatten()
-        lengths = rows.value_lengths().fill_null(0).to_numpy()
-        pieces = flat.field("t").to_pylist()
-        where = ((s, pos) for s, n in zip(seeds, lengths.tolist()) for pos in range(n))
-        encoded = [self.encoded(x, random.Random(f"{s}:{pos}")) for x, (s, pos) in zip(pieces, where)]
-        unit = np.array([self.unit(x) for x in pieces], np.int64)
+        given = Pieces(rows)
+        where = ((s, pos) for s, n in zip(seeds, given.lengths.tolist()) for pos in range(n))
+        if self.by_bytes:
+            raw, unit = raw_of(given.texts)
+            encoded = self.dropped(raw, unit, where)
+        else:
+            pieces = given.texts.to_pylist()
+            encoded = [self.encoded(x, random.Random(f"{s}:{pos}")) for x, (s, pos) in zip(pieces, where)]
+            unit = np.array([self.unit(x) for x in pieces], np.int64)
         many = np.array([len(i) for i, _ in encoded], np.int64)
-        return self.gathered(lengths, np.arange(len(pieces)), flat.field("k").to_numpy(zero_copy_only=False), flat.field("p").to_numpy().astype(np.int64), unit, many, np.cumsum(many) - many, np.array([i for x, _ in encoded for i in x], np.int64), np.array([n for _, x in encoded for n in x], np.int64))
+        return self.gathered(given.lengths, np.arange(len(unit)), given.kept, given.put, unit.astype(np.int64), many, np.cumsum(many) - many, np.array([i for x, _ in encoded for i in x], np.int64), np.array([n for _, x in encoded for n in x], np.int64))
+
+    def dropped(self, raw: np.ndarray, unit: np.ndarray, where: Iterator) -> list[tuple]:
+        """Ids and bytes of the tokens of pieces of bytes; only pieces with a pair that may merge draw."""
+        symbols = self.model.byte_symbols[raw]
+        word = np.repeat(np.arange(len(unit), dtype=np.int32), unit)
+        draws = np.zeros(len(unit), bool)
+        draws[word[self.model.pairs.ranks_in(symbols, word) < NO_RANK]] = True
+        ids, rate, table, rng = self.ids[symbols].tolist(), self.model.options.dropout, self.model.table, random.Random()
+        out, at = [], 0
+        for n, may, (s, pos) in zip(unit.tolist(), draws.tolist(), where):
+            own, one = ids[at : at + n], (1,) * n
+            at += n
+            if may:
+                rng.seed(f"{s}:{pos}")
+                own, one = zip(*merge_with_dropout(zip(own, one), table, rate, rng))
+            out.append((own, one))
+        return out
 
     def gathered(self, lengths, index, kept, put, unit, many, first, ids, sizes) -> pa.Array:
         """Encodings of rows of `lengths` pieces; piece j is word index[j], whose tokens start at first."""
@@ -130,18 +190,28 @@ def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out:
     def run(batches: Iterator) -> Iterator[pa.Array]:
         words = Words(sent.value, mapped, memory, write, compat_offsets)
         for rows, seeds, _ in batches:
-            if drop:
-                own = seeds.to_pylist() if seeded else [random.random() for _ in range(len(rows))]
-                yield words.one_by_one(rows, own)
-            else:
-                yield words.batch(rows)
+            for at, n in portions(rows.field("text")):
+                part = rows.slice(at, n)
+                if drop and not (drop == 1 and words.by_bytes):
+                    yield words.one_by_one(part, seeds.slice(at, n).to_pylist() if seeded else [random.random() for _ in range(n)])
+                else:
+                    yield words.batch(part)
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    # marked nondeterministic, it runs once a row: no filter is pushed through it. Used twice, the pieces stay
-    # a column of their own: functions with lambdas cannot stand in a UDF's input
+    # marked nondeterministic, it runs once a row: no filter is pushed through it. Spark holds a batch of what goes
+    # in, and an array of structs takes ten times its text: so the text goes, and the sizes of its pieces. Used
+    # twice, both stay columns of their own: functions with lambdas cannot stand in a UDF's input
     udf = F.arrow_udf(run, ENCODED).asNondeterministic()
-    held = df.withColumn("_pieces", pieces)
-    return held.withColumn(out, udf(F.col("_pieces"), seed if seed is not None else F.lit(0).cast("long"), F.size("_pieces"))).drop("_pieces")
+    given = F.coalesce(F.col("_pieces"), F.array().cast(f"array<{PIECE}>"))
+    held = df.withColumn("_pieces", pieces).withColumn(
+        "_given",
+        F.struct(
+            F.array_join(F.transform(given, lambda x: x["t"]), "").alias("text"),
+            F.transform(given, lambda x: F.octet_length(x["t"])).alias("sizes"),
+            F.transform(given, lambda x: x["p"] * 2 + (~x["k"]).cast("int")).alias("marks"),
+        ),
+    )
+    return held.withColumn(out, udf(F.col("_given"), seed if seed is not None else F.lit(0).cast("long"), F.octet_length("_given.text"))).drop("_pieces", "_given")
 
 
 def native_tokens(piece: Column, model: Bpe) -> Column:
