@@ -1,5 +1,6 @@
 """Batches are encoded in portions of bounded size, with the same results as piece by piece."""
 
+import hashlib
 import random
 import tracemalloc
 
@@ -14,7 +15,8 @@ from tokenloom.functions import bytechars as bc
 from tokenloom.functions.regex_compat import GPT2
 from tokenloom.operators import pretokenize as pt
 from tokenloom.operators.encode import PORTION, Words, encode, portions
-from tokenloom.operators.model import Bpe, merge
+from tokenloom import queries as q
+from tokenloom.operators.model import Bpe, merge, merge_with_dropout
 from tokenloom.queries import fixed_model
 
 SPLIT = regex.compile(GPT2)
@@ -94,3 +96,51 @@ def test_ids_and_offsets_over_portions(long_rows):
     for i, t in enumerate(texts):
         want = by_hand(t or "", model)
         assert got[i]["ids"] == [x for x, _ in want] and got[i]["ends"] == np.cumsum([n for _, n in want]).astype(int).tolist()
+
+
+def count(i: int, text: str) -> tuple:
+    return (len(by_hand(text, fixed_model())),)
+
+
+def halved(i: int, text: str) -> tuple:
+    m = fixed_model(dropout=0.5)
+    words = [m.symbols(bc.map_bytes(p.encode())) for p in SPLIT.findall(text)]
+    return (sum(len(merge_with_dropout(w, m.table, 0.5, random.Random(f"{i}:{k}"))) for k, w in enumerate(words)),)
+
+
+def digested(i: int, text: str) -> tuple:
+    m = fixed_model()
+    tokens = [m.tokens[x] for x, _ in by_hand(text, m)]
+    return len(tokens), hashlib.md5("\x01".join(tokens).encode()).hexdigest()
+
+
+def led(compat: bool):
+    def offsets(i: int, text: str) -> tuple:
+        m, put, at, out = fixed_model(), int(not text.startswith(" ")), 0, []
+        for k, p in enumerate(SPLIT.findall(" " * put + text)):
+            by = 0 if compat and k == 0 else put
+            for t, _ in m.encode(bc.map_bytes(p.encode())):
+                n = len(m.tokens[t])
+                out.append(f"{max(at - by, 0)}-{max(at + n - by, 0)}")
+                at += n
+        return (hashlib.md5(" ".join(out).encode()).hexdigest(),)
+
+    return offsets
+
+
+#: What a query gives for a document, besides its id, found piece by piece.
+HAND = {
+    "encode_dropout_1": lambda i, t: (len(t.encode()),),
+}
+
+
+@pytest.mark.parametrize("name", sorted(HAND))
+def test_query_over_portions(spark, long_rows, tmp_path, name):
+    texts, df = long_rows
+    df.selectExpr("*", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r[0]: tuple(r)[1:] for r in q.queries()[name](spark, str(tmp_path)).collect()}
+    want = {i: HAND[name](i, t or "") for i, t in enumerate(texts)}
+    if name == "tokens_per_lang":
+        n = [x for (x,) in want.values() if x]
+        want = {"en": (len(n), sum(n))}
+    assert {i: x[-len(want[i]) :] for i, x in got.items()} == want

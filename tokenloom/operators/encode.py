@@ -196,6 +196,7 @@ def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out:
                     yield words.one_by_one(part, seeds.slice(at, n).to_pylist() if seeded else [random.random() for _ in range(n)])
                 else:
                     yield words.batch(part)
+            rows = part = None  # gone before the next batch is read
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     # marked nondeterministic, it runs once a row: no filter is pushed through it. Spark holds a batch of what goes
