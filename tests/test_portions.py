@@ -130,6 +130,7 @@ def led(compat: bool):
 
 #: What a query gives for a document, besides its id, found piece by piece.
 HAND = {
+    "encode_dropout_0": count,
     "tokens_per_lang": count,
     "encode_dropout_1": lambda i, t: (len(t.encode()),),
 }
