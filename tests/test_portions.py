@@ -130,6 +130,7 @@ def led(compat: bool):
 
 #: What a query gives for a document, besides its id, found piece by piece.
 HAND = {
+    "model_io_roundtrip": count,
     "encode_offsets_compat": led(True),
     "encode_dropout_0": count,
     "tokens_per_lang": count,
