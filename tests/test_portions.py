@@ -130,6 +130,7 @@ def led(compat: bool):
 
 #: What a query gives for a document, besides its id, found piece by piece.
 HAND = {
+    "encode_fixed_merges": digested,
     "encode_decode_roundtrip": lambda i, t: (t,),
     "decode_ids": lambda i, t: (t,),
     "model_io_roundtrip": count,
