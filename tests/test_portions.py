@@ -130,6 +130,7 @@ def led(compat: bool):
 
 #: What a query gives for a document, besides its id, found piece by piece.
 HAND = {
+    "encode_dropout_half": halved,
     "encode_offsets_prefix": led(False),
     "encode_offsets": lambda i, t: (len(t.encode()) or None,),
     "encode_fixed_merges": digested,
