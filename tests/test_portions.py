@@ -10,11 +10,13 @@ import pytest
 import regex
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from tokenloom.functions import byte_level
 from tokenloom.functions import bytechars as bc
 from tokenloom.functions.regex_compat import GPT2
 from tokenloom.operators import pretokenize as pt
-from tokenloom.operators.encode import PORTION, Words, encode, portions
+from tokenloom.operators.encode import PORTION, Words, encode, encode_pieces, portions
 from tokenloom import queries as q
 from tokenloom.operators.model import Bpe, merge, merge_with_dropout
 from tokenloom.queries import fixed_model
@@ -154,3 +156,40 @@ def test_query_over_portions(spark, long_rows, tmp_path, name):
         n = [x for (x,) in want.values() if x]
         want = {"en": (len(n), sum(n))}
     assert {i: x[-len(want[i]) :] for i, x in got.items()} == want
+
+
+KINDS = ["a", "Z", "é", "中", "𝒜", "1", "٣", "𝟗", " ", " ", "\n", "\t", "\u00a0", "\u0085", "\u2028", "'", "'", "'s", "'re", "'ll", "'ve", "s", "r", "e", "l", "_", "!", "😀", "\u200d", "\u0301", "\0", "\x1c"]
+
+
+def test_texts_are_cut_as_the_pattern_cuts_them(spark):
+    """Pieces and offsets of the splitter in Python against the one of native expressions, with and without a space put in front."""
+    rng = random.Random(7)
+    texts = ["", " ", "'", "'s", "'re", "'r", " 's", "'s's", "'sabc", "''s", "\n's", "  a", "a  ", "a \n", "\n \nb", None]
+    texts += ["".join(rng.choices(KINDS, k=rng.randint(1, 30))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(3).cache()
+    model = fixed_model()
+    for step in (pt.ByteLevel(False), pt.ByteLevel(True)):
+        for compat in (False, True):
+            whole = F.coalesce("text", F.lit(""))
+            native = encode_pieces(df, pt.unwritten(whole, step)[0], model, False, write=True, compat_offsets=compat)
+            want = {r["i"]: r["encoding"] for r in native.select("i", "encoding").collect()}
+            got = {r["i"]: r["encoding"] for r in encode(df, "text", model, step, compat_offsets=compat).select("i", "encoding").collect()}
+            assert got == want and len(got) == len(texts)
+
+
+def test_every_character_is_of_the_kind_that_the_pattern_takes_it_for(spark):
+    kind = byte_level.kinds(spark)
+    every = spark.range(0x110000).filter("id < 55296 OR id >= 57344").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    one = lambda pattern: F.col("c").rlike("(?U)^" + pattern + "$")
+    told = F.when(one(r"\p{L}"), byte_level.LETTER).when(one(r"\p{N}"), byte_level.NUMBER).when(one(r"\s"), byte_level.WHITE).otherwise(byte_level.OTHER)
+    rows = every.select("id", told.alias("k")).filter("k > 0").collect()
+    want = np.zeros(0x110000, np.uint8)
+    want[[r["id"] for r in rows]] = [r["k"] for r in rows]
+    assert np.array_equal(kind, want) and (want == byte_level.LETTER).sum() > 100_000
+
+
+@pytest.mark.parametrize("name", [*sorted(HAND), "encode_ids"])
+def test_only_the_text_goes_to_python(spark, sf_dir, name):
+    """Arrays of pieces made by the JVM took an executor most of its memory."""
+    plan = q.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan

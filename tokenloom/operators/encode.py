@@ -7,7 +7,7 @@ distinct-encode-join would, without moving every word of the corpus over the net
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +15,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import byte_level
 from ..functions.bytechars import map_bytes
 from .model import MAX_CACHED_LENGTH, NO_RANK, Bpe, merge_with_dropout
-from .pretokenize import PIECE, unwritten
+from .pretokenize import PIECE, ByteLevel, only_step, unwritten
 
-ENCODED = "struct<ids:array<int>,tokens:array<string>,starts:array<int>,ends:array<int>>"
+FIELDS = {"ids": "int", "tokens": "string", "starts": "int", "ends": "int"}
 OPEN, CLOSE, MISSED = "\x02", "\x03", "\x04"
 #: Bytes of text that are encoded at once: Spark's batches are larger, and tokens take many times their bytes.
-PORTION = 1 << 20
+PORTION = 1 << 19
 
 
 def portions(texts: pa.Array, most: int = PORTION) -> Iterator[tuple[int, int]]:
@@ -48,6 +49,27 @@ class Pieces:
         self.texts = pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), text.buffers()[2])
         self.kept, self.put = marks % 2 == 0, (marks // 2).astype(np.int64)
 
+    @classmethod
+    def split(cls, texts: pa.StringArray, kind: np.ndarray, add_prefix_space: bool) -> "Pieces":
+        """Of whole texts, by the byte-level pattern."""
+        out = cls.__new__(cls)
+        raw, unit = raw_of(texts)
+        bounds = np.r_[0, np.cumsum(unit, dtype=np.int64)]
+        led = np.zeros(len(unit), bool)
+        if add_prefix_space:
+            led[unit == 0] = True
+            some = np.flatnonzero(unit)
+            led[some] = raw[bounds[some]] != ord(" ")
+            raw = np.insert(raw, bounds[:-1][led], ord(" "))
+            bounds += np.r_[0, np.cumsum(led)]
+        first = byte_level.split(raw, bounds, kind)
+        of_row = np.searchsorted(first, bounds)
+        out.lengths = np.diff(of_row)
+        out.texts = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.r_[first, len(raw)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw)))
+        out.kept, out.put = np.ones(len(first), bool), np.zeros(len(first), np.int64)
+        out.put[of_row[:-1][led]] = 1
+        return out
+
 
 def raw_of(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, bytes of each)."""
@@ -60,9 +82,10 @@ class Words:
     """Encodes batches of piece arrays, each distinct piece of a batch once. Pieces whose symbols are their
     bytes are merged as arrays; others one by one, or taken from the memory."""
 
-    def __init__(self, model: Bpe, mapped: bool, memory: int, write: bool = False, compat: bool = False):
+    def __init__(self, model: Bpe, mapped: bool, memory: int, write: bool = False, compat: bool = False, fields: Collection[str] = tuple(FIELDS)):
         """mapped: a character of a piece is one byte; write: pieces are plain text, to be so written; compat:
-        a space put in front counts as a byte of its piece."""
+        a space put in front counts as a byte of its piece; fields: the parts of an encoding that are made."""
+        self.fields = [f for f in FIELDS if f in fields]
         self.model, self.mapped, self.memory, self.write, self.compat = model, mapped or write, memory, write, compat
         self.known: dict[str, tuple[list[int], list[int]]] = {}
         self.by_bytes = write and model.byte_symbols is not None
@@ -95,8 +118,8 @@ class Words:
                 self.known[piece] = got
         return got
 
-    def batch(self, rows: pa.StructArray) -> pa.Array:
-        given = Pieces(rows)
+    def batch(self, rows: pa.StructArray | Pieces) -> pa.Array:
+        given = rows if isinstance(rows, Pieces) else Pieces(rows)
         coded = given.texts.dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
         if self.by_bytes:
@@ -122,9 +145,9 @@ class Words:
             np.fromiter((n for _, x in encoded for n in x), np.int64, int(many.sum())),
         )
 
-    def one_by_one(self, rows: pa.StructArray, seeds: list) -> pa.Array:
+    def one_by_one(self, rows: pa.StructArray | Pieces, seeds: list) -> pa.Array:
         """As batch(), every piece encoded by itself with a random source of its row's seed and position."""
-        given = Pieces(rows)
+        given = rows if isinstance(rows, Pieces) else Pieces(rows)
         where = ((s, pos) for s, n in zip(seeds, given.lengths.tolist()) for pos in range(n))
         if self.by_bytes:
             raw, unit = raw_of(given.texts)
@@ -155,43 +178,50 @@ class Words:
 
     def gathered(self, lengths, index, kept, put, unit, many, first, ids, sizes) -> pa.Array:
         """Encodings of rows of `lengths` pieces; piece j is word index[j], whose tokens start at first."""
-        ends = np.cumsum(sizes)
-        word_start = np.r_[0, ends][first] if len(ids) else np.zeros(len(first), np.int64)
-        size = unit[index] - put
-        at = np.cumsum(size) - size
-        row_first = np.cumsum(lengths) - lengths
-        row_at = np.r_[at, at[-1] + size[-1] if len(at) else 0][row_first]
-        at = at - np.repeat(row_at, lengths)
         n = many[index] * kept
         total = int(n.sum())
         source = np.repeat(first[index] - (np.cumsum(n) - n), n) + np.arange(total)
-        end = ends[source] - np.repeat(word_start[index], n)
-        start = end - sizes[source]
-        base, led = np.repeat(at, n), np.repeat(put, n) * (not self.compat)
         counts = np.r_[0, np.cumsum(n)]
         bounds = pa.array(counts[np.r_[0, np.cumsum(lengths)]].astype(np.int32))
-        token = self.tokens.take(pa.array(np.searchsorted(self.ids, ids)[source])) if total else pa.array([], pa.string())
-        columns = [pa.array(x.astype(np.int32)) for x in (ids[source], base + np.maximum(start - led, 0), base + np.maximum(end - led, 0))]
-        lists = [pa.ListArray.from_arrays(bounds, c) for c in (columns[0], token, columns[1], columns[2])]
-        return pa.StructArray.from_arrays(lists, ["ids", "tokens", "starts", "ends"])
-
-
-def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out: str = "encoding", seed: Column | None = None, memory: int = 200_000, write: bool = False, compat_offsets: bool = False) -> DataFrame:
-    """df with struct<ids, tokens, starts, ends> of an array of pieces; offsets are bytes of the whole text.
-
-    Tokens of a byte-mapped piece count one byte per character, the prefix put in front counts none; with
-    compat_offsets it counts, so the tokens of the first piece lie one byte too far.
-    With dropout, seed (a long column) makes the outcome a function of it and of the piece's position;
-    without seed every run differs. Empty and null arrays give empty lists.
-    """
-    sent = df.sparkSession.sparkContext.broadcast(model)
+        made: dict[str, pa.Array] = {}
+        if "ids" in self.fields:
+            made["ids"] = pa.array(ids.astype(np.int32)[source])
+        if "tokens" in self.fields:
+            made["tokens"] = self.tokens.take(pa.array(np.searchsorted(self.ids, ids)[source])) if total else pa.array([], pa.string())
+        if "starts" in self.fields or "ends" in self.fields:
+            ends = np.cumsum(sizes)
+            word_start = np.r_[0, ends][first] if len(ids) else np.zeros(len(first), np.int64)
+            size = unit[index] - put
+            at = np.cumsum(size) - size
+            row_first = np.cumsum(lengths) - lengths
+            row_at = np.r_[at, at[-1] + size[-1] if len(at) else 0][row_first]
+            at = at - np.repeat(row_at, lengths)
+            # how far a token lies from its place among the words; a space put in front counts none
+            moved = np.repeat(at - word_start[index] - put * (not self.compat), n)
+            least = np.repeat(at, n) if put.any() else None
+            for f, x in (("starts", ends - sizes), ("ends", ends)):
+                if f in self.fields:
+                    x = x[source] + moved
+                    made[f] = pa.array((x if least is None else np.maximum(x, least)).astype(np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(bounds, made[f]) for f in self.fields], self.fields)
+
+
+def _encoded(df: DataFrame, model: Bpe, given: Column, out: str, seed: Column | None, cut: ByteLevel | None, fields: Collection[str], mapped: bool, memory: int, write: bool, compat: bool) -> DataFrame:
+    """df with the encodings of a column: of struct<text, sizes, marks>, or of texts that are cut here."""
+    if not fields or set(fields) - set(FIELDS):
+        raise ValueError(f"fields are some of {', '.join(FIELDS)}")
+    spark = df.sparkSession
+    sent = spark.sparkContext.broadcast((model, byte_level.kinds(spark) if cut else None))
     drop, seeded = model.options.dropout, seed is not None
 
     def run(batches: Iterator) -> Iterator[pa.Array]:
-        words = Words(sent.value, mapped, memory, write, compat_offsets)
+        model, kind = sent.value
+        words = Words(model, mapped, memory, write, compat, fields)
         for rows, seeds, _ in batches:
-            for at, n in portions(rows.field("text")):
+            rows = rows.cast(pa.string()) if cut else rows
+            for at, n in portions(rows if cut else rows.field("text")):
                 part = rows.slice(at, n)
+                part = Pieces.split(part, kind, cut.add_prefix_space) if cut else part
                 if drop and not (drop == 1 and words.by_bytes):
                     yield words.one_by_one(part, seeds.slice(at, n).to_pylist() if seeded else [random.random() for _ in range(n)])
                 else:
@@ -199,10 +229,31 @@ def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out:
             rows = part = None  # gone before the next batch is read
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    # marked nondeterministic, it runs once a row: no filter is pushed through it. Spark holds a batch of what goes
-    # in, and an array of structs takes ten times its text: so the text goes, and the sizes of its pieces. Used
-    # twice, both stay columns of their own: functions with lambdas cannot stand in a UDF's input
-    udf = F.arrow_udf(run, ENCODED).asNondeterministic()
+    # marked nondeterministic, it runs once a row: no filter is pushed through it
+    kinds = ",".join(f"{f}:array<{FIELDS[f]}>" for f in FIELDS if f in fields)
+    udf = F.arrow_udf(run, f"struct<{kinds}>").asNondeterministic()
+    # what is used twice stays a column of its own: functions with lambdas cannot stand in a UDF's input
+    again = F.lit(0) if cut else F.octet_length(given["text"])
+    return df.withColumn(out, udf(given, seed if seed is not None else F.lit(0).cast("long"), again))
+
+
+def encode_split(df: DataFrame, text: Column, model: Bpe, cut: ByteLevel, out: str = "encoding", seed: Column | None = None, compat_offsets: bool = False, fields: Collection[str] = tuple(FIELDS), memory: int = 200_000) -> DataFrame:
+    """As encode_pieces() of the byte-level pieces of a text. Only the text goes to Python, which cuts it there:
+    arrays of pieces take the JVM more time and memory than the encoding."""
+    return _encoded(df, model, F.make_valid_utf8(F.coalesce(text, F.lit(""))), out, seed, cut, fields, True, memory, True, compat_offsets)
+
+
+def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out: str = "encoding", seed: Column | None = None, memory: int = 200_000, write: bool = False, compat_offsets: bool = False, fields: Collection[str] = tuple(FIELDS)) -> DataFrame:
+    """df with struct<ids, tokens, starts, ends> of an array of pieces; offsets are bytes of the whole text.
+
+    Tokens of a byte-mapped piece count one byte per character, the prefix put in front counts none; with
+    compat_offsets it counts, so the tokens of the first piece lie one byte too far. fields: the struct's
+    fields that are made; the others need neither time nor memory.
+    With dropout, seed (a long column) makes the outcome a function of it and of the piece's position;
+    without seed every run differs. Empty and null arrays give empty lists.
+    """
+    # Spark holds a batch of what goes in, and an array of structs takes ten times its text: so the text goes, and the
+    # sizes of its pieces
     given = F.coalesce(F.col("_pieces"), F.array().cast(f"array<{PIECE}>"))
     held = df.withColumn("_pieces", pieces).withColumn(
         "_given",
@@ -212,7 +263,7 @@ def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out:
             F.transform(given, lambda x: x["p"] * 2 + (~x["k"]).cast("int")).alias("marks"),
         ),
     )
-    return held.withColumn(out, udf(F.col("_given"), seed if seed is not None else F.lit(0).cast("long"), F.octet_length("_given.text"))).drop("_pieces", "_given")
+    return _encoded(held, model, F.col("_given"), out, seed, None, fields, mapped, memory, write, compat_offsets).drop("_pieces", "_given")
 
 
 def native_tokens(piece: Column, model: Bpe) -> Column:
@@ -244,12 +295,15 @@ def native_tokens(piece: Column, model: Bpe) -> Column:
     return out
 
 
-def encode(df: DataFrame, text: str, model: Bpe, pre_tokenizer=None, out: str = "encoding", seed: Column | None = None, compat_offsets: bool = False) -> DataFrame:
-    """df with the encoding of a text column: ids, tokens and byte offsets."""
-    return encode_text(df, F.coalesce(F.col(text), F.lit("")), model, pre_tokenizer, out, seed, compat_offsets)
+def encode(df: DataFrame, text: str, model: Bpe, pre_tokenizer=None, out: str = "encoding", seed: Column | None = None, compat_offsets: bool = False, fields: Collection[str] = tuple(FIELDS)) -> DataFrame:
+    """df with the encoding of a text column: ids, tokens and byte offsets, or those fields that are named."""
+    return encode_text(df, F.coalesce(F.col(text), F.lit("")), model, pre_tokenizer, out, seed, compat_offsets, fields)
 
 
-def encode_text(df: DataFrame, text: Column, model: Bpe, pre_tokenizer, out: str, seed: Column | None = None, compat_offsets: bool = False) -> DataFrame:
+def encode_text(df: DataFrame, text: Column, model: Bpe, pre_tokenizer, out: str, seed: Column | None = None, compat_offsets: bool = False, fields: Collection[str] = tuple(FIELDS)) -> DataFrame:
+    step = only_step(pre_tokenizer)
+    if isinstance(step, ByteLevel) and step.use_regex:
+        return encode_split(df, text, model, step, out, seed, compat_offsets, fields)
     pieces, write = unwritten(text, pre_tokenizer)
     mapped = bool(pre_tokenizer is not None and pre_tokenizer.mapped and not write)
-    return encode_pieces(df, pieces, model, mapped, out, seed, write=write, compat_offsets=compat_offsets)
+    return encode_pieces(df, pieces, model, mapped, out, seed, write=write, compat_offsets=compat_offsets, fields=fields)

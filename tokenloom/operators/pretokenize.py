@@ -171,6 +171,12 @@ def pieces_of(text: Column, pre_tokenizer=None) -> Column:
     return pre_tokenizer(whole(text)) if pre_tokenizer else whole(text)
 
 
+def only_step(pre_tokenizer):
+    """The one step of a pre-tokenizer; None if it has none or several."""
+    steps = [s for s in pre_tokenizer.steps if s is not None] if isinstance(pre_tokenizer, Sequence) else [pre_tokenizer]
+    return steps[0] if len(steps) == 1 else None
+
+
 def unwritten(text: Column, pre_tokenizer) -> tuple[Column, bool]:
     """Pieces of a text, and whether their bytes are still to be written as characters.
 

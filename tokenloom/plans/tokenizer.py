@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -41,13 +41,18 @@ class Tokenizer:
     def with_(self, **changes) -> "Tokenizer":
         return replace(self, **changes)
 
-    def encode(self, df: DataFrame, text: str = "text", out: str = "encoding", add_special_tokens: bool = True, batch: str | None = None, seed: Column | None = None) -> DataFrame:
-        """df with an encoding struct (postprocess.FIELDS); null texts count as empty.
+    def encode(self, df: DataFrame, text: str = "text", out: str = "encoding", add_special_tokens: bool = True, batch: str | None = None, seed: Column | None = None, fields: Collection[str] = pp.FIELDS) -> DataFrame:
+        """df with an encoding struct (postprocess.FIELDS, or those of them that are named); null texts count as empty.
 
         add_special_tokens is accepted and without effect. Padding, if set, is to the frame's or the
         batch column's longest row unless it names a length.
         """
+        if not fields or set(fields) - set(pp.FIELDS):
+            raise ValueError(f"fields are some of {', '.join(pp.FIELDS)}")
         raw = F.coalesce(F.col(text), F.lit(""))
+        if set(fields) <= {"ids", "tokens"} and self.model is not None and not (self.truncation or self.padding) and (self.post_processor is None or isinstance(self.post_processor, ByteLevel)):
+            # post-processors of this kind and normalizers' cuts change offsets alone
+            return encode_text(df, self.normalizer(raw) if self.normalizer else raw, self.model, self.pre_tokenizer, out, seed, fields=fields)
         if self.model is None:
             empty = F.struct(*(F.array().cast(f"array<{t}>").alias(k) for k, t in (("ids", "int"), ("tokens", "string"), ("starts", "int"), ("ends", "int"))))
             e = empty
@@ -66,7 +71,8 @@ class Tokenizer:
         if self.truncation:
             e = pp.truncate(e, self.truncation)
         df = df.withColumn(out, e).drop("_e")
-        return pp.pad(df, out, self.padding, batch) if self.padding else df
+        df = pp.pad(df, out, self.padding, batch) if self.padding else df
+        return df if set(fields) == set(pp.FIELDS) else df.withColumn(out, F.struct(*(F.col(out)[f].alias(f) for f in pp.FIELDS if f in fields)))
 
     def decode(self, df: DataFrame, ids: str, out: str = "decoded", skip_special_tokens: bool = True) -> DataFrame:
         """df with the text of an array of ids; empty without model or decoder."""
