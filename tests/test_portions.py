@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import byte_level
 from tokenloom.functions import bytechars as bc
+from tokenloom.functions.draws import first_draws
 from tokenloom.functions.regex_compat import GPT2
 from tokenloom.operators import pretokenize as pt
 from tokenloom.operators.encode import PORTION, Words, encode, encode_pieces, portions
@@ -193,3 +194,30 @@ def test_only_the_text_goes_to_python(spark, sf_dir, name):
     """Arrays of pieces made by the JVM took an executor most of its memory."""
     plan = q.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
+
+
+def test_numbers_of_many_random_sources():
+    seeds = ["1:0", "12:345", "-7:1", "0.1234:99", "123456789012:7", "None:3"]
+    got = first_draws([x.encode() for x in seeds], 20)
+    for k, x in enumerate(seeds):
+        rng = random.Random(x)
+        assert got[:, k].tolist() == [rng.random() for _ in range(20)]
+
+
+@pytest.mark.parametrize("draws", [1, 10])
+def test_dropout_of_many_pieces_at_once(monkeypatch, draws):
+    """As one by one, pieces that run out of numbers and long ones included; Python's random sources are set for those alone."""
+    from tokenloom.operators import encode as en
+
+    texts, m = [written(3000, i) for i in range(4)] + ["", "the", "x"], fixed_model(dropout=0.5)
+    monkeypatch.setattr(en, "DRAWS", draws)
+    monkeypatch.setattr(en, "AT_ONCE", 100)
+    made = []
+    monkeypatch.setattr(en.random, "Random", lambda s, real=random.Random: made.append(s) or real(s))
+    got = Words(m, True, 10, True).one_by_one(given_rows(texts), list(range(len(texts)))).to_pylist()
+    monkeypatch.undo()
+    pieces = [SPLIT.findall(t) for t in texts]
+    for i, row in enumerate(pieces):
+        want = [x for k, p in enumerate(row) for x in merge_with_dropout(m.symbols(bc.map_bytes(p.encode())), m.table, 0.5, random.Random(f"{i}:{k}"))]
+        assert got[i]["ids"] == [x for x, _ in want] and got[i]["ends"] == np.cumsum([len(m.tokens[x]) for x, _ in want]).astype(int).tolist()
+    assert draws == 1 or len(made) < sum(map(len, pieces)) / 2

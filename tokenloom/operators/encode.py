@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 
 from ..functions import byte_level
 from ..functions.bytechars import map_bytes
-from .model import MAX_CACHED_LENGTH, NO_RANK, Bpe, merge_with_dropout
+from ..functions.draws import first_draws
+from .model import MAX_CACHED_LENGTH, NO_RANK, SHORT, Bpe, merge_with_dropout
 from .pretokenize import PIECE, ByteLevel, only_step, unwritten
 
 FIELDS = {"ids": "int", "tokens": "string", "starts": "int", "ends": "int"}
 OPEN, CLOSE, MISSED = "\x02", "\x03", "\x04"
 #: Bytes of text that are encoded at once: Spark's batches are larger, and tokens take many times their bytes.
 PORTION = 1 << 19
+#: Pieces that draw at once, and the numbers that each gets: few need more.
+AT_ONCE, DRAWS = 8192, 10
 
 
 def portions(texts: pa.Array, most: int = PORTION) -> Iterator[tuple[int, int]]:
@@ -148,33 +151,52 @@ class Words:
     def one_by_one(self, rows: pa.StructArray | Pieces, seeds: list) -> pa.Array:
         """As batch(), every piece encoded by itself with a random source of its row's seed and position."""
         given = rows if isinstance(rows, Pieces) else Pieces(rows)
-        where = ((s, pos) for s, n in zip(seeds, given.lengths.tolist()) for pos in range(n))
+        where = [(s, pos) for s, n in zip(seeds, given.lengths.tolist()) for pos in range(n)]
         if self.by_bytes:
             raw, unit = raw_of(given.texts)
-            encoded = self.dropped(raw, unit, where)
+            symbols, sizes, many = self.dropped(raw, unit, where)
+            ids = self.ids[symbols]
         else:
             pieces = given.texts.to_pylist()
             encoded = [self.encoded(x, random.Random(f"{s}:{pos}")) for x, (s, pos) in zip(pieces, where)]
             unit = np.array([self.unit(x) for x in pieces], np.int64)
-        many = np.array([len(i) for i, _ in encoded], np.int64)
-        return self.gathered(given.lengths, np.arange(len(unit)), given.kept, given.put, unit.astype(np.int64), many, np.cumsum(many) - many, np.array([i for x, _ in encoded for i in x], np.int64), np.array([n for _, x in encoded for n in x], np.int64))
-
-    def dropped(self, raw: np.ndarray, unit: np.ndarray, where: Iterator) -> list[tuple]:
-        """Ids and bytes of the tokens of pieces of bytes; only pieces with a pair that may merge draw."""
+            many = np.array([len(i) for i, _ in encoded], np.int64)
+            ids, sizes = np.array([i for x, _ in encoded for i in x], np.int64), np.array([n for _, x in encoded for n in x], np.int64)
+        return self.gathered(given.lengths, np.arange(len(unit)), given.kept, given.put, unit.astype(np.int64), many, np.cumsum(many) - many, ids, sizes.astype(np.int64))
+
+    def dropped(self, raw: np.ndarray, unit: np.ndarray, where: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, bytes, tokens of each piece) of pieces of bytes; only pieces with a pair that may merge draw. Short
+        ones draw and merge as arrays; long ones, and the few that need more than DRAWS numbers, one by one."""
+        pairs, rate = self.model.pairs, self.model.options.dropout
         symbols = self.model.byte_symbols[raw]
         word = np.repeat(np.arange(len(unit), dtype=np.int32), unit)
         draws = np.zeros(len(unit), bool)
-        draws[word[self.model.pairs.ranks_in(symbols, word) < NO_RANK]] = True
-        ids, rate, table, rng = self.ids[symbols].tolist(), self.model.options.dropout, self.model.table, random.Random()
-        out, at = [], 0
-        for n, may, (s, pos) in zip(unit.tolist(), draws.tolist(), where):
-            own, one = ids[at : at + n], (1,) * n
-            at += n
-            if may:
-                rng.seed(f"{s}:{pos}")
-                own, one = zip(*merge_with_dropout(zip(own, one), table, rate, rng))
-            out.append((own, one))
-        return out
+        draws[word[pairs.ranks_in(symbols, word) < NO_RANK]] = True
+        still = ~draws[word]
+        done = [(symbols[still], np.ones(int(still.sum()), np.int32), word[still])]
+        first = np.cumsum(unit, dtype=np.int64) - unit
+        short = np.flatnonzero(draws & (unit <= SHORT))
+        single = [np.flatnonzero(draws & (unit > SHORT))]
+        seeds = [b"%a:%d" % where[w] for w in short.tolist()]
+        alike = np.argsort([len(x) for x in seeds], kind="stable")  # seeds of one length draw together
+        for at in range(0, len(short), AT_ONCE):
+            some = alike[at : at + AT_ONCE]
+            own = short[some]
+            n = unit[own].astype(np.int64)
+            places = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            drawn = first_draws([seeds[i] for i in some.tolist()], DRAWS)
+            tokens, sizes, of, more = pairs.merge_drawn(symbols[places], n, drawn, rate)
+            kept = ~np.isin(of, more)
+            done.append((tokens[kept], sizes[kept], own[of[kept]]))
+            single.append(own[more])
+        for w in np.concatenate(single).tolist():
+            s, pos = where[w]
+            given = [(i, 1) for i in self.ids[symbols[first[w] : first[w] + unit[w]]].tolist()]
+            got = merge_with_dropout(given, self.model.table, rate, random.Random(f"{s}:{pos}"))
+            done.append((np.searchsorted(self.ids, [i for i, _ in got]).astype(np.int32), np.array([n for _, n in got], np.int32), np.full(len(got), w)))
+        tokens, sizes, of = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(of, kind="stable")
+        return tokens[order], sizes[order], np.bincount(of, minlength=len(unit)).astype(np.int64)
 
     def gathered(self, lengths, index, kept, put, unit, many, first, ids, sizes) -> pa.Array:
         """Encodings of rows of `lengths` pieces; piece j is word index[j], whose tokens start at first."""
