@@ -16,6 +16,7 @@ from tokenloom.functions import byte_level
 from tokenloom.functions import bytechars as bc
 from tokenloom.functions.draws import first_draws
 from tokenloom.functions.regex_compat import GPT2
+from tokenloom.operators import decode as dc
 from tokenloom.operators import pretokenize as pt
 from tokenloom.operators.encode import PORTION, Words, encode, encode_pieces, portions
 from tokenloom import queries as q
@@ -196,6 +197,29 @@ def test_only_the_text_goes_to_python(spark, sf_dir, name):
     assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
 
 
+@pytest.mark.parametrize("name", ["decode_ids"])
+def test_ids_are_decoded_without_a_search(spark, sf_dir, name):
+    """Neither a map is searched for each token nor a table for each character of the text."""
+    plan = q.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" in plan and "translate" not in plan and "element_at" not in plan
+
+
+@pytest.mark.parametrize("far", [0, 1_000_000, -5])
+@pytest.mark.parametrize("skip", [True, False])
+def test_decoding_against_each_token_by_itself(spark, far, skip):
+    """Ids that are places in a table or not; unknown and null ids, tokens of other characters, bytes that are no text."""
+    texts = [*bc.TABLE.values(), "<s>", "<", "<a", "中", "Ġ中", "é", "<é>", "ab", ""]
+    model = Bpe({t: i + far for i, t in enumerate(dict.fromkeys(texts))})
+    rng = random.Random(3)
+    rows = [[rng.choice([*model.tokens, -1, 7_999, 2**31 - 1, None]) for _ in range(n)] for n in [0, 1, 2, 3, 500] * 4] + [[i + far for i in "aé中 \0".encode()], None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i long, ids array<int>")
+    got = {r["i"]: r["decoded"] for r in dc.decode(df, "ids", model, skip).select("i", "decoded").collect()}
+    for i, r in enumerate(rows):
+        kept = [model.tokens[x] for x in r or [] if x in model.tokens]
+        raw = b"".join(bc.unmap_chars(t) for t in kept if not (skip and t.startswith("<") and t.endswith(">")))
+        assert got[i] == (None if r is None else raw.decode("utf-8", "replace"))
+
+
 def test_numbers_of_many_random_sources():
     seeds = ["1:0", "12:345", "-7:1", "0.1234:99", "123456789012:7", "None:3"]
     got = first_draws([x.encode() for x in seeds], 20)
