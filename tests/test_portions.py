@@ -197,7 +197,7 @@ def test_only_the_text_goes_to_python(spark, sf_dir, name):
     assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
 
 
-@pytest.mark.parametrize("name", ["decode_ids"])
+@pytest.mark.parametrize("name", ["decode_ids", "encode_decode_roundtrip"])
 def test_ids_are_decoded_without_a_search(spark, sf_dir, name):
     """Neither a map is searched for each token nor a table for each character of the text."""
     plan = q.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
