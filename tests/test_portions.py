@@ -204,7 +204,7 @@ def test_ids_are_decoded_without_a_search(spark, sf_dir, name):
     assert "array_join" in plan and "translate" not in plan and "element_at" not in plan
 
 
-@pytest.mark.parametrize("name", ["encode_offsets"])
+@pytest.mark.parametrize("name", ["encode_offsets", "encode_offsets_prefix"])
 def test_offsets_become_texts_as_whole_arrays(spark, sf_dir, name):
     """One by one in a lambda, they took the JVM more time and objects than the encoding."""
     plan = q.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
