@@ -18,7 +18,7 @@ from tokenloom.functions.draws import first_draws
 from tokenloom.functions.regex_compat import GPT2
 from tokenloom.operators import decode as dc
 from tokenloom.operators import pretokenize as pt
-from tokenloom.operators.encode import PORTION, Words, encode, encode_pieces, portions
+from tokenloom.operators.encode import PORTION, SHOWN, Words, encode, encode_pieces, portions
 from tokenloom import queries as q
 from tokenloom.operators.model import Bpe, merge, merge_with_dropout
 from tokenloom.queries import fixed_model
@@ -204,11 +204,22 @@ def test_ids_are_decoded_without_a_search(spark, sf_dir, name):
     assert "array_join" in plan and "translate" not in plan and "element_at" not in plan
 
 
-@pytest.mark.parametrize("name", ["encode_offsets", "encode_offsets_prefix"])
-def test_offsets_become_texts_as_whole_arrays(spark, sf_dir, name):
-    """One by one in a lambda, they took the JVM more time and objects than the encoding."""
+@pytest.mark.parametrize("name", ["encode_offsets", "encode_offsets_prefix", "encode_offsets_compat"])
+def test_offsets_are_shown_in_the_pass(spark, sf_dir, name):
+    """As texts made by the JVM, they took it more time and objects than the encoding."""
     plan = q.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
-    assert "zip_with(cast(" in plan and "concat_ws" not in plan
+    assert "md5(cast(" in plan and "zip_with" not in plan and "array_join" not in plan
+
+
+def test_spans_are_the_starts_and_ends(spark):
+    """Of each row: none, one and many tokens, rows without text, a space put in front, pieces made by the JVM."""
+    texts = ["", None, "a", " the then", "é the\n\n12", "x" * 3000, written(2000)] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(2).cache()
+    for step in (pt.ByteLevel(False), pt.ByteLevel(True), pt.whitespace()):
+        every = encode(df, "text", fixed_model(), step, fields=("starts", "ends", SHOWN)).select("i", "encoding.*").collect()
+        alone = {r["i"]: r["spans"] for r in encode(df, "text", fixed_model(), step, fields=(SHOWN,)).select("i", "encoding.spans").collect()}
+        assert all(r["spans"] == alone[r["i"]] == " ".join(f"{a}-{b}" for a, b in zip(r["starts"], r["ends"])) for r in every) and len(every) == len(texts)
+    assert encode(df, "text", fixed_model()).select("encoding.*").columns == ["ids", "tokens", "starts", "ends"]
 
 
 @pytest.mark.parametrize("far", [0, 1_000_000, -5])

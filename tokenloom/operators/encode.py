@@ -22,6 +22,8 @@ from .model import MAX_CACHED_LENGTH, NO_RANK, SHORT, Bpe, merge_with_dropout
 from .pretokenize import PIECE, ByteLevel, only_step, unwritten
 
 FIELDS = {"ids": "int", "tokens": "string", "starts": "int", "ends": "int"}
+#: A field that is made if named: start-end of each token, parted by blanks, one text. As arrays, the JVM makes an object of each number to show it.
+SHOWN = "spans"
 OPEN, CLOSE, MISSED = "\x02", "\x03", "\x04"
 #: Bytes of text that are encoded at once: Spark's batches are larger, and tokens take many times their bytes.
 PORTION = 1 << 19
@@ -88,7 +90,7 @@ class Words:
     def __init__(self, model: Bpe, mapped: bool, memory: int, write: bool = False, compat: bool = False, fields: Collection[str] = tuple(FIELDS)):
         """mapped: a character of a piece is one byte; write: pieces are plain text, to be so written; compat:
         a space put in front counts as a byte of its piece; fields: the parts of an encoding that are made."""
-        self.fields = [f for f in FIELDS if f in fields]
+        self.fields = [f for f in (*FIELDS, SHOWN) if f in fields]
         self.model, self.mapped, self.memory, self.write, self.compat = model, mapped or write, memory, write, compat
         self.known: dict[str, tuple[list[int], list[int]]] = {}
         self.by_bytes = write and model.byte_symbols is not None
@@ -210,7 +212,7 @@ class Words:
             made["ids"] = pa.array(ids.astype(np.int32)[source])
         if "tokens" in self.fields:
             made["tokens"] = self.tokens.take(pa.array(np.searchsorted(self.ids, ids)[source])) if total else pa.array([], pa.string())
-        if "starts" in self.fields or "ends" in self.fields:
+        if {"starts", "ends", SHOWN} & set(self.fields):
             ends = np.cumsum(sizes)
             word_start = np.r_[0, ends][first] if len(ids) else np.zeros(len(first), np.int64)
             size = unit[index] - put
@@ -222,16 +224,20 @@ class Words:
             moved = np.repeat(at - word_start[index] - put * (not self.compat), n)
             least = np.repeat(at, n) if put.any() else None
             for f, x in (("starts", ends - sizes), ("ends", ends)):
-                if f in self.fields:
+                if f in self.fields or SHOWN in self.fields:
                     x = x[source] + moved
                     made[f] = pa.array((x if least is None else np.maximum(x, least)).astype(np.int32))
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(bounds, made[f]) for f in self.fields], self.fields)
+        listed = lambda values: pa.ListArray.from_arrays(bounds, values)
+        arrays = {f: listed(made[f]) for f in self.fields if f != SHOWN}
+        if SHOWN in self.fields:
+            arrays[SHOWN] = pc.binary_join(listed(pc.binary_join_element_wise(made["starts"].cast(pa.string()), made["ends"].cast(pa.string()), "-")), " ")
+        return pa.StructArray.from_arrays([arrays[f] for f in self.fields], self.fields)
 
 
 def _encoded(df: DataFrame, model: Bpe, given: Column, out: str, seed: Column | None, cut: ByteLevel | None, fields: Collection[str], mapped: bool, memory: int, write: bool, compat: bool) -> DataFrame:
     """df with the encodings of a column: of struct<text, sizes, marks>, or of texts that are cut here."""
-    if not fields or set(fields) - set(FIELDS):
-        raise ValueError(f"fields are some of {', '.join(FIELDS)}")
+    if not fields or set(fields) - {*FIELDS, SHOWN}:
+        raise ValueError(f"fields are some of {', '.join([*FIELDS, SHOWN])}")
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast((model, byte_level.kinds(spark) if cut else None))
     drop, seeded = model.options.dropout, seed is not None
@@ -252,7 +258,7 @@ def _encoded(df: DataFrame, model: Bpe, given: Column, out: str, seed: Column |
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     # marked nondeterministic, it runs once a row: no filter is pushed through it
-    kinds = ",".join(f"{f}:array<{FIELDS[f]}>" for f in FIELDS if f in fields)
+    kinds = ",".join([f"{f}:array<{FIELDS[f]}>" for f in FIELDS if f in fields] + [f"{SHOWN}:string"] * (SHOWN in fields))
     udf = F.arrow_udf(run, f"struct<{kinds}>").asNondeterministic()
     # what is used twice stays a column of its own: functions with lambdas cannot stand in a UDF's input
     again = F.lit(0) if cut else F.octet_length(given["text"])
@@ -270,7 +276,7 @@ def encode_pieces(df: DataFrame, pieces: Column, model: Bpe, mapped: bool, out:
 
     Tokens of a byte-mapped piece count one byte per character, the prefix put in front counts none; with
     compat_offsets it counts, so the tokens of the first piece lie one byte too far. fields: the struct's
-    fields that are made; the others need neither time nor memory.
+    fields that are made, SHOWN among them if named; the others need neither time nor memory.
     With dropout, seed (a long column) makes the outcome a function of it and of the piece's position;
     without seed every run differs. Empty and null arrays give empty lists.
     """
