@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import regex
 from hypothesis import given
@@ -22,6 +23,7 @@ from tokenloom.operators.encode import PORTION, SHOWN, Words, encode, encode_pie
 from tokenloom import queries as q
 from tokenloom.operators.model import Bpe, merge, merge_with_dropout
 from tokenloom.queries import fixed_model
+from tokenloom.sources.tables import IN_PARTS, in_parts
 
 SPLIT = regex.compile(GPT2)
 
@@ -197,6 +199,35 @@ def test_only_the_text_goes_to_python(spark, sf_dir, name):
     assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
 
 
+@pytest.mark.parametrize("name", ["encode_decode_roundtrip"])
+def test_texts_are_read_and_sent_in_parts(spark, sf_dir, name):
+    """Scans of 4,096 rows and Arrow batches of 10,000 held a whole task's text in the JVM, some times over."""
+    before = {k: spark.conf.get(k, None) for k in IN_PARTS}
+    own = q.queries()[name](spark, sf_dir).sparkSession
+    assert {k: int(own.conf.get(k)) for k in IN_PARTS} == IN_PARTS
+    assert {k: spark.conf.get(k, None) for k in IN_PARTS} == before
+
+
+def test_parts_hold_all_rows(spark, tmp_path):
+    """Parts are bounded in rows and bytes, and smaller settings stay."""
+    texts = ["x" * 50] * 3000 + ["y" * 300_000] * 100
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    @F.arrow_udf("struct<n:int,bytes:long>")
+    def seen(t: pa.Array) -> pa.Array:
+        n = len(t)
+        return pa.StructArray.from_arrays([pa.array([n] * n, pa.int32()), pa.array([pc.sum(pc.binary_length(t)).as_py()] * n)], ["n", "bytes"])
+
+    got = in_parts(spark).read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", seen("text").alias("s")).select("doc_id", "s.*").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    assert max(r["n"] for r in got) <= 512 and max(r["bytes"] for r in got) <= (4 << 20) + 300_000
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for told, want in (("7", 7), ("0", 512), ("9999", 512)):
+        session = spark.newSession()
+        session.conf.set(key, told)
+        assert int(in_parts(session).conf.get(key)) == want and session.conf.get(key) == told
+
+
 @pytest.mark.parametrize("name", ["decode_ids", "encode_decode_roundtrip"])
 def test_ids_are_decoded_without_a_search(spark, sf_dir, name):
     """Neither a map is searched for each token nor a table for each character of the text."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a table for each core below which its files may not feed all cores.
 SMALL = 4 << 20
+#: What a scan or an Arrow batch holds at once of texts that go to Python. The JVM holds the text of a batch some times over, in
+#: large arrays that make its heap grow.
+IN_PARTS = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def spread(df: DataFrame, small: int = SMALL) -> DataFrame:
@@ -26,6 +30,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return spread(df.select(*columns) if columns else df)
 
 
+def in_parts(spark: SparkSession) -> SparkSession:
+    """A session like this one, which reads and sends all rows in parts of at most IN_PARTS; this one's settings stay."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for key, most in IN_PARTS.items():
+        told = re.match(r"\d+$", spark.conf.get(key, None) or "")
+        own.conf.set(key, str(min(int(told[0]) or most, most) if told else most))
+    return own
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or the checkpoint folder of the context.
 
