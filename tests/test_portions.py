@@ -23,7 +23,7 @@ from tokenloom.operators.encode import PORTION, SHOWN, Words, encode, encode_pie
 from tokenloom import queries as q
 from tokenloom.operators.model import Bpe, merge, merge_with_dropout
 from tokenloom.queries import fixed_model
-from tokenloom.sources.tables import IN_PARTS, in_parts
+from tokenloom.sources.tables import IN_PARTS, SMALL_READ, in_parts
 
 SPLIT = regex.compile(GPT2)
 
@@ -199,13 +199,14 @@ def test_only_the_text_goes_to_python(spark, sf_dir, name):
     assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
 
 
-@pytest.mark.parametrize("name", ["encode_decode_roundtrip"])
+@pytest.mark.parametrize("name", ["encode_decode_roundtrip", "encode_offsets_prefix", "encode_offsets_compat"])
 def test_texts_are_read_and_sent_in_parts(spark, sf_dir, name):
     """Scans of 4,096 rows and Arrow batches of 10,000 held a whole task's text in the JVM, some times over."""
     before = {k: spark.conf.get(k, None) for k in IN_PARTS}
     own = q.queries()[name](spark, sf_dir).sparkSession
     assert {k: int(own.conf.get(k)) for k in IN_PARTS} == IN_PARTS
-    assert {k: spark.conf.get(k, None) for k in IN_PARTS} == before
+    assert {k: spark.conf.get(k, None) for k in IN_PARTS} == before and spark.conf.get("parquet.read.allocation.size", None) is None
+    assert (own.conf.get("parquet.read.allocation.size", None) == str(SMALL_READ)) == name.startswith("encode_offsets")
 
 
 def test_parts_hold_all_rows(spark, tmp_path):

@@ -13,6 +13,7 @@ SMALL = 4 << 20
 #: What a scan or an Arrow batch holds at once of texts that go to Python. The JVM holds the text of a batch some times over, in
 #: large arrays that make its heap grow.
 IN_PARTS = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+SMALL_READ = 1 << 18
 
 
 def spread(df: DataFrame, small: int = SMALL) -> DataFrame:
@@ -30,12 +31,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return spread(df.select(*columns) if columns else df)
 
 
-def in_parts(spark: SparkSession) -> SparkSession:
-    """A session like this one, which reads and sends all rows in parts of at most IN_PARTS; this one's settings stay."""
+def in_parts(spark: SparkSession, small_reads: bool = False) -> SparkSession:
+    """A session like this one, which reads and sends all rows in parts of at most IN_PARTS; this one's settings stay.
+
+    small_reads: what a row group has of a column comes in arrays of SMALL_READ bytes, too, not in one. The collector of the
+    JVM copies them, which only pays where the query makes few objects besides.
+    """
     own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     for key, most in IN_PARTS.items():
         told = re.match(r"\d+$", spark.conf.get(key, None) or "")
         own.conf.set(key, str(min(int(told[0]) or most, most) if told else most))
+    if small_reads:
+        own.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+        own.conf.set("parquet.read.allocation.size", str(SMALL_READ))
     return own
 
 
